@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .common import read_table
 from .decontaminate import contamination
 from .packing import packed
@@ -16,6 +17,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("fold", langid.fold(F.col("doc_id"), 4))
+    model = langid.train(docs.filter("fold <> 2"))
+    found = langid.with_language(docs, model, keep=["doc_id", "fold"])
+    return found.select("doc_id", (F.col("fold") == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("fold", langid.fold(F.col("doc_id"), 3))
+    model = toxicity.train(docs.filter("fold <> 1"), read_table(spark, sf_dir, "labels"))
+    found = toxicity.with_toxicity(docs, model, keep=["doc_id", "fold"])
+    return found.select("doc_id", (F.col("fold") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -41,4 +56,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op6_decontamination, op7_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op10_secrets)}
