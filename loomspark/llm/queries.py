@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, toxicity
 from .common import read_table
 from .decontaminate import contamination
+from .html_extract import extracted
 from .packing import packed
 from .secrets import counted, secret_spans, shown
 from .sharding import shard_by_bytes
@@ -17,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("fold", langid.fold(F.col("doc_id"), 4))
     model = langid.train(docs.filter("fold <> 2"))
@@ -56,4 +61,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op10_secrets)}
