@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: A tag's attributes. Quoted values may hold any sign, but no quote runs on without end.
+_ATTRIBUTES = r"""(?:[^<>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+')*+>"""
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|title|svg|iframe|canvas|object|select|button|video|audio)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>",
+    rf"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|title|svg|iframe|canvas|object|select|button|video|audio)\b{_ATTRIBUTES}(?:.*?</\1\s*>|.*)"
+    rf"|<(/?)([a-zA-Z][^\s<>/]*)({_ATTRIBUTES})|<[!?][^<>]*>|</?[a-zA-Z][^<>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"(?:\b(class|id|role|style|aria-hidden|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))|\b(hidden)\b", re.IGNORECASE)
@@ -44,6 +46,7 @@ NAME_COST = dict.fromkeys(
     "skip toolbar copyright legal disclaimer paywall toast complementary contentinfo hidden outbrain taboola feedback rating".split(),
     -8.0,
 ) | dict.fromkeys("article content entry post story main articlebody".split(), 1.0)
+TAG_HINT = {"p": 0.4, "li": 0.4, "blockquote": 0.4, "pre": 0.4, "h1": 0.8, "h2": 0.8, "h3": 0.8}
 ADJACENT, SAME_PARENT = 1.0, 0.5
 
 
@@ -51,7 +54,9 @@ ADJACENT, SAME_PARENT = 1.0, 0.5
 class Block:
     text: str
     score: float  # over 0: content
-    path: tuple[int, ...]  # the elements it lies in, outermost first
+    depth: int  # of open elements
+    shared: int  # of those, how many were open from the block before on
+    parent: int  # the container of its own element
 
 
 class _Page:
@@ -59,7 +64,9 @@ class _Page:
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, float, int]] = []
+        # open elements: tag, number, and of it and all around it: least cost, sum of costs over 0, inside an article
+        self.stack: list[tuple[str, int, float, float, bool]] = []
+        self.low = 0
         self.pieces: list[str] = []
         self.link = self.linked = self.seen = 0
         at = 0
@@ -87,19 +94,19 @@ class _Page:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.blocks.append(Block(text, self._score(text), tuple(e[2] for e in self.stack)))
+                depth = len(self.stack)
+                self.blocks.append(Block(text, self._score(text), depth, min(self.low, depth), self.stack[-2][1] if depth > 1 else 0))
+                self.low = depth
         self.pieces, self.linked = [], 0
 
     def _score(self, text: str) -> float:
-        names, costs = {e[0] for e in self.stack}, [e[1] for e in self.stack]
-        least = min(costs, default=0.0)
-        score = least if least < 0 else 0.0
-        inside = "article" in names or "main" in names
-        score += 4.0 if inside else sum(c for c in costs if c > 0)
+        tag, _, least, gain, inside = self.stack[-1] if self.stack else ("", 0, 0.0, 1.5, False)
+        score = min(least, 0.0) + (4.0 if inside else gain)
         density = min(1.0, self.linked / len(text))
-        if not inside:
-            score += min(len(text), 400) / 100 - 1.5 + 0.5 * text.endswith((".", "!", "?", "…", '"', "»"))
-        return score - (5.0 if not inside else 3.0) * (density > 0.6) * density
+        if inside:
+            return score - 3.0 * (density > 0.6) * density
+        score += min(len(text), 200) / 50 - 1 + 0.5 * text.endswith((".", "!", "?", "…", '"', "»")) + TAG_HINT.get(tag, 0.0)
+        return score - 5.0 * (density > 0.6) * density
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -108,7 +115,7 @@ class _Page:
         if tag == "a":
             self.link = 1
         cost = float(TAG_COST.get(tag, 0))
-        if tag == "header" and any(e[0] in ("article", "main") for e in self.stack):
+        if tag == "header" and self.stack and self.stack[-1][4]:
             cost = 0.0  # of the article, not of the page
         named = self._named(attributes) if attributes and tag not in ("html", "body") else 0.0
         cost = min(cost, named) if named < 0 else cost + named
@@ -118,9 +125,10 @@ class _Page:
                 self._imply(CLOSES[tag], _SCOPES.get(tag, set()))
             elif tag in BLOCK:
                 self._imply({"p"}, set())
-            if tag not in VOID and not attributes.rstrip().endswith("/"):
+            if tag not in VOID and not attributes.endswith("/>"):
                 self.seen += 1
-                self.stack.append((tag, cost, self.seen))
+                _, _, least, gain, inside = self.stack[-1] if self.stack else ("", 0, 0.0, 0.0, False)
+                self.stack.append((tag, self.seen, min(least, cost), gain + max(cost, 0.0), inside or tag in ("article", "main")))
 
     def _named(self, attributes: str) -> float:
         worst = best = 0.0
@@ -144,18 +152,22 @@ class _Page:
         for at in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[at][0]
             if tag in closed:
-                del self.stack[at:]
+                self._drop(at)
                 return
             if tag in scope or not scope and tag in ("div", "article", "section", "main", "aside", "td", "li", "blockquote", "form", "nav", "header", "footer", "body"):
                 return
 
+    def _drop(self, at: int) -> None:
+        del self.stack[at:]
+        self.low = min(self.low, at)
+
     def _close(self, tag: str) -> None:
         if tag == "a":
             self.link = 0
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
                 self._flush()
-                del self.stack[at:]
+                self._drop(at)
                 return
         if tag in BLOCK:
             self._flush()
@@ -170,15 +182,10 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
     for i, block in enumerate(blocks):
         if i:
-            a, b = blocks[i - 1].path, block.path
-            shared = 0
-            while shared < min(len(a), len(b)) and a[shared] == b[shared]:
-                shared += 1
-            edges.append((i - 1, i, ADJACENT / (1 + len(a) + len(b) - 2 * shared)))
-        parent = block.path[:-1]
-        if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, SAME_PARENT))
-        last[parent] = i
+            edges.append((i - 1, i, ADJACENT / (1 + blocks[i - 1].depth + block.depth - 2 * block.shared)))
+        if last.get(block.parent, i) < i - 1:
+            edges.append((last[block.parent], i, SAME_PARENT))
+        last[block.parent] = i
     return edges
 
 
