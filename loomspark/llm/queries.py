@@ -9,6 +9,7 @@ from . import langid, toxicity
 from .common import read_table
 from .decontaminate import contamination
 from .html_extract import extracted
+from .jaccard import near_duplicates
 from .packing import packed
 from .secrets import counted, secret_spans, shown
 from .sharding import shard_by_bytes
@@ -47,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secret_spans")
@@ -61,4 +66,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op9_ngram_jaccard, op10_secrets)}
