@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, toxicity
 from .common import read_table
 from .decontaminate import contamination
+from .embedding_dups import near_vectors
 from .html_extract import extracted
 from .jaccard import near_duplicates
 from .packing import packed
@@ -48,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -66,4 +71,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op9_ngram_jaccard, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets)}
