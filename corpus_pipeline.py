@@ -1,12 +1,73 @@
-"""Documents through the training-data operators, stage by stage."""
+"""Documents through five training-data operators, stage by stage.
+
+Each stage reads what the one before it kept, written as Parquet in between. All but the last
+keep the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.llm import langid
+from loomspark.llm.common import read_table, staged
+from loomspark.llm.decontaminate import decontaminated
+from loomspark.llm.jaccard import near_duplicates
+from loomspark.llm.packing import packed
+from loomspark.llm.secrets import redacted
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; null texts and texts without a letter go.
+
+    The model is trained on the stage's own labelled rows, so on whatever languages they have.
+    """
+    model = langid.train(docs)
+    known = langid.with_language(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]), model, f"c{docs.columns.index('text')}")
+    return known.filter(F.col("lang_pred") != "und").drop("lang_pred", "score").toDF(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one whose id names the group.
+
+    Of rows that repeat that id one stays; rows with a null id stay unless their group has an id.
+    """
+    groups = near_duplicates(docs)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    unnamed = docs.filter("doc_id is null")
+    return named.select(*docs.columns).unionByName(unnamed)
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark: one that holds a whole window of ten words goes."""
+    return decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark; n_chars follows the text."""
+    return redacted(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, in sequences of 1024 tokens."""
+    return packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard", keep_one_of_each),
+    ("decontamination", remove_benchmarks),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+#: Viterbi, tokenization and best-fit placement are not SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -239,6 +239,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_word
     """
     names, at = docs.columns, docs.columns.index(text_col)
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of docs can clash with the scan's
+    inside = inner.columns
     hit = contamination(inner, items, window, f"c{at}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_word
             texts, runs = batch.column(f"c{at}").to_pylist(), batch.column("hit_runs").to_pylist()
             new = [without_spans(t, r, max_words, max_coverage) if r else t for t, r in zip(texts, runs, strict=True)]
             keep = pa.array([t is not None or not r for t, r in zip(new, runs, strict=True)], pa.bool_())
-            columns = {c: batch.column(c) for c in inner.columns} | {f"c{at}": pa.array(new, batch.schema.field(f"c{at}").type)}
+            columns = {c: batch.column(c) for c in inside} | {f"c{at}": pa.array(new, batch.schema.field(f"c{at}").type)}
             yield pa.RecordBatch.from_pydict(columns).filter(keep)
 
     return hit.mapInArrow(cut, inner.schema).toDF(*names)

@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .embedding_dups import near_vectors
 from .html_extract import extracted
 from .jaccard import near_duplicates
+from .licenses import license_scan
 from .packing import packed
 from .secrets import counted, secret_spans, shown
 from .sharding import shard_by_bytes
@@ -20,6 +21,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string"))
+    return license_scan(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "license", "cosine", "origin", "license_dir")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -71,4 +78,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets)}
