@@ -37,7 +37,7 @@ SIMILARITY = 80
 SMALL = 64
 SMALL_CELLS = 1 << 16
 #: A shingle is common that this many sets of one task and of all tasks hold; this many are told apart at most.
-COMMON_IN_TASK, COMMON_IN_ALL, MAX_COMMON = 4, 200, 1 << 18
+COMMON_IN_TASK, COMMON_IN_ALL, MAX_COMMON = 2, 40, 1 << 18
 COMMON_BITS = 24
 #: Signatures of one group of the shuffle, about.
 GROUP = 1 << 18
@@ -120,7 +120,10 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[object, int, np.ndarray]]:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (id, n, node, -, -) per document, and rows (-, -, -, shingle, count) of a task's common shingles."""
+    """A row (id, n, node, sketch, -, -) per document, and rows (-, -, -, -, shingle, count) of a task's common shingles.
+
+    Of the copies of a set that a task meets, the first alone has a sketch.
+    """
     seen: set[int] = set()
     held: list[np.ndarray] = []
     common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -134,26 +137,29 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return keys, np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
 
     for batch in batches:
-        docs, sizes, nodes = [], [], []
+        docs, sizes, nodes, sketches = [], [], [], []
         for doc, node, shingles in _sets(batch):
             docs.append(doc)
             sizes.append(len(shingles))
             nodes.append(node)
-            if len(shingles) and node not in seen:
+            new = len(shingles) > 0 and node not in seen
+            sketches.append(sketch(shingles).tobytes() if new else None)
+            if new:
                 seen.add(node)
                 held.append(shingles)
                 size += len(shingles)
             if size > 1 << 22:
                 common, held, size = add(), [], 0
-        yield _survey_rows(docs, sizes, nodes, [None] * len(docs), [None] * len(docs))
+        yield _survey_rows(docs, sizes, nodes, sketches, [None] * len(docs), [None] * len(docs))
     if held:
         common = add()
     n = len(common[0])
-    yield _survey_rows([None] * n, [None] * n, [None] * n, common[0].astype(np.int64).tolist(), common[1].tolist())
+    yield _survey_rows([None] * n, [None] * n, [None] * n, [None] * n, common[0].astype(np.int64).tolist(), common[1].tolist())
 
 
 def _survey_rows(*columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "node", "shingle", "held"])
+    names = ["id", "n", "node", "sketch", "shingle", "held"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "sketch" else pa.int64()) for c, name in zip(columns, names, strict=True)], names)
 
 
 def _signer(common_bits, n_groups: int, similarity: int):
@@ -215,8 +221,8 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"sign": sign[keep].astype(np.int64), "node": node[keep], "n_members": size[keep].astype(np.int64)})
 
 
-def _candidate_sets(screen):
-    """(node, n, sketch, shingles) of each set once a task, for ids that the screen lets through."""
+def _wanted_sets(screen):
+    """(node, shingles) of each set once a task, for ids that the screen lets through."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(screen.value, np.uint8)).astype(bool)
@@ -224,17 +230,28 @@ def _candidate_sets(screen):
         for batch in batches:
             ids = batch.column(0)
             keep = wanted[ids.fill_null(0).to_numpy(zero_copy_only=False) & ((1 << SCREEN_BITS) - 1)]
-            rows = []
+            nodes, sets = [], []
             for _, node, shingles in _sets(batch.filter(pa.array(keep | ids.is_null().to_numpy(zero_copy_only=False)))):
                 if len(shingles) and node not in seen:
                     seen.add(node)
-                    rows.append((node, len(shingles), sketch(shingles).tobytes(), shingles.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "sketch", "shingles"])
+                    nodes.append(node)
+                    sets.append(shingles.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return sets
 
 
+def _sets_of(nodes: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes, by another pass over the texts; a screen of bounded size spares most of them."""
+    ids = rows.groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node", "left_semi")
+    screen = np.zeros(1 << SCREEN_BITS, bool)
+    for r in ids.select(F.coalesce("id", F.lit(0)).bitwiseAND((1 << SCREEN_BITS) - 1).alias("bit")).distinct().collect():  # at most 2 ** SCREEN_BITS
+        screen[r["bit"]] = True
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(screen).tobytes())
+    found = texts.mapInArrow(_wanted_sets(shared), "node long, shingles binary")
+    return staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def _near(a: bytes, b: bytes, limit: int) -> bool:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     words = min(len(x), len(y))
@@ -260,17 +277,14 @@ def _exact(similarity: int):
     return check
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: int, screened: bool = False) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are similar, by whole sets."""
+def _with_both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+    return pairs
 
-    def both(pairs: DataFrame, *columns: str) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-        return pairs
 
-    if not screened:
-        pairs = both(pairs, "n", "sketch").mapInArrow(_screened(similarity), "a long, b long")
-    return both(pairs, "shingles").mapInArrow(_exact(similarity), "a long, b long")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def _across(similarity: int):
@@ -334,8 +348,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    survey = staged(texts.mapInArrow(_survey, "id long, n long, node long, shingle long, held long"))
-    rows = survey.filter("node is not null").select("id", "n", "node")
+    survey = staged(texts.mapInArrow(_survey, "id long, n long, node long, sketch binary, shingle long, held long"))
+    rows = survey.filter("node is not null").select("id", "n", "node", "sketch")
     common = survey.filter("shingle is not null").groupBy("shingle").agg(F.sum("held").alias("held")).filter(F.col("held") >= COMMON_IN_ALL)
     bits = np.zeros(1 << COMMON_BITS, bool)
     for r in common.orderBy(F.desc("held"), "shingle").limit(MAX_COMMON).select("shingle").collect():
@@ -346,25 +360,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = staged(signed.groupBy("group").applyInArrow(_shared, "sign long, node long, n_members long"))
 
     weights = members.groupBy("node").agg(F.sum("n_members").alias("weight"))
-    ids = rows.groupBy("node").agg(F.min("id").alias("id")).join(weights, "node", "left_semi")
-    screen = np.zeros(1 << SCREEN_BITS, bool)
-    for r in ids.select(F.coalesce("id", F.lit(0)).bitwiseAND((1 << SCREEN_BITS) - 1).alias("bit")).distinct().collect():  # at most 2 ** SCREEN_BITS
-        screen[r["bit"]] = True
-    found = texts.mapInArrow(_candidate_sets(spark.sparkContext.broadcast(np.packbits(screen).tobytes())), "node long, n long, sketch binary, shingles binary")
-    sets = staged(found.join(weights.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-
+    sketches = staged(rows.filter("sketch is not null").join(weights, "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]))
     ranked = members.join(weights, "node").select("sign", "node", F.struct("weight", "node").alias("rank"))
     leaders = ranked.groupBy("sign").agg(F.max("rank").alias("top"))
     first = ranked.join(leaders, "sign").select(F.col("node").alias("x"), F.col("top.node").alias("y")).filter("x <> y")
     first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = staged(_linked(first, sets, similarity))
+    first = staged(_with_both(first, sketches, "n", "sketch").mapInArrow(_screened(similarity), "a long, b long"))
+    sets = _sets_of(_ends(first), texts, rows)
+    links = staged(_with_both(first, sets, "shingles").mapInArrow(_exact(similarity), "a long, b long"))
     roots = components(links)
 
     labelled = staged(members.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root")))
     open_signs = labelled.groupBy("sign").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("sign")
-    left = labelled.join(open_signs, "sign", "left_semi").join(sets.select("node", "n", "sketch"), "node")
+    left = labelled.join(open_signs, "sign", "left_semi").join(sketches, "node")
     across = left.repartition(max(64, shuffle_parts(spark)), "sign").sortWithinPartitions("sign").mapInArrow(_across(similarity), "a long, b long")
-    more = staged(_linked(across.distinct(), sets, similarity, screened=True))
+    across = staged(across.distinct())
+    missing = staged(_ends(across).join(sets.select("node"), "node", "left_anti"))
+    if not missing.isEmpty():
+        sets = sets.unionByName(_sets_of(missing, texts, rows))
+    more = staged(_with_both(across, sets, "shingles").mapInArrow(_exact(similarity), "a long, b long"))
     roots = components(links.unionByName(more))
 
     keyed = staged(rows.join(roots, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("key")))
