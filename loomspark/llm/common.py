@@ -21,11 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of a batch between Spark and Python while a table is staged: whole texts are in them.
+BATCH_ROWS = 1000
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later stages restart from these files."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

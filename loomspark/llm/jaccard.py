@@ -148,7 +148,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(node)
                 held.append(shingles)
                 size += len(shingles)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 common, held, size = add(), [], 0
         yield _survey_rows(docs, sizes, nodes, sketches, [None] * len(docs), [None] * len(docs))
     if held:
@@ -192,7 +192,7 @@ def _signer(common_bits, n_groups: int, similarity: int):
                         signs.append(own)
                         nodes.append(np.full(len(own), node, np.int64))
                         size += len(own)
-                if size > 1 << 21:
+                if size > 1 << 19:
                     yield flush()
                     signs, nodes, size = [], [], 0
         if size:
@@ -301,7 +301,7 @@ def _across(similarity: int):
             if len(rest):
                 differ = np.bitwise_count(packed[rest] ^ packed[i]).sum(1)
                 for j in rest[differ <= (sizes[rest] + sizes[i]) * (100 - similarity) // (100 + similarity)]:
-                    yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+                    yield (int(nodes[i]), int(nodes[j])) if nodes[i] < nodes[j] else (int(nodes[j]), int(nodes[i]))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -316,10 +316,10 @@ def _across(similarity: int):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 found.update(pairs_of(node[a:b], root[a:b], n[a:b], sketches[a:b]))
             found -= told
-            if len(told) < 1 << 20:
+            if len(told) < 1 << 17:
                 told.update(found)
             rows = list(zip(*found, strict=True)) or [[], []]
-            return pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in rows], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
