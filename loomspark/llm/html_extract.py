@@ -264,8 +264,8 @@ def extracted(pages: DataFrame, html_col: str = "html", keep: list[str] | None =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(html.as_py()) for html in batch.column("_html")]
+            texts = [main_text(html.as_py()) for html in batch.column("_loomspark_html")]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    source = pages.select(pages[html_col].alias("_html"), *[pages[c] for c in kept])
+    source = pages.select(pages[html_col].alias("_loomspark_html"), *[pages[c] for c in kept])
     return source.mapInArrow(extract, pages.select(*[pages[c] for c in kept]).schema.add("text", T.StringType()).add("n_chars", T.LongType()))

@@ -176,8 +176,8 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: l
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(t or "") for t in batch.column("_text").to_pylist()]
+            scores = [shared.value.score(t or "") for t in batch.column("_loomspark_text").to_pylist()]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {"score": pa.array(scores, pa.float64())})
 
-    source = docs.select(docs[text_col].alias("_text"), *[docs[c] for c in kept])
+    source = docs.select(docs[text_col].alias("_loomspark_text"), *[docs[c] for c in kept])
     return source.mapInArrow(score, docs.select(*[docs[c] for c in kept]).schema.add("score", T.DoubleType()))
