@@ -140,3 +140,8 @@ def project_of(directory: Column, user: str) -> Column:
 
 def hash_order(seed: Column | int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string"), F.lit("|"), key.cast("string")).cast("binary"))
+
+
+def run_id(ts: Column) -> Column:
+    """Name of a run that starts at ts, to the minute."""
+    return F.date_format(ts, "yyyy-MM-dd-HHmm")

@@ -128,6 +128,11 @@ def unread_report(reports: DataFrame, markers: DataFrame) -> DataFrame:
     return latest.join(markers.select("name"), "name", "left_anti")
 
 
+def listed(proposals: DataFrame, n: int = 20) -> DataFrame:
+    """The first proposals by name."""
+    return proposals.orderBy("run_id").limit(n)
+
+
 def status(log: DataFrame, dead: DataFrame, n: int = 5) -> DataFrame:
     """One row: last runs, baseline, number of dead letters."""
     from .decide import latest_baseline

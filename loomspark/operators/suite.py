@@ -75,3 +75,8 @@ def breakdowns(suite: DataFrame) -> DataFrame:
     bit = {d: 15 - (8 >> i) for i, d in enumerate(dims)}
     name = F.coalesce(*[F.when(F.col("_id") == b, F.lit(d)) for d, b in bit.items()])
     return grouped.select(name.alias("dimension"), F.coalesce(*[F.when(F.col("_id") == b, F.col(d)) for d, b in bit.items()]).alias("value"), "n", "n_replayable")
+
+
+def readiness(suite: DataFrame, least: int = 6) -> DataFrame:
+    """One row: how many entries are replayable, and whether those are enough for a run."""
+    return suite.agg(F.count_if("replayable").alias("n_replayable")).withColumn("ready", F.col("n_replayable") >= least)

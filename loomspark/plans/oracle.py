@@ -179,6 +179,15 @@ _PROMPT = f"{_s(_HEAD)} || {_cut('prompt', 1500)} || {_s(chr(10) * 2 + 'RESPONSE
 _FORBIDDEN = " OR ".join(f"starts_with(target, {_s(p)}) OR target = {_s(p.rstrip('/'))}" for p in C.FORBIDDEN)
 _KEY = "session_id, seg"
 
+_SUITE = f"""WITH {_ENRICHED},
+a1 AS (SELECT *, row_number() OVER (PARTITION BY recency, task_type, project ORDER BY duration DESC, start_ord) AS turn, md5('42|' || recency || '|' || task_type || '|' || project) AS hash FROM p WHERE eligible),
+a2 AS (SELECT *, row_number() OVER (PARTITION BY recency ORDER BY turn, hash, start_ord) AS spot FROM a1),
+a3 AS (SELECT *, 'quota' AS picked_by FROM a2 WHERE spot <= CASE recency WHEN 'recent' THEN 24 WHEN 'mid' THEN 12 ELSE 4 END),
+a4 AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || start_ord), start_ord) AS place FROM a2 WHERE start_ord NOT IN (SELECT start_ord FROM a3)),
+a5 AS (SELECT {_KEY}, recency, task_type, project, duration, replayable, picked_by, CASE recency WHEN 'recent' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END AS rank, spot FROM a3
+  UNION ALL SELECT {_KEY}, recency, task_type, project, duration, replayable, 'topup', 9, place FROM a4 WHERE place <= 40),
+a6 AS (SELECT *, row_number() OVER (ORDER BY rank, spot) AS pos FROM a5)"""
+
 ORACLE = {
     "segment_tasks": f"WITH {_MESSAGES} SELECT left(session_id, 8) || '-' || CASE WHEN seg - 1 < 1000 THEN lpad(CAST(seg - 1 AS VARCHAR), 3, '0') ELSE CAST(seg - 1 AS VARCHAR) END AS task_id, {_KEY}, project, epoch_us(start_ts) AS start_us, epoch_us(end_ts) AS end_us, duration AS duration_sec, prompt, length(prompt) AS prompt_chars, tool_calls, output_tokens FROM t",
     "task_tool_histogram": f"WITH {_MESSAGES} SELECT {_KEY}, concat_ws(',', CASE WHEN n_bash > 0 THEN 'Bash=' || n_bash END, CASE WHEN n_edit > 0 THEN 'Edit=' || n_edit END, CASE WHEN n_read > 0 THEN 'Read=' || n_read END) AS tools FROM t",
@@ -189,14 +198,7 @@ ORACLE = {
     "correction_interval_match": f"WITH {_ENRICHED} SELECT {_KEY} FROM h",
     "eligible_filter": f"WITH {_ENRICHED} SELECT {_KEY}, replayable FROM p WHERE eligible",
     "recency_age_days": f"WITH {_ENRICHED} SELECT {_KEY}, age_days, recency FROM p",
-    "stratified_suite": f"""WITH {_ENRICHED},
-a1 AS (SELECT *, row_number() OVER (PARTITION BY recency, task_type, project ORDER BY duration DESC, start_ord) AS turn, md5('42|' || recency || '|' || task_type || '|' || project) AS hash FROM p WHERE eligible),
-a2 AS (SELECT *, row_number() OVER (PARTITION BY recency ORDER BY turn, hash, start_ord) AS spot FROM a1),
-a3 AS (SELECT *, 'quota' AS picked_by FROM a2 WHERE spot <= CASE recency WHEN 'recent' THEN 24 WHEN 'mid' THEN 12 ELSE 4 END),
-a4 AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || start_ord), start_ord) AS place FROM a2 WHERE start_ord NOT IN (SELECT start_ord FROM a3)),
-a5 AS (SELECT {_KEY}, recency, task_type, project, duration, picked_by, CASE recency WHEN 'recent' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END AS rank, spot FROM a3
-  UNION ALL SELECT {_KEY}, recency, task_type, project, duration, 'topup', 9, place FROM a4 WHERE place <= 40),
-a6 AS (SELECT *, row_number() OVER (ORDER BY rank, spot) AS pos FROM a5)
+    "stratified_suite": f"""{_SUITE}
 SELECT {_KEY}, pos, recency, task_type, project, duration AS duration_sec, picked_by FROM a6 WHERE pos <= 40""",
     "suite_breakdown": f"""WITH {_ENRICHED} SELECT CASE WHEN grouping(project) = 0 THEN 'project' WHEN grouping(task_type) = 0 THEN 'task_type' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'recency' END AS dimension,
 coalesce(project, task_type, difficulty, recency) AS value, count(*) AS n, CAST(sum(CAST(replayable AS INT)) AS BIGINT) AS n_replayable FROM p WHERE eligible GROUP BY GROUPING SETS ((project), (task_type), (difficulty), (recency))""",
@@ -262,4 +264,8 @@ SELECT path, n_old, n_new, CASE WHEN n_new IS NULL THEN 'deleted' WHEN n_old >=
     "parse_model_output": "WITH k AS (SELECT *, (conv_id + turn) % 7 = 0 AS bad FROM conversations) SELECT conv_id, turn, md5(CASE WHEN bad THEN 'not json: ' || left(text, 50) ELSE text END) AS text_md5, CASE WHEN bad THEN 0 ELSE turn * 10 END AS output_tokens, CAST(0 AS BIGINT) AS n_calls, NOT bad AND turn % 3 = 0 AND turn % 4 <> 3 AS completed_cleanly, bad AS parse_error FROM k",
     "project_totals": f"WITH {_MESSAGES} SELECT project, count(*) AS n_tasks, count(DISTINCT session_id) AS n_sessions FROM t GROUP BY project ORDER BY n_tasks DESC, project LIMIT 10",
     "find_run": f"WITH {_LOG} SELECT 'g77' AS run_id, ord, decision, CASE WHEN decision IN {_in(C.KEPT)} THEN 'ok' ELSE 'not-kept' END AS status FROM l WHERE ord % 1000 = 77 ORDER BY ord DESC LIMIT 1",
+    "run_ids": "SELECT strftime(ts, '%Y-%m-%d-%H%M') AS run_id, count(*) AS n FROM events GROUP BY 1",
+    "suite_readiness": f"{_SUITE} SELECT count(*) FILTER (WHERE replayable) AS n_replayable, count(*) FILTER (WHERE replayable) >= 6 AS ready FROM a6 WHERE pos <= 40",
+    "proposals_listed": f"WITH {_LOG} SELECT run_id, strategy, target_file FROM l ORDER BY run_id LIMIT 20",
+    "weekly_kept": f"WITH {_LOG} SELECT w.run_id, 'c' || w.ord AS new_commit, e.event_type || ' changed' AS summary FROM w LEFT JOIN events e ON e.event_id = w.ord AND e.event_id % 2 = 0 WHERE w.decision IN {_in(C.KEPT)}",
 }

@@ -355,6 +355,25 @@ def find_run(spark, sf_dir):
     return history.disapproval_status(history.find_run(log, "g77")).select("run_id", "ord", "decision", "status")
 
 
+def run_ids(spark, sf_dir):
+    return A.table(spark, sf_dir, "events").groupBy(X.run_id(F.col("ts")).alias("run_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def suite_readiness(spark, sf_dir):
+    return suite.readiness(_suite(spark, sf_dir).withColumn("replayable", suite.is_replayable()))
+
+
+def proposals_listed(spark, sf_dir):
+    return history.listed(A.run_log(spark, sf_dir).select("run_id", "strategy", "target_file"))
+
+
+def weekly_kept(spark, sf_dir):
+    """Kept runs of the period with the summary of their change, where there is one."""
+    kept = _week(spark, sf_dir).filter(F.col("decision").isin("kept", "first-real-baseline"))
+    diffs = A.table(spark, sf_dir, "events").filter("event_id % 2 = 0").select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("new_commit"), F.concat(F.col("event_type"), F.lit(" changed")).alias("summary"))
+    return kept.join(diffs, "new_commit", "left").select("run_id", "new_commit", "summary")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -364,5 +383,6 @@ QUERIES = {
         resample_noise, budget_prefix, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, strategy_stats,
         strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, deadletter_block, recent_runs, three_strikes, shared_root_cause,
         top_improvements, top_regressions, guard_paths, guard_shrink, json_extract_props, parse_model_output, project_totals, find_run,
+        run_ids, suite_readiness, proposals_listed, weekly_kept,
     )
 }

@@ -130,3 +130,13 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+def write_responses(rows: DataFrame, path: str, run_id: str) -> None:
+    """Responses of a run as one part of the responses table; a run written again is replaced."""
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def last_row(rows: DataFrame, order: str = "ord") -> DataFrame:
+    """The last row of a log."""
+    return rows.orderBy(F.desc(order)).limit(1)
