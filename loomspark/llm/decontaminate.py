@@ -173,10 +173,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     blocks = automata(items, window, item_id, item_text, block_words)
     own = T.StructType.fromDDL(_RESULT)
     # the text goes first, under a name of its own: columns of docs may have any names
-    out = docs.select(docs[text_col].alias("_text"), *[docs[c] for c in (docs.columns if keep is None else keep) if c not in own.names])
+    out = docs.select(docs[text_col].alias("_loomspark_text"), *[docs[c] for c in (docs.columns if keep is None else keep) if c not in own.names])
     for block in blocks[:-1]:
-        out = out.mapInArrow(_scanner(block, False), T.StructType([*(f for f in out.schema if f.name not in ("_runs", "_items")), T.StructField("_runs", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))]))
-    kept = [f for f in out.schema if f.name not in ("_text", "_runs", "_items")]
+        out = out.mapInArrow(_scanner(block, False), T.StructType([*(f for f in out.schema if f.name not in ("_loomspark_runs", "_loomspark_items")), T.StructField("_loomspark_runs", T.ArrayType(T.LongType())), T.StructField("_loomspark_items", T.ArrayType(T.StringType()))]))
+    kept = [f for f in out.schema if f.name not in ("_loomspark_text", "_loomspark_runs", "_loomspark_items")]
     return out.mapInArrow(_scanner(blocks[-1], True), T.StructType([*kept, *own]))
 
 
@@ -186,19 +186,19 @@ def _scanner(block, last: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = block.value
         for batch in batches:
-            earlier = "_runs" in batch.schema.names
+            earlier = "_loomspark_runs" in batch.schema.names
             runs, items, counts = [], [], []
-            for at, text in enumerate(batch.column("_text")):
+            for at, text in enumerate(batch.column("_loomspark_text")):
                 words = words_of(text.as_buffer() and text.as_buffer().to_pybytes())
                 found, names = automaton.scan(words)
                 if earlier:
-                    old = batch.column("_runs")[at].as_py()
+                    old = batch.column("_loomspark_runs")[at].as_py()
                     found = _merged(found + [[a, b] for a, b in zip(old[::2], old[1::2], strict=True)])
-                    names = names.union(batch.column("_items")[at].as_py())
+                    names = names.union(batch.column("_loomspark_items")[at].as_py())
                 counts.append(len(words))
                 runs.append([x for run in found for x in run])
                 items.append(sorted(names))
-            kept = [n for n in batch.schema.names if n not in ("_runs", "_items") and not (last and n == "_text")]
+            kept = [n for n in batch.schema.names if n not in ("_loomspark_runs", "_loomspark_items") and not (last and n == "_loomspark_text")]
             columns = {n: batch.column(n) for n in kept}
             if last:
                 hits = [sum(r[1::2]) - sum(r[::2]) for r in runs]
@@ -211,7 +211,7 @@ def _scanner(block, last: bool):
                     "hit_runs": pa.array(runs, pa.list_(pa.int64())),
                 }
             else:
-                columns |= {"_runs": pa.array(runs, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.string()))}
+                columns |= {"_loomspark_runs": pa.array(runs, pa.list_(pa.int64())), "_loomspark_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(columns)
 
     return scan
@@ -230,7 +230,7 @@ def without_spans(text: str, runs: list[int], max_words: int, max_coverage: floa
     return "".join([*out, text[at:]])
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_words: int = 0, max_coverage: float = 0.0, text_col: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_words: int = 0, max_coverage: float = 0.0, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without benchmark spans, and without documents that those cover beyond max_coverage.
 
     Only spans of more than max_words words count. With the defaults every document that holds
@@ -238,16 +238,33 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_word
     columns are those of docs; null and empty texts stay.
     """
     names, at = docs.columns, docs.columns.index(text_col)
-    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of docs can clash with the scan's
-    inside = inner.columns
-    hit = contamination(inner, items, window, f"c{at}")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, runs = batch.column(f"c{at}").to_pylist(), batch.column("hit_runs").to_pylist()
-            new = [without_spans(t, r, max_words, max_coverage) if r else t for t, r in zip(texts, runs, strict=True)]
-            keep = pa.array([t is not None or not r for t, r in zip(new, runs, strict=True)], pa.bool_())
-            columns = {c: batch.column(c) for c in inside} | {f"c{at}": pa.array(new, batch.schema.field(f"c{at}").type)}
-            yield pa.RecordBatch.from_pydict(columns).filter(keep)
-
-    return hit.mapInArrow(cut, inner.schema).toDF(*names)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of docs can clash with ours
+    blocks = automata(items, window, "item_id", "text", block_words)
+
+    def runs_of(block):
+        def scan(texts: pa.Array) -> pa.Array:
+            automaton = block.value
+            runs = [automaton.scan(words_of(t.as_buffer() and t.as_buffer().to_pybytes()))[0] for t in texts]
+            return pa.array([[x for run in own for x in run] for own in runs], pa.list_(pa.int64()))
+
+        # not deterministic to the planner: it must not scan again for a filter on the runs
+        return F.arrow_udf(scan, T.ArrayType(T.LongType())).asNondeterministic()
+
+    hit = inner.withColumns({f"_r{i}": runs_of(block)(F.col(f"c{at}")) for i, block in enumerate(blocks)})
+    runs = F.concat(*[f"_r{i}" for i in range(len(blocks))])
+    if max_words == 0 and max_coverage == 0:
+        return hit.filter(F.size(runs) == 0).select(*inner.columns).toDF(*names)
+
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), runs.to_pylist(), strict=True):
+            pairs = _merged([[a, b] for a, b in zip(own[::2], own[1::2], strict=True)])
+            out.append(without_spans(text, [x for pair in pairs for x in pair], max_words, max_coverage) if pairs else text)
+        return pa.array(out, pa.string())
+
+    new = F.arrow_udf(cut, T.StringType()).asNondeterministic()
+    text = F.col(f"c{at}")
+    # only the texts that were hit pass through Python again
+    clean = hit.filter(F.size(runs) == 0).select(*inner.columns)
+    mended = hit.filter(F.size(runs) > 0).withColumn("_new", new(text, runs)).filter("_new is not null")
+    return clean.unionByName(mended.withColumn(f"c{at}", F.col("_new")).select(*inner.columns)).toDF(*names)

@@ -27,7 +27,7 @@ SWITCH = 12.0
 #: A language is a candidate for a script that holds at least this share of its training letters.
 MIN_SHARE = 0.01
 #: Letters handled at once, times languages.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: First code points of Unicode's script ranges, in order. 0: any script.
 SCRIPTS = (
     (0x0000, 0), (0x0041, 1), (0x0250, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 0), (0x0900, 7),
@@ -189,37 +189,34 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
     without a letter, and any text under no model, is `und` with score 0 and no spans. Ties go
     to the language that sorts first. start and end count code points, end exclusive.
     """
-    kinds = "lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
-    names = ["lang_pred", "score", "spans"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    names = ["lang_pred", "score"] + ["spans"] * spans
+    kept = [docs[c] for c in (docs.columns if keep is None else keep) if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def label(texts: pa.Array) -> pa.Array:
         model = shared.value
         n = len(model.languages) if model else 1
-        for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            langs, scores, found = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            for chunk in _chunks(texts, max(1 << 16, CHUNK // n)) if model else ():
-                words, labels = model.label([texts[i] for i in chunk])
-                owner = np.repeat(np.arange(len(chunk)), np.diff(words.word_at))
-                letters = np.bincount(owner * n + labels, weights=words.letters, minlength=len(chunk) * n).reshape(-1, n)
-                best, total = letters.argmax(1), letters.sum(1)
-                for j, i in enumerate(chunk):
-                    if total[j]:
-                        langs[i], scores[i] = model.languages[best[j]], float(letters[j, best[j]] / total[j])
-                        if spans:
-                            found[i] = _spans(words, labels, j, model.languages)
-            columns = {c: batch.column(c) for c in kept} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
-            if spans:
-                columns["spans"] = pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    source = docs.select(docs[text_col].alias("_text"), *[docs[c] for c in kept])
-    schema = docs.select(*[docs[c] for c in kept]).schema
-    for field in T.StructType.fromDDL(kinds):
-        schema = schema.add(field)
-    return source.mapInArrow(label, schema)
+        texts = [t or "" for t in texts.to_pylist()]
+        langs, scores, found = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+        for chunk in _chunks(texts, max(1 << 16, CHUNK // n)) if model else ():
+            words, labels = model.label([texts[i] for i in chunk])
+            owner = np.repeat(np.arange(len(chunk)), np.diff(words.word_at))
+            letters = np.bincount(owner * n + labels, weights=words.letters, minlength=len(chunk) * n).reshape(-1, n)
+            best, total = letters.argmax(1), letters.sum(1)
+            for j, i in enumerate(chunk):
+                if total[j]:
+                    langs[i], scores[i] = model.languages[best[j]], float(letters[j, best[j]] / total[j])
+                    if spans:
+                        found[i] = _spans(words, labels, j, model.languages)
+        columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+        if spans:
+            columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+        return pa.StructArray.from_arrays(columns, names)
+
+    kinds = "lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
+    # not deterministic to the planner: it must not run the model again for a filter on its result
+    udf = F.arrow_udf(label, T.StructType.fromDDL(kinds)).asNondeterministic()
+    return docs.select(*kept, udf(docs[text_col]).alias("_loomspark_found")).select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in names], "_loomspark_found.*")
 
 
 def _spans(words: Words, labels: np.ndarray, text: int, languages: list[str]) -> list[dict]:
