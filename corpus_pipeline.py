@@ -18,11 +18,17 @@ from loomspark.llm.packing import packed
 from loomspark.llm.secrets import redacted
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go between Spark and Python; in batches of 1,000 rows they take little memory on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; null texts and texts without a letter go.
 
     The model is trained on the stage's own labelled rows, so on whatever languages they have.
     """
+    _small_batches(spark)
     model = langid.train(docs)
     known = langid.with_language(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]), model, f"c{docs.columns.index('text')}")
     return known.filter(F.col("lang_pred") != "und").drop("lang_pred", "score").toDF(*docs.columns)
@@ -42,6 +48,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark: one that holds a whole window of ten words goes."""
+    _small_batches(spark)
     return decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
@@ -52,6 +59,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, in sequences of 1024 tokens."""
+    _small_batches(spark)
     return packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
