@@ -151,7 +151,7 @@ def baseline_echo(spark, sf_dir):
 
 def prompt_normalize(spark, sf_dir):
     p = A.table(spark, sf_dir, "pages")
-    return p.select("page_id", F.md5(X.normalize_prompt(F.left("html", F.lit(600))).cast("binary")).alias("normalized_md5"))
+    return p.select("page_id", F.md5(X.normalize_prompt(F.col("html")).cast("binary")).alias("normalized_md5"))
 
 
 def keyword_extract(spark, sf_dir):
