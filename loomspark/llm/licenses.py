@@ -1,7 +1,7 @@
 """Licences of files: notices in the text, or the nearest licensed directory above. DataFrame expressions only.
 
-Every line of a text is compared with the notices of known licences by the cosine of sparse
-TF-IDF vectors. The vocabulary is that of the notices; document frequencies are counted over
+Every run of consecutive lines of a text is compared with the notices of known licences by the
+cosine of sparse TF-IDF vectors; runs that an upper bound of the cosine rules out are not scored. The vocabulary is that of the notices; document frequencies are counted over
 all texts. A file without a notice of its own takes the licence of the nearest directory above
 it that holds a licence file; directories find that by joins on their paths.
 """
@@ -42,7 +42,7 @@ NOTICES = (
 )
 #: Words of the notices that tell nothing.
 STOP = frozenset("a all and any are as be by can except following for form forms have has in is it its may met not of or that the this to under up use with you".split())
-#: A line is a notice from this cosine on; a file is a licence file if its name says so or notices are this much of its words.
+#: A run of lines is a notice from this cosine on; a file is a licence file if its name says so or notices are this much of its words.
 MIN_COSINE, MIN_COVERAGE = 0.6, 0.5
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 _TERM = re.compile(r"[a-z]+[0-9]*|[0-9]+")
@@ -53,8 +53,8 @@ def terms_of(text: str) -> list[str]:
 
 
 VOCABULARY = tuple(sorted({t for _, notice in NOTICES for t in terms_of(notice)}))
-#: Words that a line must hold one of: every notice holds one, and without one no cosine reaches MIN_COSINE.
-ANCHORS = ("licen", "redistribut", "permission is hereby", "unencumbered", "waived", "compliance with")
+#: What rounding may add to a cosine.
+SLACK = 1e-6
 
 
 def _words(line: Column) -> Column:
@@ -81,11 +81,34 @@ def vectors(weights: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
     return out
 
 
-def _best(line: Column, weights: dict[str, float], other: float) -> Column:
-    """(cosine, licence) of the notice nearest to a line; of equal ones the licence that sorts first."""
-    counts = F.transform(F.array_distinct(_words(line)), lambda t: F.struct(t.alias("t"), F.size(F.filter(_words(line), lambda u: u == t)).alias("n")))
+def anchors(weights: dict[str, float], min_cosine: float) -> list[str]:
+    """Terms that a text must hold one of to reach min_cosine with any notice.
+
+    By Cauchy-Schwarz a cosine is at most the length of the notice's part that the text holds. Of each
+    notice the lightest terms that together stay under min_cosine are left out; the others are anchors.
+    """
+    found = set()
+    for _, vector in vectors(weights):
+        mass = 0.0
+        for term, x in sorted(vector.items(), key=lambda item: (item[1], item[0])):
+            mass += x * x
+            if mass >= (min_cosine - SLACK) ** 2:
+                found.add(term)
+    return sorted(found)
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _best(words: Column, weights: dict[str, float], other: float) -> Column:
+    """(cosine, licence) of the notice nearest to a run's words; of equal ones the licence that sorts first."""
     table = F.create_map(*[x for t, w in weights.items() for x in (F.lit(t), F.lit(w))])
-    weighed = F.transform(counts, lambda c: F.struct(c["t"].alias("t"), (c["n"] * F.coalesce(F.try_element_at(table, c["t"]), F.lit(other))).alias("w")))
+
+    def weighed(words: Column) -> Column:
+        counts = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("t"), F.size(F.filter(words, lambda u: u == t)).alias("n")))
+        return F.transform(counts, lambda c: F.struct(c["t"].alias("t"), (c["n"] * F.coalesce(F.try_element_at(table, c["t"]), F.lit(other))).alias("w")))
 
     def dot(weighed: Column, vector: dict[str, float]) -> Column:
         notice = F.create_map(*[x for t, w in vector.items() for x in (F.lit(t), F.lit(w))])
@@ -96,29 +119,92 @@ def _best(line: Column, weights: dict[str, float], other: float) -> Column:
         scored = [F.struct(F.when(norm > 0, -F.round(dot(weighed, v) / norm, 6)).otherwise(0.0).alias("minus"), F.lit(name).alias("license")) for name, v in vectors(weights)]
         return F.array_min(F.array(*scored))
 
-    return F.element_at(F.transform(F.array(weighed), nearest), 1)
+    return _let(words, lambda words: _let(weighed(words), nearest))
+
+
+def _measured(words: Column, weights: dict[str, float], other: float) -> Column:
+    """A line's words, its products with all notices, and the least that it adds to the square of a run's length."""
+    notices = vectors(weights)
+    table = F.create_map(*[x for t, w in weights.items() for x in (F.lit(t), F.array(*[F.lit(w * v.get(t, 0.0)) for _, v in notices], F.lit(w)))])
+
+    def summed(words: Column) -> Column:
+        known = F.transform(F.filter(words, lambda t: t.isin(*VOCABULARY)), lambda t: F.element_at(table, t))
+        unknown = F.size(F.filter(words, lambda t: ~t.isin(*VOCABULARY)))
+        return _let(known, lambda known: F.struct(
+            words.alias("words"),
+            F.transform(F.sequence(F.lit(0), F.lit(len(notices) - 1)), lambda v: F.aggregate(known, F.lit(0.0), lambda acc, x: acc + F.get(x, v))).alias("dots"),
+            F.aggregate(known, unknown * F.lit(other * other), lambda acc, x: acc + F.get(x, F.lit(len(notices))) * F.get(x, F.lit(len(notices)))).alias("square"),
+        ))
+
+    return _let(words, summed)
+
+
+def _runs(lines: Column, min_cosine: float) -> Column:
+    """(first, last) of all runs of lines that may reach min_cosine with a notice.
+
+    A run's product with a notice is the sum of its lines', and its square at least the sum of theirs,
+    as no weight is negative: the quotient bounds the cosine from above. A run whose first or
+    last line has no word of the notice is left out, for without that line it is at least as near.
+    """
+    least = (min_cosine - SLACK) ** 2
+
+    def ends(first: Column, v: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"), first.alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("found"))
+
+        def longer(acc: Column, line: Column) -> Column:
+            dot, square = acc["dot"] + F.get(line["dots"], v), acc["square"] + line["square"]
+            fits = (F.get(line["dots"], v) > 0) & (dot * dot >= square * F.lit(least))
+            found = F.when(fits, F.concat(acc["found"], F.array(F.struct(first.alias("first"), acc["at"].alias("last"))))).otherwise(acc["found"])
+            return F.struct(dot.alias("dot"), square.alias("square"), (acc["at"] + 1).alias("at"), found.alias("found"))
+
+        return F.aggregate(F.slice(lines, first, F.size(lines)), start, longer, lambda acc: acc["found"])
+
+    def of(first: Column) -> Column:
+        dots = F.element_at(lines, first)["dots"]
+        held = F.filter(F.sequence(F.lit(0), F.lit(len(NOTICES) - 1)), lambda v: F.get(dots, v) > 0)
+        return F.flatten(F.transform(held, lambda v: ends(first, v)))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: i > 0)
+    return F.array_distinct(F.flatten(F.transform(starts, of)))
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
     """files plus license, cosine, origin (own, inherited or none) and license_dir, from where it is inherited.
 
     A null or empty text has no notice, but inherits; a null path is a file of no directory.
-    Several notices in one text: the nearest wins, then the licence that sorts first. Several
+    Several notices in one text: the nearest run of lines wins, then the licence that sorts first. Several
     licence files in one directory: the most frequent licence, then the one that sorts first.
     Repeated rows are each scanned. Columns with the result's names are replaced.
     """
     ours = ("license", "cosine", "origin", "license_dir")
     kept = [c for c in files.columns if c not in ours]
     weights, other = idf(files, text_col)
-    anchor = "(?i)" + "|".join(ANCHORS)
+    terms = anchors(weights, min_cosine)
+    words = "|".join(t for t in terms if not t[-1].isdigit()), "|".join(t for t in terms if t[-1].isdigit())
+    anchor = "(?<![a-z])(?:" + "|".join(f"(?:{group})(?!{after})" for group, after in zip(words, ("[a-z0-9]", "[0-9]"), strict=True) if group) + ")"
     text = F.coalesce(files[text_col], F.lit(""))
-    lines = F.when(text.rlike(anchor), F.filter(F.split(text, "\n"), lambda line: line.rlike(anchor))).otherwise(F.array().cast("array<string>"))
-    scored = F.transform(lines, lambda line: F.struct(_best(line, weights, other).alias("best"), F.size(_words(line)).alias("n")))
-    hits = F.filter(scored, lambda x: x["best"]["minus"] <= -min_cosine)
-    base = files.select(*kept, files[path_col].alias("_loomspark_path"), hits.alias("_loomspark_hits"), text.alias("_loomspark_whole"))
+    split = F.filter(F.transform(F.split(text, "\n"), _words), lambda words: F.size(words) > 0)
+    lines = F.when(F.lower(text).rlike(anchor), F.transform(split, lambda words: _measured(words, weights, other)))
+
+    def scored(lines: Column) -> Column:
+        def run(r: Column) -> Column:
+            words = F.flatten(F.transform(F.slice(lines, r["first"], r["last"] - r["first"] + 1), lambda line: line["words"]))
+            return F.struct(_best(words, weights, other).alias("best"), r["first"].alias("first"), r["last"].alias("last"))
+
+        return _let(F.filter(F.transform(_runs(lines, min_cosine), run), lambda x: x["best"]["minus"] <= -min_cosine), lambda hits: F.struct(hits.alias("hits"), covered(lines, hits).alias("n")))
+
+    def covered(lines: Column, hits: Column) -> Column:
+        """Words in lines that are notices alone, or in runs that no run they overlap is nearer than."""
+        nearer = lambda x, y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & (y["best"]["minus"] < x["best"]["minus"])
+        counted = F.filter(hits, lambda x: (x["first"] == x["last"]) | ~F.exists(hits, lambda y: nearer(x, y)))
+        sizes = F.transform(lines, lambda line, i: F.when(F.exists(counted, lambda x: (x["first"] <= i + 1) & (i + 1 <= x["last"])), F.size(line["words"])).otherwise(0))
+        return F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
+
+    found = F.when(lines.isNotNull(), _let(lines, scored))
+    base = files.select(*kept, files[path_col].alias("_loomspark_path"), found.alias("_loomspark_found"), text.alias("_loomspark_whole"))
     base = base.withColumns({
-        "_loomspark_best": F.array_min(F.transform("_loomspark_hits", lambda x: x["best"])),
-        "_loomspark_cover": F.when(F.size("_loomspark_hits") > 0, F.aggregate("_loomspark_hits", F.lit(0), lambda acc, x: acc + x["n"]) / F.greatest(F.size(_words(F.col("_loomspark_whole"))), F.lit(1))).otherwise(F.lit(0.0)),
+        "_loomspark_best": F.array_min(F.transform("_loomspark_found.hits", lambda x: x["best"])),
+        "_loomspark_cover": F.when(F.col("_loomspark_found.n") > 0, F.col("_loomspark_found.n") / F.greatest(F.size(_words(F.col("_loomspark_whole"))), F.lit(1))).otherwise(F.lit(0.0)),
         "_loomspark_dir": F.regexp_extract("_loomspark_path", r"^(.*)/[^/]*$", 1),
         "_loomspark_name": F.regexp_extract("_loomspark_path", r"([^/]*)$", 1),
     }).drop("_loomspark_whole")

@@ -113,6 +113,34 @@ def test_license_cosines(spark):
             assert r.origin != "own"
 
 
+def test_license_runs(spark):
+    """The nearest of all runs of lines, and lines without the words that once were the filter."""
+    pool = [t for _, n in licenses.NOTICES for t in n.split()] + WORDS
+    rng = np.random.default_rng(4)
+    texts = ["CC BY 4.0", "Apache, Version 2.0", "This is free software released into the public domain.", "# This work is licensed under the GNU General\n#\n# Public License, version 3.\ncode"]
+    texts += ["\n".join(" ".join(n.split()[i : i + 3]) for i in range(0, len(n.split()), 3)) for _, n in licenses.NOTICES]
+    texts += ["\n".join(" ".join(rng.choice(pool, rng.integers(0, 6))) for _ in range(6)) for _ in range(60)]
+    texts += ["over old green hills near our quiet little house by sea"] * 300
+    files = spark.createDataFrame([(f"d{i}/x", t) for i, t in enumerate(texts)], "path string, text string")
+    weights, other = licenses.idf(files)
+    got = {r.path: r for r in licenses.license_scan(files).collect()}
+    own = 0
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        best = (0.0, "")
+        for a, b in itertools.combinations(range(len(lines) + 1), 2):
+            w = {t: c * weights.get(t, other) for t, c in Counter(licenses.terms_of("\n".join(lines[a:b]))).items()}
+            norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+            best = min([best, *[(-round(sum(w.get(t, 0) * x for t, x in v.items()) / norm, 6), name) for name, v in licenses.vectors(weights)]])
+        r = got[f"d{i}/x"]
+        if -best[0] >= licenses.MIN_COSINE:
+            own += 1
+            assert r.origin == "own" and abs(r.cosine + best[0]) < 2e-6, text
+        else:
+            assert r.origin != "own", text
+    assert own > 26 and all(got[f"d{i}/x"].license for i in range(4))
+
+
 # -- 3
 
 
