@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: A tag's attributes. Quoted values may hold any sign, but no quote runs on without end.
-_ATTRIBUTES = r"""(?:[^<>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+')*+>"""
+#: A tag's attributes. Quoted values may hold any sign; where a quote stays open the tag ends at its first '>'.
+_ATTRIBUTES = r"""(?:(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[^<>]*+>)"""
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|title|svg|iframe|canvas|object|select|button|video|audio)\b{_ATTRIBUTES}(?:.*?</\1\s*>|.*)"
-    rf"|<(/?)([a-zA-Z][^\s<>/]*)({_ATTRIBUTES})|<[!?][^<>]*>|</?[a-zA-Z][^<>]*>",
+    rf"<!--(?:.*?-->|.*)|<(script|style|noscript|textarea|title|iframe)(?=[\s/>]){_ATTRIBUTES}(?:.*?</\1\s*>|.*)"
+    rf"|<(/?)([a-zA-Z][^\s<>/]*)({_ATTRIBUTES})|<[!?][^<>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"(?:\b(class|id|role|style|aria-hidden|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))|\b(hidden)\b", re.IGNORECASE)
@@ -37,6 +37,8 @@ BLOCK = frozenset(
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose text is not the page's. Unlike those of raw text they hold elements.
+SKIPPED = frozenset("template svg canvas object select button video audio".split())
 #: Costs of elements, and of words in class, id, role and label.
 TAG_COST = {"nav": -8, "footer": -8, "aside": -8, "form": -8, "menu": -6, "dialog": -8, "search": -8, "header": -8, "head": -20, "article": 4, "main": 3}
 NAME_COST = dict.fromkeys(
@@ -59,6 +61,22 @@ class Block:
     parent: int  # the container of its own element
 
 
+def _closed(tokens: list[re.Match]) -> set[int]:
+    """Where skipped elements start that have an end tag of their own; of others nothing is skipped."""
+    closed: set[int] = set()
+    starts: dict[str, list[int]] = {}
+    for m in tokens:
+        tag = (m[3] or "").lower()
+        if tag in SKIPPED:
+            own = starts.setdefault(tag, [])
+            if not m[2]:
+                if not m[4].endswith("/>"):
+                    own.append(m.start())
+            elif own:
+                closed.add(own.pop())
+    return closed
+
+
 class _Page:
     """One pass over the tags: the stack of open elements, and the blocks so far."""
 
@@ -69,21 +87,42 @@ class _Page:
         self.low = 0
         self.pieces: list[str] = []
         self.link = self.linked = self.seen = 0
+        self.inside: list[str] = []  # elements open in a skipped one, itself first
         at = 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
+        tokens = list(_TOKEN.finditer(html))
+        closed = _closed(tokens)
+        for m in tokens:
+            if m.start() > at and not self.inside:
                 self._text(html[at : m.start()])
             at = m.end()
             tag = m[3]
             if tag:
                 tag = tag.lower()
-                if m[2]:
+                if self.inside:
+                    self._skip(tag, m, closed)
+                elif m[2]:
                     self._close(tag)
+                elif tag in SKIPPED:
+                    if m.start() in closed:
+                        self.inside.append(tag)
                 else:
                     self._open(tag, m[4])
         self._text(html[at:])
         self._flush()
 
+    def _skip(self, tag: str, m: re.Match, closed: set[int]) -> None:
+        """A tag inside a skipped element, which ends with its own end tag or with that of an element around it."""
+        if not m[2]:
+            if tag not in VOID and not m[4].endswith("/>") and (tag not in SKIPPED or m.start() in closed):
+                self.inside.append(tag)
+        elif tag in self.inside:
+            while self.inside.pop() != tag:
+                pass
+        elif tag == "a" or any(element[0] == tag for element in self.stack):
+            if tag != "a":
+                self.inside.clear()
+            self._close(tag)
+
     def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
         self.pieces.append(text)

@@ -158,6 +158,20 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in rows)
 
 
+LONG = "The main text of this page goes on for a good while, as an article does."
+
+
+@pytest.mark.parametrize("head", ['<svg class="i"/>', "<button>", "<video-player>", "<button-group>", "<svg><path d='m'/></svg>", "<button>Go</button>", "<div><select><option>no</div>", f'<script data-x="{"x>" * 3000}">no()</script>'])
+def test_text_after_skipped_elements(head):
+    assert html_extract.main_text(f"<article>{head}<p>{LONG}</p><p>{LONG}</p></article>").replace("no\n", "") == f"{LONG}\n{LONG}"
+
+
+def test_long_and_open_attribute_values():
+    ad = f"<p>{LONG}</p>"
+    for value in (f'"{"x" * 5000}"', f"'{'>' * 5000}'", '"open'):
+        assert html_extract.main_text(f'<article><p>{LONG}</p></article><div class="sidebar" data-x={value}>{ad}</div>') == LONG
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(200):
