@@ -24,7 +24,7 @@ _TOKEN = re.compile(
     rf"|<(/?)([a-zA-Z][^\s<>/]*)({_ATTRIBUTES})|<[!?][^<>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMES = re.compile(r"(?:\b(class|id|role|style|aria-hidden|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))|\b(hidden)\b", re.IGNORECASE)
+_PAIRS = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements that end a block of text where they start and end.
@@ -171,20 +171,22 @@ class _Page:
 
     def _named(self, attributes: str) -> float:
         worst = best = 0.0
-        for m in _NAMES.finditer(attributes):
-            if m[5]:
-                return -8.0
+        for m in _PAIRS.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "hidden":
+                return -8.0
             if name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     return -8.0
             elif name == "aria-hidden":
                 if value == "true":
                     return -8.0
-            else:
-                for part in _PARTS.findall(value):
-                    cost = NAME_COST.get(part.lower(), 0.0)
-                    worst, best = min(worst, cost), max(best, cost)
+            elif name in ("class", "id", "role", "aria-label"):
+                for token in value.split():
+                    for part in _PARTS.findall(token):
+                        part = part.lower()
+                        cost = NAME_COST.get(part, 0.0) if part != "hidden" or token.lower() == part else 0.0
+                        worst, best = min(worst, cost), max(best, cost)
         return worst if worst < 0 else best
 
     def _imply(self, closed: set[str], scope: set[str]) -> None:

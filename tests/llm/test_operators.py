@@ -172,6 +172,14 @@ def test_long_and_open_attribute_values():
         assert html_extract.main_text(f'<article><p>{LONG}</p></article><div class="sidebar" data-x={value}>{ad}</div>') == LONG
 
 
+def test_hidden_is_an_attribute():
+    for shown in ('href="/blog/hidden-gems"', 'title="A hidden valley"', 'data-state="hidden"', 'class="overflow-hidden"'):
+        html = f"<article {shown}><p>{LONG} See <a {shown}>these words</a> too.</p></article>"
+        assert html_extract.main_text(html) == f"{LONG} See these words too."
+    for hidden in ("hidden", 'hidden=""', 'class="x hidden"'):
+        assert html_extract.main_text(f"<article><p>{LONG}</p><div {hidden}><p>Not shown.</p></div></article>") == LONG
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(200):
