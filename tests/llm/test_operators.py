@@ -301,6 +301,19 @@ def test_ids_are_the_tokenizers(spark):
     assert all(encode(t) == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_added_tokens_are_the_tokenizers(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    encode = packing.encoder(path, public_tokenizers.PATTERN, added=True)
+    rng = np.random.default_rng(1)
+    parts = ["a", "b ", "  ", "\n", "'s", "1", "é", "<|endoftext|>", "<|endoftext", "|>", "中", " "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(3000)]
+    assert all(encode(t) == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
+    text = "a <|endoftext|> b"
+    piece = packing.packed(docs_table(spark, [(1, text)]), path, public_tokenizers.PATTERN, with_ids=True).first()
+    assert np.frombuffer(piece.ids, np.uint32).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_packing(spark, texts):
     rows = [*texts, (7000, "word " * 5000)]
     size = 64
