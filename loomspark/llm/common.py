@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +43,18 @@ def staged(df: DataFrame) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """values joined from the first up to each place, by an associative join.
+
+    In each round a place takes in what lies a power of two before it, so n values cost n log n
+    steps; a fold that appends to an array would copy it n times.
+    """
+    rounds = F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda d: d < F.size(values))
+    return F.aggregate(rounds, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, join(F.get(acc, i - d), x)).otherwise(x)))

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, running
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
@@ -23,6 +25,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
+#: Characters of a piece when secrets are cut out of a text.
+CUT = 1024
+#: Characters of a candidate that one fold goes over, and the whole units that a bit counts.
+PIECE, UNIT = 1 << 14, 10**12
 #: Bits a window must reach, by the class of all the candidate's characters.
 MIN_BITS = {"hex": 3.0, "base36": 3.4, "base64": 3.8}
 CLASSES = {"hex": r"^([0-9a-f]+|[0-9A-F]+)$", "base36": r"^([0-9a-z]+|[0-9A-Z]+)$", "base64": r"."}
@@ -32,75 +38,88 @@ ALLOW = (r"^\d{4}-\d{2}-\d{2}", r"^[A-Za-z/_-]+[0-9]{1,4}$", r"(?i)example|place
 
 def _found(text: Column, pattern: str) -> Column:
     """Matches in order: array of (start, end, hit), in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    walked = F.aggregate(
-        F.zip_with(hits, gaps, lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap"))),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))).alias("out"),
-            )
+
+    def placed(hits: Column) -> Column:
+        lengths = F.zip_with(hits, F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(hits)), lambda hit, gap: gap + F.length(hit))
+        ends = running(lengths, lambda a, b: a + b)
+        return F.zip_with(hits, ends, lambda hit, end: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")))
+
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
+
+
+def _hot_extent(candidate: Column, window: int, least: Column) -> Column:
+    """(start, end) from the first to the last window of enough entropy; nulls if there is none.
+
+    The candidate is cut into pieces that overlap by a window less one, so that each window lies
+    in one of them and a long candidate takes no more memory than a piece.
+    """
+    # entropy is log2 w - sum / w, so this is the most that the sum of n log2 n over a window may be
+    most = F.floor((F.lit(math.log2(window)) - least + 1e-9) * window * UNIT)
+
+    def within(given: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(given["raw"]) - window, F.lit(0)), F.lit(PIECE))
+        piece = lambda at: F.substr(given["raw"], at + 1, F.lit(PIECE + window - 1)).cast("string")
+        return F.transform(starts, lambda at: F.struct(at.alias("at"), _hot_windows(piece(at), window, given["most"]).alias("hot")))
+
+    return let(
+        let(F.struct(candidate.cast("binary").alias("raw"), most.alias("most")), within),  # ASCII, so a byte is a character
+        lambda found: F.struct(
+            F.array_min(F.transform(found, lambda x: x["at"] + x["hot"]["start"])).alias("start"), F.array_max(F.transform(found, lambda x: x["at"] + x["hot"]["end"])).alias("end")
         ),
-        lambda acc: acc["out"],
     )
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), walked).otherwise(none)
 
 
-def _bits(count: Column) -> Column:
-    return F.when(count > 0, count * F.log2(count)).otherwise(F.lit(0.0))
+def _hot_windows(piece: Column, window: int, most: Column) -> Column:
+    """(start, end) of a piece's windows of enough entropy.
 
+    A fold keeps the window's character counts, a byte each and eight to a number, and the sum
+    of n log2 n over them in whole units: a step costs the same at every place, and nothing drifts.
+    """
+    bits = F.array(*[F.lit(round(n * math.log2(n) * UNIT) if n else 0) for n in range(window + 1)])
+    codes = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
-def _hot_extent(candidate: Column, window: int, least: Column) -> Column:
-    """(start, end) from the first to the last window of enough entropy; nulls if there is none."""
+    def place(code: Column) -> Column:
+        return F.shiftleft(code.bitwiseAND(7), 3)
 
-    def code(at: Column) -> Column:
-        """A character's place in ALPHABET, so that counts are an array."""
-        return F.instr(F.lit(ALPHABET), F.substr(candidate, at, F.lit(1)))
+    def count(counts: Column, code: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.get(counts, F.shiftright(code, 3)), place(code)).bitwiseAND(F.lit(255)).cast("int")
 
-    # at each place: the character that enters the window and the one that leaves it (0: none yet)
-    moves = F.transform(
-        F.sequence(F.lit(1), F.length(candidate)),
-        lambda at: F.struct(at.alias("at"), code(at).alias("new"), F.when(at > window, code(at - window)).otherwise(0).alias("old")),
-    )
+    def step(counts: Column, code: Column, sign: int) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), place(code))
+        return F.transform(counts, lambda n, i: F.when(i == F.shiftright(code, 3), n + sign * one).otherwise(n))
 
-    def count(acc: Column, code: Column) -> Column:
-        return F.element_at(acc["counts"], F.greatest(code, F.lit(1)))
-
-    def enter(acc: Column, x: Column) -> Column:
-        # total is the sum of n log2 n over the window's counts: entropy is log2 w - total / w
-        same, n_new, n_old = x["new"] == x["old"], count(acc, x["new"]), count(acc, x["old"])
-        return F.struct(
-            F.transform(
-                acc["counts"],
-                lambda n, i: n + F.when(i + 1 == x["new"], 1).otherwise(0) - F.when(i + 1 == x["old"], 1).otherwise(0),
-            ).alias("counts"),
-            F.when(same, acc["total"])
-            .when(x["old"] == 0, acc["total"] + _bits(n_new + 1) - _bits(n_new))
-            .otherwise(acc["total"] + _bits(n_new + 1) - _bits(n_new) + _bits(n_old - 1) - _bits(n_old))
-            .alias("total"),
-            # of the window that ended just before this character
-            F.when(_hot(acc), F.coalesce(acc["first"], acc["at"] - window)).otherwise(acc["first"]).alias("first"),
-            F.when(_hot(acc), acc["at"]).otherwise(acc["last"]).alias("last"),
-            x["at"].alias("at"),
-        )
-
-    def _hot(acc: Column) -> Column:
-        return (acc["at"] >= window) & (F.lit(math.log2(window)) - acc["total"] / window >= least - 1e-9)
-
-    none = F.lit(None).cast("int")
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"), F.lit(0).alias("at"))
-    return F.aggregate(
-        moves,
-        start,
-        enter,
-        lambda acc: F.struct(
-            F.when(_hot(acc), F.coalesce(acc["first"], acc["at"] - window)).otherwise(acc["first"]).alias("start"),
-            F.when(_hot(acc), acc["at"]).otherwise(acc["last"]).alias("end"),
-        ),
-    )
+    def change(n: Column, sign: int) -> Column:
+        return F.get(bits, n + sign) - F.get(bits, n)
+
+    def fold(codes: Column) -> Column:
+        def leave(acc: Column) -> Column:
+            """The window without the character that the next one pushes out."""
+
+            def without(old: Column) -> Column:
+                return F.struct(step(acc["counts"], old, -1).alias("counts"), (acc["sum"] + change(count(acc["counts"], old), -1)).alias("sum"))
+
+            return F.when(acc["at"] >= window, without(F.get(codes, acc["at"] - window))).otherwise(F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum")))
+
+        def enter(acc: Column, new: Column) -> Column:
+            def entered(left: Column) -> Column:
+                total, at = left["sum"] + change(count(left["counts"], new), 1), acc["at"] + 1
+                hot = (at >= window) & (total <= most)
+                return F.struct(
+                    step(left["counts"], new, 1).alias("counts"),
+                    total.alias("sum"),
+                    at.alias("at"),
+                    F.when(hot, F.coalesce(acc["start"], at - window)).otherwise(acc["start"]).alias("start"),
+                    F.when(hot, at).otherwise(acc["end"]).alias("end"),
+                )
+
+            return let(leave(acc), entered)
+
+        none = F.lit(None).cast("int")
+        empty = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // 8)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at"), none.alias("start"), none.alias("end"))
+        return F.aggregate(codes, empty, enter, lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+
+    return let(codes, fold)
 
 
 def _entropy(text: Column, window: int, allow: tuple[str, ...]) -> Column:
@@ -153,14 +172,22 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
     names, at = docs.columns, docs.columns.index(text_col)
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = F.col(f"c{at}")
-    cut = F.aggregate(
-        F.col("secret_spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
-    )
-    clean = F.when(F.size("secret_spans") > 0, cut).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))  # so that no place is counted from the text's beginning
+
+    def cut(pieces: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CUT).cast("int"), F.floor(b / CUT).cast("int")
+            head, tail = F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, last), F.lit(""))
+            inner = F.array_join(F.slice(pieces, first + 2, last - first - 1), "")
+            return F.when(first == last, F.substr(head, a % CUT + 1, b - a)).otherwise(F.concat(F.substr(head, a % CUT + 1), inner, F.substr(tail, F.lit(1), b % CUT)))
+
+        def kept(ends: Column) -> Column:
+            """What lies outside the spans: before each that begins at or after all ends so far, and after the last end."""
+            before = F.transform(F.col("secret_spans"), lambda x, i: F.struct(F.when(i > 0, F.get(ends, i - 1)).otherwise(0).alias("a"), x["start"].alias("b")))
+            gaps = F.transform(F.filter(before, lambda x: x["b"] >= x["a"]), lambda x: between(x["a"], x["b"]))
+            return F.array_join(F.concat(gaps, F.array(between(F.element_at(ends, -1), F.length(text)))), mark)
+
+        return let(running(F.transform("secret_spans", lambda x: x["end"]), F.greatest), kept)
+
+    clean = F.when(F.size("secret_spans") > 0, let(pieces, cut)).otherwise(text)
     return secret_spans(inner, f"c{at}").withColumn(f"c{at}", clean).drop("secret_spans").toDF(*names)

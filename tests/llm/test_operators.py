@@ -512,14 +512,38 @@ def test_secrets(spark):
         assert found[i] == [(a, k, b) for a, k, b in brute_secrets(t)], t
 
 
+@pytest.mark.parametrize(("piece", "cut"), [(1 << 14, 1024), (32, 16)])
+def test_secrets_in_long_texts(spark, monkeypatch, piece, cut):
+    monkeypatch.setattr(secrets, "PIECE", piece)
+    monkeypatch.setattr(secrets, "CUT", cut)
+    rng = np.random.default_rng(3)
+    kinds = ["0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", secrets.ALPHABET, "aaaaaaaab1", "0123456789ABCDEF"]
+    texts = ["".join(rng.choice(list(k), 10_000)) for k in kinds]
+    texts += ["".join("".join(rng.choice(list(kinds[i % 5]), 30)) * int(rng.integers(1, 4)) for i in range(200))]
+    texts += [" é".join("token=" + "".join(rng.choice(list("abcXYZ"), 14)) for _ in range(2000)), "x" * 200_000, "password=" * 20_000]
+    rows = {r.doc_id: [tuple(s) for s in r.secret_spans] for r in secrets.secret_spans(docs_table(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i] == brute_secrets(t), t[:50]
+    assert {r.doc_id: r.text for r in secrets.redacted(docs_table(spark, list(enumerate(texts)))).collect()} == {i: brute_redacted(t) for i, t in enumerate(texts)}
+
+
+def test_secrets_of_nothing(spark):
+    assert secrets.secret_spans(docs_table(spark, [])).count() == 0
+    twice = docs_table(spark, [(1, SECRETS[3]), (1, SECRETS[3])])
+    assert len({tuple(map(tuple, r.secret_spans)) for r in secrets.secret_spans(twice).collect()}) == 1
+
+
+def brute_redacted(text):
+    want, at = "", 0
+    for a, _, b in brute_secrets(text):
+        if a >= at:
+            want += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return None if text is None else want + text[at:]
+
+
 def test_redacted(spark):
     docs = docs_table(spark, list(enumerate(SECRETS)))
     rows = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
-    for i, t in enumerate(SECRETS):
-        want, at = "", 0
-        for a, _, b in brute_secrets(t):
-            if a >= at:
-                want += t[at:a] + "[SECRET]"
-            at = max(at, b)
-        assert rows[i] == (None if t is None else want + t[at:])
+    assert rows == {i: brute_redacted(t) for i, t in enumerate(SECRETS)}
     assert secrets.redacted(docs.limit(0)).columns == docs.columns
