@@ -1,14 +1,22 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page becomes a row of text blocks. A classifier over tags, names and text shape gives each
-block a cost for either label; the costs are capacities to the two terminals. Neighbouring
-blocks, and blocks of one container, are joined by smoothness edges that weaken with their
-distance in the DOM. The minimum cut separates content from boilerplate.
+A page becomes a graph of text blocks and of the containers around them. A classifier over a
+block's own text (length, end, links, element) and over a container's element and names gives
+each node a cost for either label; the costs are capacities to the two terminals. Smoothness
+edges join neighbouring blocks, the weaker the further apart they are in the DOM, blocks of one
+parent, and each block with the containers that say something about it. The minimum cut
+separates content from boilerplate.
+
+A block's own cost is of the order of its edges, so most short lines of an article, and
+sentences of a sidebar, get their label through the cut. What a container says is certain (its
+capacity exceeds all its edges) or doubtful (a form, an article of an unlikely name): a doubtful
+one gives way when the texts in it weigh more.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -39,26 +47,42 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose text is not the page's. Unlike those of raw text they hold elements.
 SKIPPED = frozenset("template svg canvas object select button video audio".split())
-#: Costs of elements, and of words in class, id, role and label.
-TAG_COST = {"nav": -8, "footer": -8, "aside": -8, "form": -8, "menu": -6, "dialog": -8, "search": -8, "header": -8, "head": -20, "article": 4, "main": 3}
-NAME_COST = dict.fromkeys(
+#: Elements that hold boilerplate for certain or perhaps, elements of content, and words in class, id, role and label.
+BAD_TAGS = frozenset("nav footer aside menu dialog search header head".split())
+DOUBTFUL_TAGS = frozenset(["form"])
+GOOD_TAGS = frozenset("article main".split())
+BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar rail nav navbar navigation menu breadcrumb breadcrumbs "
     "footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus reply replies respond responses discussion widget pagination pager search form tagcloud "
-    "skip toolbar copyright legal disclaimer paywall toast complementary contentinfo hidden outbrain taboola feedback rating".split(),
-    -8.0,
-) | dict.fromkeys("article content entry post story main articlebody".split(), 1.0)
+    "skip toolbar copyright legal disclaimer paywall toast complementary contentinfo hidden outbrain taboola feedback rating".split()
+)
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
+GOOD_NAMES = frozenset("article content entry post story main articlebody".split())
 TAG_HINT = {"p": 0.4, "li": 0.4, "blockquote": 0.4, "pre": 0.4, "h1": 0.8, "h2": 0.8, "h3": 0.8}
-ADJACENT, SAME_PARENT = 1.0, 0.5
+#: Capacities of edges: between neighbours, in one parent, and to a container; and of a doubtful container to its terminal.
+ADJACENT, SAME_PARENT, HELD, DOUBTFUL = 1.0, 0.5, 5.0, 9.0
+#: What a container is for certain.
+CONTENT, BOILERPLATE = "content", "boilerplate"
 
 
 @dataclass
 class Block:
     text: str
-    score: float  # over 0: content
+    score: float  # of the text itself; over 0: content
     depth: int  # of open elements
     shared: int  # of those, how many were open from the block before on
     parent: int  # the container of its own element
+    held: tuple[int, ...]  # containers around it that say something about it
+
+
+@dataclass
+class Element:
+    tag: str
+    number: int
+    bad: int = 0  # the container of boilerplate that it is or lies in; 0: none
+    certain: bool = False  # whether that one is certain
+    good: int = 0  # the container of content that it is or lies in
 
 
 def _closed(tokens: list[re.Match]) -> set[int]:
@@ -82,8 +106,8 @@ class _Page:
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        # open elements: tag, number, and of it and all around it: least cost, sum of costs over 0, inside an article
-        self.stack: list[tuple[str, int, float, float, bool]] = []
+        self.says: dict[int, str | float] = {}  # containers: what they are for certain, or the cost of doubtful ones
+        self.stack: list[Element] = []
         self.low = 0
         self.pieces: list[str] = []
         self.link = self.linked = self.seen = 0
@@ -118,7 +142,7 @@ class _Page:
         elif tag in self.inside:
             while self.inside.pop() != tag:
                 pass
-        elif tag == "a" or any(element[0] == tag for element in self.stack):
+        elif tag == "a" or any(element.tag == tag for element in self.stack):
             if tag != "a":
                 self.inside.clear()
             self._close(tag)
@@ -134,18 +158,16 @@ class _Page:
             text = " ".join("".join(self.pieces).split())
             if text:
                 depth = len(self.stack)
-                self.blocks.append(Block(text, self._score(text), depth, min(self.low, depth), self.stack[-2][1] if depth > 1 else 0))
+                top = self.stack[-1] if self.stack else Element("", 0)
+                held = (top.bad,) if top.certain else tuple(n for n in (top.bad, top.good) if n)
+                self.blocks.append(Block(text, self._score(text, top.tag), depth, min(self.low, depth), self.stack[-2].number if depth > 1 else 0, held))
                 self.low = depth
         self.pieces, self.linked = [], 0
 
-    def _score(self, text: str) -> float:
-        tag, _, least, gain, inside = self.stack[-1] if self.stack else ("", 0, 0.0, 1.5, False)
-        score = min(least, 0.0) + (4.0 if inside else gain)
+    def _score(self, text: str, tag: str) -> float:
+        score = min(len(text), 150) / 50 - 1 + 0.5 * text.endswith((".", "!", "?", "…", '"', "»")) + TAG_HINT.get(tag, 0.0) + 1.5 * (not self.stack)
         density = min(1.0, self.linked / len(text))
-        if inside:
-            return score - 3.0 * (density > 0.6) * density
-        score += min(len(text), 200) / 50 - 1 + 0.5 * text.endswith((".", "!", "?", "…", '"', "»")) + TAG_HINT.get(tag, 0.0)
-        return score - 5.0 * (density > 0.6) * density
+        return score - 3.0 * (density > 0.6) * density
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -153,45 +175,53 @@ class _Page:
             return
         if tag == "a":
             self.link = 1
-        cost = float(TAG_COST.get(tag, 0))
-        if tag == "header" and self.stack and self.stack[-1][4]:
-            cost = 0.0  # of the article, not of the page
-        named = self._named(attributes) if attributes and tag not in ("html", "body") else 0.0
-        cost = min(cost, named) if named < 0 else cost + named
-        if tag in BLOCK or named < 0:
+        names = self._named(attributes) if attributes and tag not in ("html", "body") else frozenset()
+        bad = bool(names & BAD_NAMES)
+        if tag in BLOCK or bad:
             self._flush()
             if tag in CLOSES:
                 self._imply(CLOSES[tag], _SCOPES.get(tag, set()))
             elif tag in BLOCK:
                 self._imply({"p"}, set())
             if tag not in VOID and not attributes.endswith("/>"):
-                self.seen += 1
-                _, _, least, gain, inside = self.stack[-1] if self.stack else ("", 0, 0.0, 0.0, False)
-                self.stack.append((tag, self.seen, min(least, cost), gain + max(cost, 0.0), inside or tag in ("article", "main")))
-
-    def _named(self, attributes: str) -> float:
-        worst = best = 0.0
+                self._push(tag, names, bad)
+
+    def _push(self, tag: str, names: frozenset[str], bad: bool) -> None:
+        self.seen += 1
+        around = self.stack[-1] if self.stack else Element("", 0)
+        new = Element(tag, self.seen, around.bad, around.certain, around.good)
+        in_good = around.good and self.says[around.good] == CONTENT
+        certain = tag in BAD_TAGS and not (tag == "header" and in_good) or bad and (tag not in GOOD_TAGS or bool(names & COMMENT_NAMES))
+        if not around.certain:
+            if certain:
+                new.bad, new.certain, self.says[self.seen] = self.seen, True, BOILERPLATE
+            elif not around.bad and (bad or tag in DOUBTFUL_TAGS):
+                new.bad, self.says[self.seen] = self.seen, -DOUBTFUL
+            elif tag in GOOD_TAGS:
+                new.good, self.says[self.seen] = self.seen, CONTENT
+            elif names & GOOD_NAMES and not around.good:
+                new.good, self.says[self.seen] = self.seen, DOUBTFUL
+        self.stack.append(new)
+
+    def _named(self, attributes: str) -> frozenset[str]:
+        """The words of an opening tag's names, and `hidden` if it is not shown."""
+        out = set()
         for m in _PAIRS.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden":
-                return -8.0
-            if name == "style":
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                out.add("hidden")
+            elif name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    return -8.0
-            elif name == "aria-hidden":
-                if value == "true":
-                    return -8.0
+                    out.add("hidden")
             elif name in ("class", "id", "role", "aria-label"):
                 for token in value.split():
-                    for part in _PARTS.findall(token):
-                        part = part.lower()
-                        cost = NAME_COST.get(part, 0.0) if part != "hidden" or token.lower() == part else 0.0
-                        worst, best = min(worst, cost), max(best, cost)
-        return worst if worst < 0 else best
+                    parts = {part.lower() for part in _PARTS.findall(token)}
+                    out |= parts - {"hidden"} if token.lower() != "hidden" else parts
+        return frozenset(out)
 
     def _imply(self, closed: set[str], scope: set[str]) -> None:
         for at in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[at][0]
+            tag = self.stack[at].tag
             if tag in closed:
                 self._drop(at)
                 return
@@ -206,7 +236,7 @@ class _Page:
         if tag == "a":
             self.link = 0
         for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
+            if self.stack[at].tag == tag:
                 self._flush()
                 self._drop(at)
                 return
@@ -214,12 +244,21 @@ class _Page:
             self._flush()
 
 
-def blocks_of(html: str) -> list[Block]:
-    return _Page(html).blocks
+def graph_of(html: str) -> tuple[list[Block], list[float], list[tuple[int, int, float]]]:
+    """Blocks; costs of the blocks and, after them, of the containers that hold some; edges between these nodes."""
+    page = _Page(html)
+    edges = edges_of(page.blocks)
+    scores = [b.score for b in page.blocks]
+    n_held = Counter(n for b in page.blocks for n in b.held)
+    place = {n: len(scores) + i for i, n in enumerate(n_held)}
+    for n, blocks in n_held.items():
+        certain = HELD * blocks + 1
+        scores.append({CONTENT: certain, BOILERPLATE: -certain}.get(page.says[n], page.says[n]))
+    return page.blocks, scores, edges + [(i, place[n], HELD) for i, b in enumerate(page.blocks) for n in b.held]
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: between neighbours, and between each block and the one before it in its container."""
+    """Edges between neighbours, and between each block and the one before it in its parent."""
     edges, last = [], {}
     for i, block in enumerate(blocks):
         if i:
@@ -290,9 +329,9 @@ def main_text(html: str | None) -> str:
     """The content blocks in page order, one a line; empty if there are none."""
     if not html:
         return ""
-    blocks = blocks_of(html)
-    content = min_cut([b.score for b in blocks], edges_of(blocks))
-    return "\n".join(b.text for b, keep in zip(blocks, content, strict=True) if keep)
+    blocks, scores, edges = graph_of(html)
+    content = min_cut(scores, edges)
+    return "\n".join(b.text for b, keep in zip(blocks, content, strict=False) if keep)
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

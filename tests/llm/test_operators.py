@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -193,6 +194,48 @@ def test_min_cut_is_minimal():
         assert math.isclose(cost(html_extract.min_cut(scores, edges)), min(map(cost, itertools.product([False, True], repeat=n))), abs_tol=1e-6)
 
 
+def brute_text(html):
+    """The text by trying all labellings of a small page's nodes; of equal cuts that with the least content."""
+    blocks, scores, edges = html_extract.graph_of(html)
+    best, least = [], math.inf
+    for side in itertools.product([False, True], repeat=len(scores)):
+        cost = sum(max(s, 0) for s, x in zip(scores, side, strict=True) if not x) + sum(max(-s, 0) for s, x in zip(scores, side, strict=True) if x) + sum(w for i, j, w in edges if side[i] != side[j])
+        if cost < least - 1e-9:
+            best, least = [], cost
+        if cost <= least + 1e-9:
+            best.append(side)
+    return "\n".join(b.text for i, b in enumerate(blocks) if all(side[i] for side in best))
+
+
+def test_pages_are_labelled_by_the_least_cut():
+    rng = np.random.default_rng(6)
+    opens = ["<div>", "<article>", '<div class="ad">', "<form>", "<p>", "<ul><li>", '<div class="content">', "<nav>", "</div>", "</article>", "</form>", "<h2>", "<a href=x>", "</a>"]
+    texts = ["Te.", "More", LONG, "A line without an end", f"{LONG} {LONG}"]
+    moved = 0
+    for _ in range(150):
+        html = "".join(rng.choice(opens) + (rng.choice(texts) if rng.random() < 0.5 else "") for _ in range(14))
+        blocks, scores, _ = html_extract.graph_of(html)
+        if len(scores) <= 11:
+            assert html_extract.main_text(html) == brute_text(html), html
+            moved += html_extract.main_text(html) != "\n".join(b.text for b in blocks if b.score > 0)
+    assert moved > 10
+
+
+def test_doubtful_containers_give_way_to_much_text():
+    form = "".join(f"<p>{LONG} {LONG}</p>" for _ in range(20))
+    assert html_extract.main_text(f"<form><label>Name</label>{form}</form>").count("\n") >= 19
+    assert html_extract.main_text(f"<article><p>{LONG}</p></article><form><p>Subscribe to our letter.</p></form>") == LONG
+    assert html_extract.main_text(f'<article class="comment">{form}</article>') == ""
+
+
+def test_pages_of_nothing_and_of_much(spark):
+    assert html_extract.extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0
+    began = time.time()
+    assert html_extract.main_text("<div>" * 20_000 + f"<article><p>{LONG}" * 5_000).count("\n") == 4_999
+    assert html_extract.main_text("<p <b" * 50_000) is not None and html_extract.main_text("<" * 300_000) is not None and html_extract.main_text('<a x="' * 30_000) is not None
+    assert time.time() - began < 60
+
+
 # -- 4
 
 
