@@ -1,47 +1,71 @@
 """Shards of near-equal bytes in which equal texts stay together.
 
 Longest-processing-time scheduling: groups of equal texts, largest first, go to the
-least-loaded shard through a heap. The heap runs on the driver, so what it sees is bounded:
-a group that holds at least 1/LIGHT_BINS of all bytes is an item of its own (there are at
-most LIGHT_BINS of those); all lighter groups are folded by hash into LIGHT_BINS items.
-While there are fewer groups than bins this is LPT over the groups almost one by one; beyond
-that an item stays under 2/LIGHT_BINS of the bytes, which bounds how uneven shards can get.
+least-loaded shard through a heap. Groups of one size are interchangeable, so the driver is told
+how many groups there are of each size, and deals whole runs of them; which group of a
+run goes where follows from its rank among those of its size. The loads are those of
+dealing group by group. n bytes hold at most sqrt(2 n) different sizes: that bounds the driver's table.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import staged
 
-#: Most items of light groups (and most heavy groups) that LPT orders on the driver.
-LIGHT_BINS = 1 << 15
 #: Rows that one window partition numbers, about.
 ROWS_PER_CELL = 1 << 16
+#: A group of at least this part of all rows is joined by broadcast: there are no more than that many.
+HEAVY = 1 << 15
 
 
-def lpt(items: list[tuple[str, int]], n_shards: int) -> list[tuple[str, int]]:
-    """Items (name, bytes), largest first and ties by name, each to the least-loaded shard."""
+def lpt(sizes: list[tuple[int, int]], n_shards: int) -> list[tuple[int, int, int]]:
+    """(size, shard, after) from (size, number of groups), sizes falling.
+
+    Of the groups of a size, ranked from 0, those below after and not below the after before it
+    are the shard's. Of equal loads the shard of the smaller number is first.
+    """
     heap = [(0, shard) for shard in range(n_shards)]
-    placed = []
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        placed.append((name, shard))
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+    out = []
+    for size, count in sorted(sizes, reverse=True):
+        dealt = [0] * n_shards
+        left = count
+        if count > 2 * n_shards:
+            # every shard whose load is under the final level by a size or more is filled up to there at once
+            low, n, filled = sorted(heap), 0, 0
+            while n < n_shards and count * size + filled >= n * low[n][0]:
+                filled += low[n][0]
+                n += 1
+            level = (count * size + filled) // n - size
+            for load, shard in low[:n]:
+                dealt[shard] = max(0, -(-(level - load) // size))
+            left -= sum(dealt)
+            heap = [(load + dealt[shard] * size, shard) for load, shard in heap]
+            heapq.heapify(heap)
+        for _ in range(left):
+            load, shard = heap[0]
+            dealt[shard] += 1
+            heapq.heapreplace(heap, (load + size, shard))
+        after = 0
+        for shard, n in enumerate(dealt):
+            if n:
+                after += n
+                out.append((size, shard, after))
+    return out
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", light_bins: int = LIGHT_BINS) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes plus 1; a null text counts as an empty one, and shares its
-    group. Null or repeated ids keep their rows: groups hang on the text alone. An empty table
-    gives an empty result. Other columns of docs are not read. slot numbers a shard's rows
-    from 0 without gaps, by id within hashed cells; equal rows are interchangeable.
+    group. Texts are told apart by their MD5. Null or repeated ids keep their rows: groups hang
+    on the text alone. An empty table gives an empty result. Other columns of docs are not read.
+    slot numbers a shard's rows from 0 without gaps; which row has which is not fixed.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -53,44 +77,39 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
             F.md5(text.cast("binary")).alias("group"),
         )
     )
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    sized = groups.select(
-        F.when(F.col("bytes") * light_bins >= total, F.col("group")).otherwise(_bin(light_bins)).alias("item"), "bytes"
-    )
-    items = sized.groupBy("item").agg(F.sum("bytes").alias("bytes")).collect()  # at most 2 * light_bins rows
-    placed = spark.createDataFrame(lpt([(r["item"], r["bytes"]) for r in items], n_shards), "item string, shard int")
-    # a heavy group's name is its hash and a bin's name starts with a letter that no hash has
-    heavy = F.broadcast(placed.filter(~F.col("item").startswith("z")).select(F.col("item").alias("group"), F.col("shard").alias("own")))
-    light = F.broadcast(placed.filter(F.col("item").startswith("z")).select(F.col("item").alias("bin"), F.col("shard").alias("folded")))
-    dealt = (
-        rows.withColumn("bin", _bin(light_bins))
-        .join(heavy, "group", "left")
-        .join(light, "bin", "left")
-        .withColumn("shard", F.coalesce("own", "folded"))
-    )
-    n_cells = max(16, -(-n_rows // (n_shards * ROWS_PER_CELL)))
-    cells = dealt.select(
-        "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_cells)).alias("cell")
-    )
+    n_rows = rows.count()
+    n_cells = max(16, -(-n_rows // ROWS_PER_CELL))
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
+    groups = staged(groups.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(n_cells))))
+    per_cell = groups.groupBy("bytes", "cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_cell.groupBy("bytes").agg(F.sum("n").alias("n")).toArrow()  # at most sqrt(2 * all bytes) rows
+    dealt = lpt(list(zip(counts.column("bytes").to_pylist(), counts.column("n").to_pylist(), strict=True)), n_shards)
+    columns = zip(*dealt, strict=True) if dealt else ([], [], [])
+    runs = staged(spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], ["bytes", "shard", "after"])))
+    runs = runs.groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("after", "shard"))).alias("runs"))  # at most one for each shard
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("bytes").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = per_cell.withColumn("start", start).join(runs, "bytes").select("bytes", "cell", "start", "runs")
+    rank = F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("group")) - 1
+    ranked = groups.withColumn("rank", rank).join(cells, ["bytes", "cell"])
+    own = F.get(F.filter("runs", lambda run: run["after"] > F.col("start") + F.col("rank")), F.lit(0))
+    placed = staged(ranked.select("group", "n_rows", own["shard"].cast("int").alias("shard")))
+
+    heavy = F.col("n_rows") * HEAVY >= n_rows
+    numbered = rows.select("*", F.col("_metadata.row_index").alias("row"))
+    known = numbered.join(F.broadcast(placed.filter(heavy).select("group", "shard")), "group", "left")
+    rest = known.filter("shard is null").drop("shard").join(placed.filter(~heavy).select("group", "shard"), "group")
+    # rows that are equal in all columns lie in different cells too
+    cell = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(n_cells))
+    dealt_rows = staged(known.filter("shard is not null").unionByName(rest).select("doc_id", "size", "text_crc32", "shard", cell.alias("cell")))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        cells.groupBy("shard", "cell")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .drop("n")
-    )
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32"))
-    return cells.withColumn("rank", rank).join(starts, ["shard", "cell"]).select(
+    starts = dealt_rows.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32")) - 1
+    return dealt_rows.withColumn("place", place).join(starts, ["shard", "cell"]).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"),
+        (F.col("start") + F.col("place")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def _bin(light_bins: int):
-    return F.concat(F.lit("z"), F.pmod(F.xxhash64("group"), F.lit(light_bins)).cast("string"))
