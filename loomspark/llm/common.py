@@ -41,6 +41,26 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds at least this part of all rows is joined by broadcast: there are no more than that many.
+HEAVY = 1 << 15
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows with the other columns of table, whose key is unique, or nulls; rows is read twice.
+
+    weight says how many of the rows a key of table holds. Keys that hold 1/HEAVY of them or
+    more are joined by broadcast and the others by a shuffle, so no task gets a hot key's rows.
+    """
+    n_rows = rows.count()
+    heavy = F.col(weight) * HEAVY >= n_rows
+    others = [c for c in table.columns if c not in (key, weight)]
+    table = staged(table)
+    marked = rows.join(F.broadcast(table.filter(heavy).select(key, *others, F.lit(True).alias("_loomspark_heavy"))), key, "left")
+    hot = marked.filter("_loomspark_heavy").drop("_loomspark_heavy")
+    rest = marked.filter("_loomspark_heavy is null").drop("_loomspark_heavy", *others).join(table.filter(~heavy).select(key, *others), key, "left")
+    return hot.unionByName(rest)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import joined, staged
 
 #: Rows that one window partition numbers, about.
 ROWS_PER_CELL = 1 << 16
-#: A group of at least this part of all rows is joined by broadcast: there are no more than that many.
-HEAVY = 1 << 15
 
 
 def lpt(sizes: list[tuple[int, int]], n_shards: int) -> list[tuple[int, int, int]]:
@@ -92,15 +90,12 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     rank = F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("group")) - 1
     ranked = groups.withColumn("rank", rank).join(cells, ["bytes", "cell"])
     own = F.get(F.filter("runs", lambda run: run["after"] > F.col("start") + F.col("rank")), F.lit(0))
-    placed = staged(ranked.select("group", "n_rows", own["shard"].cast("int").alias("shard")))
+    placed = ranked.select("group", "n_rows", own["shard"].cast("int").alias("shard"))
 
-    heavy = F.col("n_rows") * HEAVY >= n_rows
-    numbered = rows.select("*", F.col("_metadata.row_index").alias("row"))
-    known = numbered.join(F.broadcast(placed.filter(heavy).select("group", "shard")), "group", "left")
-    rest = known.filter("shard is null").drop("shard").join(placed.filter(~heavy).select("group", "shard"), "group")
+    numbered = joined(rows.select("*", F.col("_metadata.row_index").alias("row")), placed, "group", "n_rows")
     # rows that are equal in all columns lie in different cells too
     cell = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(n_cells))
-    dealt_rows = staged(known.filter("shard is not null").unionByName(rest).select("doc_id", "size", "text_crc32", "shard", cell.alias("cell")))
+    dealt_rows = staged(numbered.select("doc_id", "size", "text_crc32", "shard", cell.alias("cell")))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt_rows.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32")) - 1

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loomspark.llm import decontaminate, embedding_dups, html_extract, jaccard, langid, licenses, packing, secrets, sharding, shingles, toxicity
+from loomspark.llm import common, decontaminate, embedding_dups, html_extract, jaccard, langid, licenses, packing, secrets, sharding, shingles, toxicity
 from loomspark.llm.components import components
 
 WORDS = "the cat sat on a mat and the dog ran to it while birds sang over old green hills near our quiet little house by sea".split()
@@ -82,7 +82,7 @@ def test_runs_are_dealt_as_single_groups():
 
 
 def test_shards_of_equal_rows(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "HEAVY", 2)
+    monkeypatch.setattr(common, "HEAVY", 2)
     rows = sharding.shard_by_bytes(docs_table(spark, [(1, "same text")] * 50 + [(None, f"text {i % 10}") for i in range(60)]), 3).collect()
     assert len({r.shard for r in rows if r.doc_id == 1}) == 1 and len(rows) == 110
     for s in range(3):
@@ -411,6 +411,62 @@ def test_packing(spark, texts):
 # -- 8
 
 
+def brute_vectors(rows):
+    """(links, smallest reachable id) of each row (id, vector, label) by comparing all pairs."""
+    good = [k for k, (_, v, lab) in enumerate(rows) if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)]
+    n, root = [0] * len(rows), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for label, size in {(rows[k][2], len(rows[k][1])) for k in good}:
+        own = [k for k in good if rows[k][2] == label and len(rows[k][1]) == size]
+        x = embedding_dups.unit([rows[k][1] for k in own])
+        for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)), strict=True):
+            a, b = own[i], own[j]
+            n[a] += 1
+            n[b] += 1
+            root[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return [(n[k], least[find(k)]) for k in range(len(rows))]
+
+
+def planted_vectors(kind):
+    """Vectors with thousands of links: pairs near the limit, clusters, and for `cone` a common direction."""
+    rng = np.random.default_rng(10)
+    base = rng.normal(0, 1, (2500, 48)) + (3 if kind == "cone" else 0)
+    angle = np.arccos(0.98) * rng.uniform(0, 1.02, (2500, 1))
+    side = rng.normal(0, 1, base.shape)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    side -= (side * unit).sum(1, keepdims=True) * unit
+    near = np.cos(angle) * unit + np.sin(angle) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    cluster = unit[0] + rng.normal(0, 0.012, (600, 48))
+    pairs = np.stack([unit, near], 1).reshape(-1, 48)
+    return [(i, v.tolist(), i // 2 % 2 if i < len(pairs) else 0) for i, v in enumerate(np.concatenate([pairs, cluster]))]
+
+
+@pytest.mark.parametrize("kind", ["sphere", "cone"])
+def test_recall_of_links_and_components(spark, kind):
+    rows = planted_vectors(kind)
+    want = brute_vectors(rows)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dups.near_vectors(table).collect()}
+    links, total = sum(got[i].n_links for i, _, _ in rows), sum(n for n, _ in want)
+    same = sum(got[i].component_id == c for (i, _, _), (_, c) in zip(rows, want, strict=True)) / len(rows)
+    print(kind, "links", links / total, "components", same)
+    assert total > 4000 and 0.97 <= links / total <= 1 and same > 0.97
+    pairs = [k for k in range(0, 5000) if want[k][0]]
+    assert sum(got[rows[k][0]].n_links > 0 for k in pairs) >= 0.95 * len(pairs)
+    if kind == "sphere":
+        exact = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dups.near_vectors(table, exact=True).collect()}
+        assert exact == {i: w for (i, _, _), w in zip(rows, want, strict=True)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(0, 1, (60, 16))
@@ -420,21 +476,17 @@ def test_vectors(spark):
     table = spark.createDataFrame([(i, v, lab, "n") for i, v, lab in rows], "vec_id long, embedding array<double>, label int, key string")
     found = embedding_dups.near_vectors(table).collect()
     assert len(found) == len(rows)
-    good = [k for k, (_, v, lab) in enumerate(rows) if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)]
-    links = defaultdict(set)
-    for a, b in itertools.combinations(good, 2):
-        if rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
-            x, y = embedding_dups.unit([rows[a][1], rows[b][1]])
-            if x @ y >= 0.98:
-                links[a].add(b)
-                links[b].add(a)
-    total = sum(map(len, links.values()))
-    assert 0.95 * total <= sum(r.n_links for r in found) <= total
+    want = sum(n for n, _ in brute_vectors(rows))
+    assert 0.95 * want <= sum(r.n_links for r in found) <= want
+    exact = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dups.near_vectors(table, exact=True).collect())
+    assert exact == sorted((i, n, c) for (i, _, _), (n, c) in zip(rows, brute_vectors(rows), strict=True))
     alone = {r.vec_id: r for r in found}
     for i in (3000, 3001, 3002, 3003, 3004, 3005, 3008):
         assert (alone[i].n_links, alone[i].component_id, alone[i].kept) == (0, i, True)
     assert alone[3006].n_links == alone[3007].n_links == 1 and alone[3007].component_id == 3006
     assert embedding_dups.near_vectors(table.limit(0)).count() == 0
+    unnamed = embedding_dups.near_vectors(spark.createDataFrame([(None, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (5, [2.0, 4.1], 1)], "vec_id long, embedding array<double>, label int"))
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in unnamed.collect()) == [("5", 2, 5), ("None", 2, 5), ("None", 2, 5)]
 
 
 def test_long_lists_are_dealt_as_blocks(spark, monkeypatch):
