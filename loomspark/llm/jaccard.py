@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, staged
+from .common import joined, shuffle_parts, staged
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -41,6 +41,8 @@ COMMON_IN_TASK, COMMON_IN_ALL, MAX_COMMON = 2, 40, 1 << 18
 COMMON_BITS = 24
 #: Signatures of one group of the shuffle, about.
 GROUP = 1 << 18
+#: Members of a signature in a block, and rows of a task that compares them, about.
+BLOCK, ROWS_PER_TASK = 2048, 1 << 15
 #: Bits of the screen for the ids of candidates.
 SCREEN_BITS = 20
 _U = np.uint64
@@ -288,14 +290,17 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _across(similarity: int):
-    """Pairs of different components within each signature, from rows that are sorted by it; screened by sketches."""
+    """Pairs of different components within each list, from rows that are sorted by it; screened by sketches.
 
-    def pairs_of(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, int]]:
+    A list is the members of a signature, or two blocks of them, of which only pairs across the blocks count.
+    """
+
+    def pairs_of(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, int]]:
         packed = [np.frombuffer(s, np.uint64) for s in sketches]
         words = min(map(len, packed))
         packed = np.stack([folded(p, words) for p in packed])
         for i in range(len(nodes) - 1):
-            rest = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+            rest = np.flatnonzero((roots[i + 1 :] != roots[i]) & ((blocks[i + 1 :] != blocks[i]) | (blocks[i] < 0))) + i + 1
             n = sizes[rest]
             rest = rest[np.minimum(n, sizes[i]) * 100 >= similarity * np.maximum(n, sizes[i])]
             if len(rest):
@@ -308,13 +313,13 @@ def _across(similarity: int):
         told: set[tuple[int, int]] = set()
 
         def flush(table: pa.Table) -> pa.RecordBatch:
-            sign = table.column("sign").to_numpy()
+            sign = table.column("list").to_numpy()
             cuts = np.append(np.flatnonzero(np.append(True, sign[1:] != sign[:-1])), len(sign))
-            node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+            node, root, n, block = (table.column(c).to_numpy() for c in ("node", "root", "n", "block"))
             sketches = table.column("sketch").to_pylist()
             found = set()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                found.update(pairs_of(node[a:b], root[a:b], n[a:b], sketches[a:b]))
+                found.update(pairs_of(node[a:b], root[a:b], n[a:b], block[a:b], sketches[a:b]))
             found -= told
             if len(told) < 1 << 17:
                 told.update(found)
@@ -324,9 +329,9 @@ def _across(similarity: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign = batch.column("sign").to_numpy()
-            cut = int(np.searchsorted(sign, sign[-1]))  # rows before the last signature are whole groups
-            if cut or (held and held[-1].column("sign")[-1].as_py() != sign[0]):
+            sign = batch.column("list").to_numpy()
+            cut = int(np.searchsorted(sign, sign[-1]))  # rows before the last list are whole lists
+            if cut or (held and held[-1].column("list")[-1].as_py() != sign[0]):
                 yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
@@ -371,9 +376,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
 
     labelled = staged(members.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root")))
-    open_signs = labelled.groupBy("sign").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("sign")
-    left = labelled.join(open_signs, "sign", "left_semi").join(sketches, "node")
-    across = left.repartition(max(64, shuffle_parts(spark)), "sign").sortWithinPartitions("sign").mapInArrow(_across(similarity), "a long, b long")
+    opened = labelled.groupBy("sign").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count(F.lit(1)).alias("n_members")).filter("one <> other")
+    opened = staged(opened.select("sign", "n_members", F.ceil(F.col("n_members") / BLOCK).alias("n_blocks")))
+    n_dealt = opened.agg(F.coalesce(F.sum(F.col("n_members") * F.col("n_blocks")), F.lit(0))).first()[0]
+    left = joined(labelled, opened, "sign", "n_members").filter("n_blocks is not null").join(sketches, "node")
+    # one block: its pairs all count (block -1); more: every two of them make a list, and each one by itself
+    own = F.pmod("node", "n_blocks")
+    left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    left = left.select(
+        F.xxhash64("sign", F.least("own", "other"), F.greatest("own", "other")).alias("list"), F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own")).alias("block"), "node", "root", "n", "sketch"
+    )
+    across = left.repartition(max(shuffle_parts(spark), -(-n_dealt // ROWS_PER_TASK)), "list").sortWithinPartitions("list").mapInArrow(_across(similarity), "a long, b long")
     across = staged(across.distinct())
     missing = staged(_ends(across).join(sets.select("node"), "node", "left_anti"))
     if not missing.isEmpty():
@@ -382,7 +395,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links.unionByName(more))
 
     keyed = staged(rows.join(roots, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("key")))
-    smallest = keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("smallest"))
-    return keyed.join(smallest, "key", "left").select(
+    smallest = keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("held"))
+    return joined(keyed, smallest, "key", "held").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id")
     )

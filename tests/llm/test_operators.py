@@ -547,6 +547,18 @@ def test_jaccard_of_long_near_copies(spark):
     assert sorted(map(tuple, found), key=str) == brute_components(rows)
 
 
+def test_jaccard_in_blocks_and_by_broadcast(spark, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(common, "HEAVY", 8)
+    base = [f"w{i}" for i in range(60)]
+    rng = np.random.default_rng(11)
+    rows = list(texts)
+    for i in range(60):  # one passage in many texts that are not alike
+        rows.append((20_000 + i, " ".join([*base[:30], *rng.choice(WORDS, 30)])))
+    found = jaccard.near_duplicates(docs_table(spark, rows)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(7)
     common = np.zeros(1 << jaccard.COMMON_BITS, bool)
