@@ -1,7 +1,7 @@
 """Toxicity from a weighted lexicon matched by an Aho-Corasick automaton.
 
-Text is folded first: lower case, homoglyphs and digit substitutions to the letters they stand
-for, all else between words to one kind of gap. Lexicon entries are words or beginnings of
+Text is folded first: lower case, compatible forms, homoglyphs and digit substitutions to the
+letters they stand for, all else between words to one kind of gap. Lexicon entries are words or beginnings of
 words. Matches inside an exception phrase do not count. The matched weight, normalised by the
 text's length, goes through a logistic curve.
 
@@ -11,6 +11,9 @@ The lexicon's weights and the curve are fitted on a bounded sample of labelled r
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,34 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import staged
+
 #: Labelled rows that training reads at most, about: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
-#: Lexicon entries kept at most: a model's size, not a limit on data.
-MAX_ENTRIES = 2_000
 #: Lengths of word beginnings that may become entries.
 STEMS = range(4, 9)
 #: Least log-odds of an entry, two standard errors below its estimate, and least toxic texts with it.
 MIN_ODDS, MIN_TEXTS = 1.5, 4
 
-#: Letters that look like Latin ones, each with the letter it stands for.
+#: Lower-case letters that look like Latin ones (Cyrillic, Greek, Latin), each with the letter it stands for.
 HOMOGLYPHS = str.maketrans(
-    "асеһіјкӏморѕтухԁԛԝҮАВСЕНІЈКМОРЅТХ" "αβεικνορτυχ" "ıɑɡℓⅼ" "０１２３４５６７８９",
-    "acehijklmopstyxdqwyabcehijkmopstx" "aBeiKvoptux".lower() + "iagll" "0123456789",
+    "авсеёгһіїјкӏмнорѕтухԁԛԝ" "αβγεηικνορτυχω" "ıɑɡℓⱡøđħł",
+    "abceerhiijklmhopstyxdqw" "abyenikvoptuxw" "iagllodhl",
 )
 #: Digits and signs written for letters.
 DIGITS = str.maketrans("013457@$", "oieastas")
-#: Entries of every lexicon, and harmless phrases with them.
+#: The lexicon where there are no labels to learn one from, and harmless phrases with such words.
 SEED_LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "pond scum")
-_GAPS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum() and c not in "@$"} | {c: None for c in "­​‌‍⁠﻿"})
+_GAPS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum() and c not in "@$"} | {c: None for c in "\u00ad\u200b\u200c\u200d\u2060\ufeff"})
+#: Whole words with a digit or sign that may stand for a letter.
+_DIGIT_WORD = re.compile(r"(?<!\S)[^\s013457@$]*+[013457@$]\S*+")
+
+
+def _lettered(word: re.Match) -> str:
+    return word[0].translate(DIGITS) if any(c.isalpha() for c in word[0]) else word[0]
 
 
 def fold(text: str) -> str:
     """Folded text, a space before and after it. Digits stand for letters only in words that hold letters."""
-    text = text.lower().translate(_GAPS)
+    text = text.lower()
     if not text.isascii():
-        text = text.translate(HOMOGLYPHS)
-    return f" {text.translate(DIGITS)} "
+        text = unicodedata.normalize("NFKC", text).lower().translate(HOMOGLYPHS)
+    return f" {_DIGIT_WORD.sub(_lettered, text.translate(_GAPS))} "
 
 
 @dataclass(frozen=True)
@@ -73,14 +82,21 @@ class Model:
         return (1.0, math.log1p(weight), math.log1p(100 * weight / words), math.log1p(hits))
 
     def _matched(self, folded: str) -> tuple[float, int]:
-        found = list(automaton(self).iter(folded))
+        found = list(automaton(self).iter(folded)) if self.entries else []
         if not found:
             return 0.0, 0
-        shields = [(end - size + 1, end) for end, (size, weight) in found if weight is None]
+        ends: list[int] = []  # of the exception phrases, and below their starts; both rise
+        starts: list[int] = []
+        for end, (size, weight) in found:
+            if weight is None:
+                while starts and starts[-1] >= end - size + 1:
+                    starts.pop(), ends.pop()
+                starts.append(end - size + 1)
+                ends.append(end)
         best: dict[int, float] = {}
         for end, (size, weight) in found:
             start = end - size + 1
-            if weight is not None and not any(a <= start <= b for a, b in shields):
+            if weight is not None and not ((at := bisect_right(starts, start)) and start <= ends[at - 1]):
                 best[start] = max(weight, best.get(start, weight))  # of entries that begin one word, the heaviest
         return sum(best.values()), len(best)
 
@@ -103,7 +119,7 @@ def _features(text: str) -> set[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """A model from labelled rows, at most about sample_rows of them.
+    """A model from labelled rows, at most about sample_rows of them: that bounds the number of entries too.
 
     Rows with a null id or label are left out; a null text counts as empty. Without labelled
     rows of both kinds the model is the seed lexicon with a fixed curve.
@@ -127,18 +143,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = rows.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(
         F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("c")
-    ).persist()
+    )
+    counts = staged(counts)
     total = counts.filter("feature = ''").first()
     a_all, c_all = (total["a"], total["c"]) if total else (0, 0)
     if not a_all or not c_all:
-        counts.unpersist()
         return Model(tuple((f" {w} ", 4.0) for w in sorted(SEED_LEXICON)), exceptions, (-4.0, 1.0, 1.0, 1.0))
     odds = F.log((F.col("a") + 0.5) / (a_all + 1)) - F.log((F.col("c") + 0.5) / (c_all + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") + 0.5))
     strong = counts.filter(F.col("feature") != "").filter(F.col("a") >= MIN_TEXTS).withColumn("odds", odds).filter(F.col("odds") - 2 * error >= MIN_ODDS)
-    entries = {r["feature"]: r["odds"] for r in strong.orderBy(F.desc("odds"), "feature").limit(MAX_ENTRIES).collect()}
-    counts.unpersist()
-    entries |= {f" {w} ": 4.0 for w in SEED_LEXICON if f" {w} " not in entries}
+    entries = {r["feature"]: r["odds"] for r in strong.collect()}  # no more than the words of the sample
     model = Model(tuple(sorted(entries.items())), exceptions)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 

@@ -300,6 +300,39 @@ def test_fold_and_exceptions():
     assert model.score("") < 0.1 < 0.7 < model.score("you idiot and moron")
 
 
+def test_folding():
+    assert toxicity.fold("455 and 1,000 at 7pm @ $5") == " 455 and 1 000 at tpm @ $5 "
+    assert toxicity.fold("ВAD НATE ｔｒａｓｈ 𝐬𝐜𝐮𝐦").split() == ["bad", "hate", "trash", "scum"]
+    began = time.time()
+    assert len(toxicity.fold("x" * 500_000 + "1")) > 500_000 and len(toxicity.fold("1" * 500_000)) > 500_000
+    assert time.time() - began < 5
+
+
+def test_matches_are_the_naive_ones():
+    rng = np.random.default_rng(12)
+    words = ["ab", "abc", "ba", "bab", "c", "ca"]
+    for _ in range(300):
+        entries = {(" " + w + (" " if rng.random() < 0.5 else "")): float(rng.integers(1, 5)) for w in rng.choice(words, 3)}
+        exceptions = tuple({" ".join(rng.choice(words, rng.integers(1, 4))) for _ in range(2)})
+        model = toxicity.Model(tuple(entries.items()), exceptions)
+        text = " " + " ".join(rng.choice(words, rng.integers(0, 25))) + " "
+        spots = lambda entry: [i for i in range(len(text)) if text.startswith(entry, i)]  # noqa: B023, E731
+        shields = [(i, i + len(e) + 1) for e in exceptions for i in spots(f" {e} ")]
+        best = {}
+        for entry, weight in entries.items():
+            for i in spots(entry):
+                if not any(a <= i <= b for a, b in shields):
+                    best[i] = max(weight, best.get(i, 0))
+        assert model._matched(text) == (sum(best.values()), len(best)), (entries, exceptions, text)
+
+
+def test_toxicity_of_nothing(spark):
+    model = toxicity.Model((), (), (-3.0, 0.0, 0.0, 0.0))
+    assert toxicity.with_toxicity(docs_table(spark, []), model).count() == 0 and model.score("a b") < 0.1
+    scores = [r.score for r in toxicity.with_toxicity(docs_table(spark, [(1, "a b"), (1, "a b")]), toxicity.Model(((" a ", 3.0),), (), (-1.0, 1.0, 1.0, 1.0))).collect()]
+    assert scores[0] == scores[1] > 0.5
+
+
 def test_toxicity(spark):
     base = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{base}/documents.parquet").withColumn("fold", langid.fold(langid.F.col("doc_id"), 3))
