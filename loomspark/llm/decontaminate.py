@@ -5,8 +5,10 @@ each word the automaton gives the longest suffix that occurs in an item. Where t
 at least a window long, the window's words are hit. An item shorter than a window counts as
 one window by itself.
 
-Items are cut into blocks of a bounded number of words. Each block gives one automaton, one
-broadcast and one pass; passes are chained, so a larger benchmark costs time, not memory.
+Items are cut into blocks of a bounded number of words, each with its automaton. One block, the
+usual case, is one pass. More are passes one after another over the texts: a pass holds one automaton
+and writes what it found in the texts that were hit, keyed by their MD5, so a larger benchmark
+costs time, not memory.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import joined, staged
+
 #: The words of lower-cased text. In UTF-8 these are runs of a-z, 0-9 and bytes over 127.
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -145,17 +149,52 @@ def _merged(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def automata(items: DataFrame, window: int, id_col: str, text_col: str, block_words: int) -> list:
-    """Broadcast automata over blocks of items; null texts and items without words are in none."""
+def _blocks(items: DataFrame, window: int, id_col: str, text_col: str, block_words: int) -> tuple[int, Iterator]:
+    """How many blocks of items there are, and their broadcast automata one by one; null texts and items without words are in none."""
     spark = items.sparkSession
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // (4 * block_words)))  # words and the gap after them take four characters or more
-    blocks = []
-    for block in range(n_blocks):
-        own = rows if n_blocks == 1 else rows.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block)
-        blocks.append(spark.sparkContext.broadcast(SuffixAutomaton(((r["item"], words_of(r["text"])) for r in own.toLocalIterator()), window)))
-    return blocks
+    total = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(_WORDS.pattern))), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-total // block_words))
+
+    def built() -> Iterator:
+        for block in range(n_blocks):
+            own = rows if n_blocks == 1 else rows.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block)
+            yield spark.sparkContext.broadcast(SuffixAutomaton(((r["item"], words_of(r["text"])) for r in own.toLocalIterator()), window))
+
+    return n_blocks, built()
+
+
+def _found_by_text(texts: DataFrame, blocks: Iterator) -> DataFrame:
+    """(hash, runs, items, n_rows) of the texts (column text) that were hit, with the runs of all blocks together."""
+
+    def finder(block):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for text in batch.column(0):
+                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    runs, names = block.value.scan(words_of(raw))
+                    if runs:
+                        rows.append((hashlib.md5(raw).hexdigest(), [x for run in runs for x in run], sorted(names)))
+                columns = list(zip(*rows, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.list_(pa.string()))], ["hash", "runs", "items"])
+
+        return find
+
+    found = None
+    for block in blocks:
+        part = staged(texts.mapInArrow(finder(block), "hash string, runs array<long>, items array<string>"))
+        block.destroy()
+        part = part.groupBy("hash").agg(F.any_value("runs").alias("runs"), F.any_value("items").alias("items"), F.count(F.lit(1)).alias("n_rows"))
+        found = part if found is None else found.unionByName(part)
+    merged = F.arrow_udf(_merged_flat, T.ArrayType(T.LongType()))
+    lists = found.groupBy("hash").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.max("n_rows").alias("n_rows"))  # one of each block at most
+    return lists.withColumn("runs", merged("runs"))
+
+
+def _merged_flat(runs: pa.Array) -> pa.Array:
+    pairs = [_merged([[a, b] for a, b in zip(own[::2], own[1::2], strict=True)]) for own in runs.to_pylist()]
+    return pa.array([[x for pair in own for x in pair] for own in pairs], pa.list_(pa.int64()))
 
 
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_runs array<long>"
@@ -170,37 +209,40 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     empty docs gives an empty result. Columns of docs keep their values, save those that carry
     one of the result's names, which are replaced.
     """
-    blocks = automata(items, window, item_id, item_text, block_words)
+    n_blocks, blocks = _blocks(items, window, item_id, item_text, block_words)
     own = T.StructType.fromDDL(_RESULT)
     # the text goes first, under a name of its own: columns of docs may have any names
-    out = docs.select(docs[text_col].alias("_loomspark_text"), *[docs[c] for c in (docs.columns if keep is None else keep) if c not in own.names])
-    for block in blocks[:-1]:
-        out = out.mapInArrow(_scanner(block, False), T.StructType([*(f for f in out.schema if f.name not in ("_loomspark_runs", "_loomspark_items")), T.StructField("_loomspark_runs", T.ArrayType(T.LongType())), T.StructField("_loomspark_items", T.ArrayType(T.StringType()))]))
-    kept = [f for f in out.schema if f.name not in ("_loomspark_text", "_loomspark_runs", "_loomspark_items")]
-    return out.mapInArrow(_scanner(blocks[-1], True), T.StructType([*kept, *own]))
-
-
-def _scanner(block, last: bool):
-    """Adds one block's hits to those of the blocks before; the last one gives the result's columns."""
+    base = docs.select(docs[text_col].alias("_loomspark_text"), *[docs[c] for c in (docs.columns if keep is None else keep) if c not in own.names])
+    kept = base.schema.fields[1:]
+    if n_blocks == 1:
+        return base.mapInArrow(_scanner(next(blocks)), T.StructType([*kept, *own]))
+    found = _found_by_text(base.select("_loomspark_text"), blocks)
+    counted = staged(base.mapInArrow(_scanner(None), T.StructType([*kept, T.StructField("_loomspark_hash", T.StringType()), T.StructField("n_words", T.LongType())])))
+    out = joined(counted, found.select(F.col("hash").alias("_loomspark_hash"), F.col("runs").alias("_loomspark_runs"), F.col("items").alias("_loomspark_items"), F.col("n_rows").alias("_loomspark_n")), "_loomspark_hash", "_loomspark_n")
+    runs, names = F.coalesce("_loomspark_runs", F.array().cast("array<long>")), F.coalesce("_loomspark_items", F.array().cast("array<string>"))
+    hit = F.aggregate(F.transform(runs, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select(
+        *[f"`{f.name}`" for f in kept], "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), runs.alias("hit_runs")
+    )
+
+
+def _scanner(block):
+    """The result's columns by the one block; without a block the text's hash and number of words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = block.value
         for batch in batches:
-            earlier = "_loomspark_runs" in batch.schema.names
-            runs, items, counts = [], [], []
-            for at, text in enumerate(batch.column("_loomspark_text")):
-                words = words_of(text.as_buffer() and text.as_buffer().to_pybytes())
-                found, names = automaton.scan(words)
-                if earlier:
-                    old = batch.column("_loomspark_runs")[at].as_py()
-                    found = _merged(found + [[a, b] for a, b in zip(old[::2], old[1::2], strict=True)])
-                    names = names.union(batch.column("_loomspark_items")[at].as_py())
-                counts.append(len(words))
-                runs.append([x for run in found for x in run])
-                items.append(sorted(names))
-            kept = [n for n in batch.schema.names if n not in ("_loomspark_runs", "_loomspark_items") and not (last and n == "_loomspark_text")]
-            columns = {n: batch.column(n) for n in kept}
-            if last:
+            raws = [text.as_buffer().to_pybytes() if text.is_valid else b"" for text in batch.column("_loomspark_text")]
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "_loomspark_text"}
+            if block is None:
+                columns |= {"_loomspark_hash": pa.array([hashlib.md5(raw).hexdigest() for raw in raws], pa.string()), "n_words": pa.array([len(words_of(raw)) for raw in raws], pa.int64())}
+            else:
+                runs, items, counts = [], [], []
+                for raw in raws:
+                    words = words_of(raw)
+                    found, names = block.value.scan(words)
+                    counts.append(len(words))
+                    runs.append([x for run in found for x in run])
+                    items.append(sorted(names))
                 hits = [sum(r[1::2]) - sum(r[::2]) for r in runs]
                 columns |= {
                     "n_words": pa.array(counts, pa.int64()),
@@ -210,8 +252,6 @@ def _scanner(block, last: bool):
                     "contaminated": pa.array([x > 0 for x in hits], pa.bool_()),
                     "hit_runs": pa.array(runs, pa.list_(pa.int64())),
                 }
-            else:
-                columns |= {"_loomspark_runs": pa.array(runs, pa.list_(pa.int64())), "_loomspark_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(columns)
 
     return scan
@@ -239,31 +279,31 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_word
     """
     names, at = docs.columns, docs.columns.index(text_col)
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of docs can clash with ours
-    blocks = automata(items, window, "item_id", "text", block_words)
+    n_blocks, blocks = _blocks(items, window, "item_id", "text", block_words)
+    text = F.col(f"c{at}")
+    if n_blocks == 1:
+        block = next(blocks)
 
-    def runs_of(block):
         def scan(texts: pa.Array) -> pa.Array:
-            automaton = block.value
-            runs = [automaton.scan(words_of(t.as_buffer() and t.as_buffer().to_pybytes()))[0] for t in texts]
-            return pa.array([[x for run in own for x in run] for own in runs], pa.list_(pa.int64()))
+            found = [block.value.scan(words_of(t.as_buffer() and t.as_buffer().to_pybytes()))[0] for t in texts]
+            return pa.array([[x for run in own for x in run] for own in found], pa.list_(pa.int64()))
 
         # not deterministic to the planner: it must not scan again for a filter on the runs
-        return F.arrow_udf(scan, T.ArrayType(T.LongType())).asNondeterministic()
-
-    hit = inner.withColumns({f"_r{i}": runs_of(block)(F.col(f"c{at}")) for i, block in enumerate(blocks)})
-    runs = F.concat(*[f"_r{i}" for i in range(len(blocks))])
+        hit = inner.withColumn("_runs", F.arrow_udf(scan, T.ArrayType(T.LongType())).asNondeterministic()(text))
+    else:
+        found = _found_by_text(inner.select(text), blocks).select(F.col("hash").alias("_hash"), F.col("runs").alias("_found"), "n_rows")
+        hit = joined(inner.withColumn("_hash", F.md5(F.coalesce(text, F.lit("")).cast("binary"))), found, "_hash", "n_rows").withColumn("_runs", F.coalesce("_found", F.array().cast("array<long>")))
+    runs = F.col("_runs")
     if max_words == 0 and max_coverage == 0:
         return hit.filter(F.size(runs) == 0).select(*inner.columns).toDF(*names)
 
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
         out = []
         for text, own in zip(texts.to_pylist(), runs.to_pylist(), strict=True):
-            pairs = _merged([[a, b] for a, b in zip(own[::2], own[1::2], strict=True)])
-            out.append(without_spans(text, [x for pair in pairs for x in pair], max_words, max_coverage) if pairs else text)
+            out.append(without_spans(text, own, max_words, max_coverage) if own else text)
         return pa.array(out, pa.string())
 
     new = F.arrow_udf(cut, T.StringType()).asNondeterministic()
-    text = F.col(f"c{at}")
     # only the texts that were hit pass through Python again
     clean = hit.filter(F.size(runs) == 0).select(*inner.columns)
     mended = hit.filter(F.size(runs) > 0).withColumn("_new", new(text, runs)).filter("_new is not null")

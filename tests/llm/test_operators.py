@@ -379,6 +379,13 @@ def test_decontaminated(spark):
     assert {r.doc_id for r in decontaminate.decontaminated(docs, items, window=3).collect()} == {2, 3}
     cut = {r.doc_id: r.text for r in decontaminate.decontaminated(docs, items, window=3, max_coverage=0.5).collect()}
     assert cut == {1: "Well, ! and the rest of it is clean", 2: "clean", 3: None}
+    more = items.unionByName(spark.createDataFrame([(2, "and the rest"), (3, "two three four five"), (4, None)], "item_id long, text string"))
+    for block_words in (3, 100):
+        assert {r.doc_id for r in decontaminate.decontaminated(docs, more, window=3, block_words=block_words).collect()} == {2, 3}
+        cut = {r.doc_id: r.text for r in decontaminate.decontaminated(docs, more, window=3, max_coverage=0.8, block_words=block_words).collect()}
+        assert cut == {1: "Well,  of it is clean", 2: "clean", 3: None}
+    assert decontaminate.contamination(docs.limit(0), items).count() == decontaminate.contamination(docs.limit(0), more, block_words=3).count() == 0
+    assert decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.decontaminated(docs.limit(0), items).columns == docs.columns
 
 
