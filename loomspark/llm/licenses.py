@@ -1,8 +1,8 @@
 """Licences of files: notices in the text, or the nearest licensed directory above. DataFrame expressions only.
 
 Every run of consecutive lines of a text is compared with the notices of known licences by the
-cosine of sparse TF-IDF vectors; runs that an upper bound of the cosine rules out are not scored. The vocabulary is that of the notices; document frequencies are counted over
-all texts. A file without a notice of its own takes the licence of the nearest directory above
+cosine of sparse TF-IDF vectors; runs that an upper bound of the cosine rules out are not scored.
+The vocabulary is that of the notices; document frequencies are counted over all texts. A file without a notice of its own takes the licence of the nearest directory above
 it that holds a licence file; directories find that by joins on their paths.
 """
 
@@ -15,6 +15,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, staged
+
 #: The wording of licence notices, by SPDX identifier.
 NOTICES = (
     ("MIT", "Released under the MIT License."),
@@ -97,11 +99,6 @@ def anchors(weights: dict[str, float], min_cosine: float) -> list[str]:
     return sorted(found)
 
 
-def _let(value: Column, body) -> Column:
-    """body of value, which is evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _best(words: Column, weights: dict[str, float], other: float) -> Column:
     """(cosine, licence) of the notice nearest to a run's words; of equal ones the licence that sorts first."""
     table = F.create_map(*[x for t, w in weights.items() for x in (F.lit(t), F.lit(w))])
@@ -119,7 +116,7 @@ def _best(words: Column, weights: dict[str, float], other: float) -> Column:
         scored = [F.struct(F.when(norm > 0, -F.round(dot(weighed, v) / norm, 6)).otherwise(0.0).alias("minus"), F.lit(name).alias("license")) for name, v in vectors(weights)]
         return F.array_min(F.array(*scored))
 
-    return _let(words, lambda words: _let(weighed(words), nearest))
+    return let(words, lambda words: let(weighed(words), nearest))
 
 
 def _measured(words: Column, weights: dict[str, float], other: float) -> Column:
@@ -130,13 +127,13 @@ def _measured(words: Column, weights: dict[str, float], other: float) -> Column:
     def summed(words: Column) -> Column:
         known = F.transform(F.filter(words, lambda t: t.isin(*VOCABULARY)), lambda t: F.element_at(table, t))
         unknown = F.size(F.filter(words, lambda t: ~t.isin(*VOCABULARY)))
-        return _let(known, lambda known: F.struct(
+        return let(known, lambda known: F.struct(
             words.alias("words"),
             F.transform(F.sequence(F.lit(0), F.lit(len(notices) - 1)), lambda v: F.aggregate(known, F.lit(0.0), lambda acc, x: acc + F.get(x, v))).alias("dots"),
             F.aggregate(known, unknown * F.lit(other * other), lambda acc, x: acc + F.get(x, F.lit(len(notices))) * F.get(x, F.lit(len(notices)))).alias("square"),
         ))
 
-    return _let(words, summed)
+    return let(words, summed)
 
 
 def _runs(lines: Column, min_cosine: float) -> Column:
@@ -168,8 +165,8 @@ def _runs(lines: Column, min_cosine: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, of)))
 
 
-def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
-    """files plus license, cosine, origin (own, inherited or none) and license_dir, from where it is inherited.
+def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", min_cosine: float = MIN_COSINE, keep: list[str] | None = None) -> DataFrame:
+    """The columns of files (or those in keep) plus license, cosine, origin (own, inherited or none) and license_dir, from where it is inherited.
 
     A null or empty text has no notice, but inherits; a null path is a file of no directory.
     Several notices in one text: the nearest run of lines wins, then the licence that sorts first. Several
@@ -177,7 +174,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     Repeated rows are each scanned. Columns with the result's names are replaced.
     """
     ours = ("license", "cosine", "origin", "license_dir")
-    kept = [c for c in files.columns if c not in ours]
+    kept = [c for c in (files.columns if keep is None else keep) if c not in ours]
     weights, other = idf(files, text_col)
     terms = anchors(weights, min_cosine)
     words = "|".join(t for t in terms if not t[-1].isdigit()), "|".join(t for t in terms if t[-1].isdigit())
@@ -191,7 +188,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
             words = F.flatten(F.transform(F.slice(lines, r["first"], r["last"] - r["first"] + 1), lambda line: line["words"]))
             return F.struct(_best(words, weights, other).alias("best"), r["first"].alias("first"), r["last"].alias("last"))
 
-        return _let(F.filter(F.transform(_runs(lines, min_cosine), run), lambda x: x["best"]["minus"] <= -min_cosine), lambda hits: F.struct(hits.alias("hits"), covered(lines, hits).alias("n")))
+        return let(F.filter(F.transform(_runs(lines, min_cosine), run), lambda x: x["best"]["minus"] <= -min_cosine), lambda hits: F.struct(hits.alias("hits"), covered(lines, hits).alias("n")))
 
     def covered(lines: Column, hits: Column) -> Column:
         """Words in lines that are notices alone, or in runs that no run they overlap is nearer than."""
@@ -200,14 +197,15 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
         sizes = F.transform(lines, lambda line, i: F.when(F.exists(counted, lambda x: (x["first"] <= i + 1) & (i + 1 <= x["last"])), F.size(line["words"])).otherwise(0))
         return F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
 
-    found = F.when(lines.isNotNull(), _let(lines, scored))
+    found = F.when(lines.isNotNull(), let(lines, scored))
     base = files.select(*kept, files[path_col].alias("_loomspark_path"), found.alias("_loomspark_found"), text.alias("_loomspark_whole"))
     base = base.withColumns({
         "_loomspark_best": F.array_min(F.transform("_loomspark_found.hits", lambda x: x["best"])),
         "_loomspark_cover": F.when(F.col("_loomspark_found.n") > 0, F.col("_loomspark_found.n") / F.greatest(F.size(_words(F.col("_loomspark_whole"))), F.lit(1))).otherwise(F.lit(0.0)),
         "_loomspark_dir": F.regexp_extract("_loomspark_path", r"^(.*)/[^/]*$", 1),
         "_loomspark_name": F.regexp_extract("_loomspark_path", r"([^/]*)$", 1),
-    }).drop("_loomspark_whole")
+    }).drop("_loomspark_whole", "_loomspark_found")
+    base = staged(base)  # texts are scanned once
     is_file = F.col("_loomspark_best").isNotNull() & (F.col("_loomspark_name").rlike(LICENSE_FILE) | (F.col("_loomspark_cover") >= MIN_COVERAGE)) & F.col("_loomspark_path").isNotNull()
     counted = base.filter(is_file).groupBy("_loomspark_dir", F.col("_loomspark_best.license").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     licensed = counted.groupBy("_loomspark_dir").agg(F.min(F.struct((-F.col("n")).alias("minus"), "name")).alias("top")).select(F.col("_loomspark_dir").alias("_loomspark_above"), F.col("top.name").alias("_loomspark_given"))

@@ -24,7 +24,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string"))
-    return license_scan(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "license", "cosine", "origin", "license_dir")
+    return license_scan(docs.select("doc_id", path.alias("path"), "text"), keep=["doc_id", "path"])
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,33 @@ def test_license_runs(spark):
     assert own > 26 and all(got[f"d{i}/x"].license for i in range(4))
 
 
+def test_nearest_directory_and_ties(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rng = np.random.default_rng(13)
+    rows = [("x/LICENSE", mit), ("x/COPYING", apache), ("x/NOTICE", apache), ("y/LICENSE", mit), ("y/COPYING", apache), ("LICENSE", mit)]
+    rows += [("/".join(rng.choice(["a", "b", "x", "y"], rng.integers(0, 4)).tolist() + [f"f{i}"]), None) for i in range(80)]
+    for i in range(12):
+        rows.append(("/".join(rng.choice(["a", "b", "x", "y"], rng.integers(1, 4)).tolist() + ["LICENSE"]), mit if i % 2 else apache))
+    rows += [rows[7], rows[8], (None, mit), (None, None)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    given = defaultdict(Counter)
+    for path, text in rows:
+        if path and text:
+            given[path.rpartition("/")[0]][{mit: "MIT", apache: "Apache-2.0"}[text]] += 1
+    want = []
+    for path, text in rows:
+        if text:
+            want.append((path, {mit: "MIT", apache: "Apache-2.0"}[text], "own", None))
+            continue
+        at = path.rpartition("/")[0] if path is not None else None
+        while at and at not in given:
+            at = at.rpartition("/")[0]
+        counts = given.get(at) if at is not None else None
+        want.append((path, min(counts, key=lambda k: (-counts[k], k)), "inherited", at) if counts else (path, None, "none", None))
+    got = [(r.path, r.license, r.origin, r.license_dir) for r in licenses.license_scan(files).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # -- 3
 
 
