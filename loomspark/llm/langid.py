@@ -26,6 +26,9 @@ BUCKETS = 1 << 15
 SWITCH = 12.0
 #: A language is a candidate for a script that holds at least this share of its training letters.
 MIN_SHARE = 0.01
+#: A text is in no known language if a letter of it is so much less likely, in nats, than one of its language's training texts,
+#: with more allowed the shorter it is, or if most of its letters are of scripts that no language has.
+FAR, FAR_SHORT = 3.0, 100.0
 #: Letters handled at once, times languages.
 CHUNK = 1 << 21
 #: First code points of Unicode's script ranges, in order. 0: any script.
@@ -84,18 +87,22 @@ class Model:
         self.languages = languages
         smooth = counts + 0.1
         self.scores = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32)
+        #: mean score of a letter of each language's training texts
+        self.means = (counts.T * self.scores).sum(0) / np.maximum(counts.sum(1), 1)
         allowed = scripts >= MIN_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
         allowed[:, 0] = True
-        allowed[:, ~allowed.any(0)] = True  # a script that no language has tells nothing
+        self.foreign = ~allowed.any(0)
+        allowed[:, self.foreign] = True  # a script that no language has tells nothing
         self.penalty = np.where(allowed, 0, -1e4).T.astype(np.float32)
 
-    def label(self, texts: list[str]) -> tuple[Words, np.ndarray]:
-        """The words of texts, and the language of each word."""
+    def label(self, texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
+        """The words of texts, the language of each word, and its score in that language."""
         words = Words(texts)
         if not len(words.starts):
-            return words, np.zeros(0, np.uint8)
-        scores = np.add.reduceat(self.scores[words.buckets], words.first, axis=0) + self.penalty[words.scripts]
-        return words, viterbi(scores, words.word_at)
+            return words, np.zeros(0, np.uint8), np.zeros(0, np.float32)
+        scores = np.add.reduceat(self.scores[words.buckets], words.first, axis=0)
+        labels = viterbi(scores + self.penalty[words.scripts], words.word_at)
+        return words, labels, scores[np.arange(len(labels)), labels]
 
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -182,14 +189,16 @@ def train(labelled: DataFrame, key: str = "doc_id", text_col: str = "text", lang
     return Model(languages, totals[:, :BUCKETS], totals[:, BUCKETS:])
 
 
-def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", spans: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs (or those in keep) plus lang_pred, score, and spans (start, end, lang) if asked for.
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", spans: bool = False, known: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those in keep) plus lang_pred, score, and spans (start, end, lang) and known if asked for.
 
     score is the share of the text's letters that Viterbi gave to lang_pred. A null text, one
     without a letter, and any text under no model, is `und` with score 0 and no spans. Ties go
-    to the language that sorts first. start and end count code points, end exclusive.
+    to the language that sorts first. start and end count code points, end exclusive. known is
+    false for `und`, for texts mostly in scripts that no language of the model has, and for
+    those whose letters are far less likely in lang_pred than those of its training texts (FAR).
     """
-    names = ["lang_pred", "score"] + ["spans"] * spans
+    names = ["lang_pred", "score"] + ["spans"] * spans + ["known"] * known
     kept = [docs[c] for c in (docs.columns if keep is None else keep) if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -197,23 +206,32 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
         model = shared.value
         n = len(model.languages) if model else 1
         texts = [t or "" for t in texts.to_pylist()]
-        langs, scores, found = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+        langs, scores, found, fits = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts], [False] * len(texts)
         for chunk in _chunks(texts, max(1 << 16, CHUNK // n)) if model else ():
-            words, labels = model.label([texts[i] for i in chunk])
+            words, labels, own = model.label([texts[i] for i in chunk])
             owner = np.repeat(np.arange(len(chunk)), np.diff(words.word_at))
             letters = np.bincount(owner * n + labels, weights=words.letters, minlength=len(chunk) * n).reshape(-1, n)
             best, total = letters.argmax(1), letters.sum(1)
+            if known:
+                top = np.bincount(owner * n + labels, weights=own, minlength=len(chunk) * n).reshape(-1, n)[np.arange(len(chunk)), best]
+                most = np.maximum(letters[np.arange(len(chunk)), best], 1)
+                foreign = np.bincount(owner, weights=words.letters * model.foreign[words.scripts], minlength=len(chunk))
+                fit = (top / most >= model.means[best] - FAR - FAR_SHORT / most) & (2 * foreign <= total)
             for j, i in enumerate(chunk):
                 if total[j]:
                     langs[i], scores[i] = model.languages[best[j]], float(letters[j, best[j]] / total[j])
+                    if known:
+                        fits[i] = bool(fit[j])
                     if spans:
                         found[i] = _spans(words, labels, j, model.languages)
         columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
         if spans:
             columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+        if known:
+            columns.append(pa.array(fits, pa.bool_()))
         return pa.StructArray.from_arrays(columns, names)
 
-    kinds = "lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
+    kinds = "lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans + ", known boolean" * known
     # not deterministic to the planner: it must not run the model again for a filter on its result
     udf = F.arrow_udf(label, T.StructType.fromDDL(kinds)).asNondeterministic()
     return docs.select(*kept, udf(docs[text_col]).alias("_loomspark_found")).select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in names], "_loomspark_found.*")
