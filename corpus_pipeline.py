@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import langid
-from loomspark.llm.common import read_table, staged
+from loomspark.llm.common import BATCH_ROWS, read_table, staged
 from loomspark.llm.decontaminate import decontaminated
 from loomspark.llm.jaccard import near_duplicates
 from loomspark.llm.packing import packed
@@ -19,31 +19,47 @@ from loomspark.llm.secrets import redacted
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Whole texts go between Spark and Python; in batches of 1,000 rows they take little memory on either side."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Whole texts go between Spark and Python; in batches of at most 1,000 rows they take little memory on either side.
+
+    The setting stays lowered in the session: a stage's table is computed when it is written, after the stage returned.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; null texts and texts without a letter go.
 
-    The model is trained on the stage's own labelled rows, so on whatever languages they have.
+    So do texts in scripts that no language of the model has, and texts whose letters are far
+    less likely than those of its training texts (langid.FAR). The model is trained on the
+    stage's own labelled rows, so on whatever languages they have; without labels nothing is known.
     """
     _small_batches(spark)
     model = langid.train(docs)
-    known = langid.with_language(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]), model, f"c{docs.columns.index('text')}")
-    return known.filter(F.col("lang_pred") != "und").drop("lang_pred", "score").toDF(*docs.columns)
+    found = langid.with_language(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]), model, f"c{docs.columns.index('text')}", known=True)
+    return found.filter("known").drop("lang_pred", "score", "known").toDF(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group.
+    """One document of each group of near copies: the first by id, nulls last, and then by MD5 of the text.
 
-    Of rows that repeat that id one stays; rows with a null id stay unless their group has an id.
+    Rows of equal id and text count as one document: of them the first by the other columns
+    stays. Documents without words are near nothing. (id, text) pairs are told apart by 64-bit hashes.
     """
-    groups = near_duplicates(docs)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.filter("doc_id is null")
-    return named.select(*docs.columns).unionByName(unnamed)
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    rows = docs.select("doc_id", "text", digest.alias("digest"), F.xxhash64("doc_id", digest).alias("row"))
+    pairs = rows.groupBy("row", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    groups = near_duplicates(rows.select("row", "text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    first = pairs.join(groups, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "n")).alias("first"))
+    kept = staged(first.select("first.doc_id", "first.digest", "first.n"))
+
+    def held(condition: str) -> DataFrame:
+        chosen = kept.filter(condition).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+        return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
+
+    repeated = held("n > 1").groupBy("doc_id", digest.alias("_digest")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return held("n = 1").unionByName(repeated.select("_row.*"))
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
