@@ -34,6 +34,24 @@ def test_stages(spark, docs):
     assert {str(r.doc_id) for r in pieces.collect()} == {"1", "7", "None"}
 
 
+def test_unknown_languages_go(spark):
+    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Привет мир, как дела", "中文文本测试这里有一些字", "qzx wvkjq xzzq jqv kwxq zzxj vqk qxw jzk xvq wqz kjx " * 4, "bu çok basit bir cümledir ve kimse daha önce yazmadı"]
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)], good.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, good.unionByName(more), SF).collect()}
+    assert not {i for i in kept if i >= 10_000_000}
+    assert kept == {r.doc_id for r in good.collect() if r.text and any(c.isalpha() for c in r.text)}
+
+
+def test_one_of_each_by_a_total_order(spark):
+    long = "the cat sat on the mat and then it ran to the old house by the sea where we live now"
+    other = "a quite different text about the hills and the birds that sing there in the morning sun"
+    rows = [(1, long, "en", "b", 1), (1, other, "en", "s", 1), (2, long + " today", "en", "s", 1), (None, long, "en", "s", 1), (None, "words of no other text at all", None, "s", 1), (1, long, "en", "a", 1), (3, None, "en", "s", 1), (4, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text, r.source) for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(1, long, "a"), (1, other, "s"), (None, "words of no other text at all", "s"), (3, None, "s"), (4, None, "s")], key=str)
+
+
 def test_stages_on_nothing(spark, docs):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
