@@ -394,8 +394,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = staged(_with_both(across, sets, "shingles").mapInArrow(_exact(similarity), "a long, b long"))
     roots = components(links.unionByName(more))
 
-    keyed = staged(rows.join(roots, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("key")))
-    smallest = keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("held"))
-    return joined(keyed, smallest, "key", "held").select(
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("held"))
+    nodes = staged(nodes.join(roots, "node", "left").select("node", "first_id", "held", F.coalesce("root", "node").alias("root")))
+    smallest = nodes.groupBy("root").agg(F.min("first_id").alias("smallest"), F.count(F.lit(1)).alias("n_nodes"))
+    named = joined(nodes, smallest, "root", "n_nodes").select("node", "smallest", "held")
+    return joined(rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), named, "node", "held").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id")
     )
