@@ -20,7 +20,8 @@ def decided(runs: DataFrame, s: C.Settings = C.DEFAULTS) -> DataFrame:
 
     runs has score_mean, baseline_score (null: none yet), judge_composite, judge_failed,
     noise_threshold, n_matched, corrections_composite, and booleans auto, skip_variance, skip_judge.
-    A null score is an input error.
+    A null score is an input error; without a baseline the gates do not decide. A baseline whose own
+    score is null (has_baseline is true, baseline_score null) gives no delta, and fails the gates on it.
     """
     delta = F.col("score_mean") - F.col("baseline_score")
 
@@ -32,13 +33,14 @@ def decided(runs: DataFrame, s: C.Settings = C.DEFAULTS) -> DataFrame:
         F.array(
             gate(F.coalesce(delta < s.delta_floor, F.lit(True)), "delta-floor"),
             gate(~F.col("skip_variance") & noise.isNull(), "variance-missing"),
-            gate(~F.col("skip_variance") & (delta <= noise), "variance"),
+            gate(~F.col("skip_variance") & noise.isNotNull() & F.coalesce(delta <= noise, F.col("has_baseline")), "variance"),
             gate(~F.col("skip_judge") & judge.isNull(), "judge-missing"),
             gate(~F.col("skip_judge") & (judge < s.judge_floor), "judge"),
             gate(~F.col("skip_judge") & (F.coalesce("judge_failed", F.lit(0)) >= s.max_judge_failures), "judge-completeness"),
             gate((F.coalesce("n_matched", F.lit(0)) > 0) & (F.col("corrections_composite") < s.corrections_floor), "corrections-aligned"),
         )
     )
+    first_run = F.col("baseline_score").isNull() & ~F.coalesce(F.col("has_baseline"), F.lit(False))
     out = runs.withColumn("delta", delta).withColumn("_failed", failed)
     has = lambda *labels: F.arrays_overlap("_failed", F.array(*map(F.lit, labels)))
     only_delta = F.array_join("_failed", ",") == "delta-floor"
@@ -56,8 +58,26 @@ def decided(runs: DataFrame, s: C.Settings = C.DEFAULTS) -> DataFrame:
     first = F.when(F.col("score_mean") < s.sanity_floor, "sanity-floor-rejected").when(F.col("auto"), "first-real-baseline").otherwise("proposed-first-real-baseline")
     decision = (
         F.when(F.col("score_mean").isNull(), "error")
-        .when(F.col("baseline_score").isNull() & ~F.coalesce(F.col("has_baseline"), F.lit(False)), first)
+        .when(first_run, first)
         .when(F.col("auto"), auto)
         .otherwise(F.when(kept, "proposed-kept").otherwise("proposed-reverted"))
     )
     return out.withColumn("failed", F.array_join("_failed", ",")).withColumn("decision", decision).drop("_failed")
+
+
+def experiments(scores: DataFrame, judgments: DataFrame, noise: DataFrame, corrections: DataFrame, log: DataFrame, s: C.Settings = C.DEFAULTS) -> DataFrame:
+    """The decision on every scored run, against the latest baseline of the log.
+
+    scores has run, score_mean, auto, skip_variance, skip_judge; judgments run, judge_composite, n_failed; noise
+    run, noise_threshold; corrections run, n_matched, corrections_composite. Of the last three a run may have no row.
+    """
+    row = F.struct("run_id", "score_mean")
+    last = log.filter(F.col("decision").isin(*C.KEPT)).agg(F.max_by(row, "ord").alias("b"))  # one row, null without a baseline
+    runs = (
+        scores.join(judgments.select("run", "judge_composite", F.col("n_failed").alias("judge_failed")), "run", "left")
+        .join(noise.select("run", "noise_threshold"), "run", "left")
+        .join(corrections.select("run", "n_matched", "corrections_composite"), "run", "left")
+        .crossJoin(F.broadcast(last))
+        .withColumns({"baseline_run": F.col("b.run_id"), "baseline_score": F.col("b.score_mean"), "has_baseline": F.col("b").isNotNull()})
+    )
+    return decided(runs.drop("b"), s)

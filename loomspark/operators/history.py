@@ -25,7 +25,7 @@ def recommendation(tried: Column, rate: Column) -> Column:
 
 def strategy_stats(log: DataFrame) -> DataFrame:
     """Per strategy: tried, kept, lost, success_rate, last_tried, last_kept, recommendation."""
-    rows = log.filter(F.col("strategy").isNotNull() & ~F.col("strategy").isin(*C.NOT_STRATEGIES))
+    rows = log.filter((F.coalesce("strategy", F.lit("")) != "") & ~F.col("strategy").isin(*C.NOT_STRATEGIES))
     kept = F.col("decision").isin(*C.KEPT)
     out = rows.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("tried"),
@@ -95,6 +95,14 @@ def score_changes(before: DataFrame, after: DataFrame, key: str = "benchmark_id"
     return before.select(key, F.col("score").alias("before")).join(after.select(key, F.col("score").alias("after")), key).withColumn("change", F.round(F.col("after") - F.col("before"), 4))
 
 
+def seed_row(summary: DataFrame, run_id: str, ts: Column) -> DataFrame:
+    """The log row of a first baseline from the summary of its scores; no row if nothing was scored."""
+    return summary.filter("n_scored > 0").select(
+        F.lit(run_id).alias("run_id"), ts.alias("ts"), F.lit(C.NOT_STRATEGIES[0]).alias("strategy"), F.lit(None).cast("string").alias("target_file"), F.lit(C.NOT_RUNS[0]).alias("decision"),
+        "score_mean", "score_median", F.lit(None).cast("double").alias("delta"), F.lit(None).cast("string").alias("new_commit"), F.col("n_scored").alias("n_replayed"),
+    )
+
+
 def find_run(log: DataFrame, run_id: Column | str) -> DataFrame:
     """The last row of a run."""
     wanted = F.lit(run_id) if isinstance(run_id, str) else run_id

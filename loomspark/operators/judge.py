@@ -52,23 +52,28 @@ def dimension_means(judgments: DataFrame) -> DataFrame:
     return unpivoted(judgments).groupBy("dimension").agg(F.round(F.avg((F.col("value") - 1) / 4), 4).alias("mean"), F.count("value").alias("n"))
 
 
-def judge_summary(judgments: DataFrame) -> DataFrame:
-    """One row: n_judged, n_failed, total_cost, judge_composite (mean of all values there are)."""
-    totals = judgments.agg(F.count_if(~F.col("judge_failed")).alias("n_judged"), F.count_if("judge_failed").alias("n_failed"), F.round(F.sum("cost_usd"), 4).alias("total_cost"))
-    return totals.crossJoin(unpivoted(judgments).agg(F.round(F.avg((F.col("value") - 1) / 4), 4).alias("judge_composite")))
+def judge_summary(judgments: DataFrame, *keys: str) -> DataFrame:
+    """One row, or one for each of keys: n_judged, n_failed, total_cost, judge_composite (mean of all values there are)."""
+    values = F.array_compact(F.array(*[(F.col(d) - 1) / 4 for d in C.DIMENSIONS]))
+    return judgments.groupBy(*keys).agg(
+        F.count_if(~F.col("judge_failed")).alias("n_judged"),
+        F.count_if("judge_failed").alias("n_failed"),
+        F.round(F.sum("cost_usd"), 4).alias("total_cost"),
+        F.round(F.try_divide(F.sum(F.aggregate(values, F.lit(0.0), lambda a, x: a + x)), F.sum(F.size(values))), 4).alias("judge_composite"),
+    )
 
 
 def ask(prompts: DataFrame, client: Callable[[str], tuple[str, float]]) -> DataFrame:
-    """prompts (benchmark_id, judge_prompt) through a client on the executors: result, cost_usd. A call that raises has no result."""
+    """prompts (benchmark_id, judge_prompt) through a client on the executors: result, cost_usd, error. A call that raises has no result."""
 
     def call(batches):
         for batch in batches:
             rows = []
             for text in batch["judge_prompt"]:
                 try:
-                    rows.append(client(text))
-                except Exception:  # a failed call is a failed judgment
-                    rows.append((None, 0.0))
-            yield batch[["benchmark_id"]].assign(result=[r[0] for r in rows], cost_usd=[float(r[1]) for r in rows])
+                    rows.append((*client(text), None))
+                except Exception as error:  # a failed call is a failed judgment, and says why
+                    rows.append((None, 0.0, f"{type(error).__name__}: {error}"))
+            yield batch[["benchmark_id"]].assign(result=[r[0] for r in rows], cost_usd=[float(r[1]) for r in rows], error=[r[2] for r in rows])
 
-    return prompts.select("benchmark_id", "judge_prompt").mapInPandas(call, "benchmark_id string, result string, cost_usd double")
+    return prompts.select("benchmark_id", "judge_prompt").mapInPandas(call, "benchmark_id string, result string, cost_usd double, error string")

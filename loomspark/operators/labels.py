@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.staging import let, staged
 
 #: Shortest normalized correction that may match by containment.
 MIN_CONTAINED = 20
-#: Words of a prompt that a containment match must share as a whole run; the shorter side has this many words or is compared by prefix.
-GRAM = 3
+#: Words of a run that containment is looked up by, and characters of a part of a word.
+GRAM, PART = 3, 4
 
 
 def last_by_prompt(corrections: DataFrame) -> DataFrame:
@@ -27,30 +28,58 @@ def exact(benchmark: DataFrame, corrections: DataFrame) -> DataFrame:
     return b.join(last_by_prompt(corrections).select("np", "key_ord"), "np").select("benchmark_id", "np", "key_ord")
 
 
+def _runs(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram): the hashed runs of GRAM words of each text, once each."""
+    hashed = let(
+        F.split(text, " "),
+        lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - GRAM + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(GRAM)]))),
+    )
+    return rows.filter(F.size(F.split(text, " ")) >= GRAM).select(key, F.explode(hashed).alias("gram"))
+
+
+def _inner_run(text: str) -> Column:
+    """The longest run, hashed, of GRAM words between the first and the last: those are whole words of any text around it."""
+
+    def longest(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(2), F.size(w) - GRAM), lambda i: F.struct(F.length(F.array_join(F.slice(w, i, GRAM), " ")).alias("n"), F.xxhash64(*[F.element_at(w, i + j) for j in range(GRAM)]).alias("gram")))
+        return F.when(F.size(w) >= GRAM + 2, F.array_max(runs)["gram"])
+
+    return let(F.split(text, " "), longest)
+
+
+def _parts(words: DataFrame) -> DataFrame:
+    """(word, part): all parts of up to PART characters of each word."""
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(PART)), lambda n: F.substr("word", i, n))))
+    return words.select("word", F.explode(F.array_distinct(parts)).alias("part"))
+
+
 def contained(benchmark: DataFrame, corrections: DataFrame, min_length: int = MIN_CONTAINED) -> DataFrame:
     """First correction, of min_length or more, whose normalized prompt contains a task's or is contained in it.
 
-    Containment is looked up by words, not by comparing all pairs: where the shorter text has
-    an inner run of GRAM whole words, the longer one holds that run too, so both meet on it. Only the
-    few texts without such a run are compared with all.
+    Containment is looked up, not found by comparing all pairs, and only ids are sent around: where the
+    shorter text has a run of GRAM words between its first and last one, the longer text holds that run
+    too. A shorter text of few words must have its longest word within a word of the longer
+    text; which words of the vocabulary hold it is looked up by parts of PART characters. An
+    empty prompt is contained in all. Texts are fetched for the pairs that this leaves. benchmark_id is unique.
     """
-    c = last_by_prompt(corrections).filter(F.length("np") >= min_length).select(F.col("np").alias("cp"), "key_ord")
-    b = benchmark.withColumn("np", X.normalize_prompt(F.col("prompt"))).select("benchmark_id", "np")
+    c = staged(last_by_prompt(corrections).filter(F.length("np") >= min_length).select(F.col("key_ord").alias("c"), F.col("np").alias("c_text")))
+    b = staged(benchmark.select(F.col("benchmark_id").alias("b"), X.normalize_prompt(F.col("prompt")).alias("b_text")))
 
     def within(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
-        words = F.split(F.col(s), " ")
-        # the first and last word may be parts of longer words in the other text; those between are whole
-        inner = short.withColumn("gram", F.when(F.size(words) >= GRAM + 2, F.array_join(F.slice(words, 2, GRAM), " ")))
-        split = long.withColumn("_w", F.split(F.col(t), " ")).filter(F.size("_w") >= GRAM)
-        grams = F.transform(F.sequence(F.lit(1), F.size("_w") - GRAM + 1), lambda i: F.concat_ws(" ", *[F.element_at("_w", i + j) for j in range(GRAM)]))
-        keyed = split.withColumn("gram", F.explode(F.array_distinct(grams))).drop("_w")
-        by_gram = inner.filter("gram is not null").join(keyed, "gram").filter(F.contains(t, s)).drop("gram")
-        short_ones = inner.filter("gram is null").drop("gram").join(long, F.contains(F.col(t), F.col(s)))
-        return by_gram.unionByName(short_ones)
-
-    pairs = within(c, "cp", b, "np").select("benchmark_id", "np", "key_ord").unionByName(within(b, "np", c, "cp").select("benchmark_id", "np", "key_ord"))
-    first = pairs.groupBy("benchmark_id", "np").agg(F.min("key_ord").alias("key_ord"))
-    return first.select("benchmark_id", "np", "key_ord")
+        """(s, t) of the texts of short that texts of long contain."""
+        split = staged(short.filter(F.col(f"{s}_text") != "").select(s, _inner_run(f"{s}_text").alias("gram"), F.array_max(F.transform(F.split(f"{s}_text", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"].alias("word")))
+        pairs = split.filter("gram is not null").select(s, "gram").join(_runs(long, t, f"{t}_text"), "gram").select(s, t)
+        few = split.filter("gram is null").select(s, F.col("word").alias("within"), F.left("word", F.lit(PART)).alias("part"))
+        if not few.isEmpty():
+            postings = long.select(t, F.explode(F.array_distinct(F.split(f"{t}_text", " "))).alias("word"))
+            words = _parts(postings.select("word").filter("word <> ''").distinct()).join(few, "part").filter(F.contains("word", "within")).select(s, "word")
+            pairs = pairs.unionByName(words.join(postings, "word").select(s, t)).distinct()
+        texts = pairs.join(short, s).join(long, t)
+        return texts.filter(F.contains(F.col(f"{t}_text"), F.col(f"{s}_text"))).select("b", "c")
+
+    found = within(c, "c", b, "b").unionByName(within(b, "b", c, "c")).groupBy("b").agg(F.min("c").alias("key_ord"))
+    all_of_them = b.filter("b_text = ''").select("b").crossJoin(c.agg(F.min("c").alias("key_ord"))).filter("key_ord is not null")  # one row
+    return found.unionByName(all_of_them).join(b, "b").select(F.col("b").alias("benchmark_id"), F.col("b_text").alias("np"), "key_ord")
 
 
 def matched(benchmark: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -65,8 +94,20 @@ def label_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("label_score", F.round(X.label_score(F.col("response_text"), X.keywords(F.col("supposed_to")), X.keywords(F.col("what_i_did"))), 4))
 
 
-def composite(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.count("label_score").alias("n_matched"), F.round(F.avg("label_score"), 4).alias("corrections_composite"))
+def correction_scores(benchmark: DataFrame, corrections: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row per replayable task that a correction matches and that has a response: benchmark_id, how, root_cause, label_score.
+
+    benchmark has benchmark_id (unique), prompt, replayable; corrections ord (unique), prompt, root_cause,
+    supposed_to, what_i_did; responses benchmark_id, response_text.
+    """
+    last = last_by_prompt(corrections).select("key_ord", "c.root_cause", "c.supposed_to", "c.what_i_did")
+    pairs = matched(benchmark.filter("replayable").select("benchmark_id", "prompt"), corrections).select("benchmark_id", "key_ord", "how")
+    return label_scores(pairs.join(last, "key_ord").join(responses.select("benchmark_id", "response_text"), "benchmark_id")).select("benchmark_id", "how", "root_cause", "label_score")
+
+
+def composite(scores: DataFrame, *keys: str) -> DataFrame:
+    """Number of matched tasks and mean label score; the mean is null if there are none."""
+    return scores.groupBy(*keys).agg(F.count("label_score").alias("n_matched"), F.round(F.avg("label_score"), 4).alias("corrections_composite"))
 
 
 def recent(corrections: DataFrame, n: int = 20) -> DataFrame:

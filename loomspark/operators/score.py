@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.staging import staged
 
 #: Weights of the components; the cost ratio is a diagnostic without weight.
 WEIGHTS = {"completion": 1.5, "no_correction": 2.0, "no_premature": 1.5, "no_options": 1.5, "search_first": 1.0, "tool_alignment": 1.0}
@@ -72,20 +74,32 @@ def echoed(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def resampled(scores: DataFrame, replicates: int, fraction: float, seed: int, noise_factor: float = 1.5, key: str = "benchmark_id") -> DataFrame:
-    """Spread of the mean score over subsamples without replacement, each drawn by hash order.
+#: Leading hexadecimal digits of an order's hash that tell its range.
+RANGE_DIGITS = 4
+
+
+def resampled(scores: DataFrame, replicates: int, fraction: float, seed: int, noise_factor: float = 1.5, key: str = "benchmark_id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Spread of the mean score over subsamples without replacement, each drawn by hash order; one row, or one for each of keys.
 
     Tasks are scored once; a replicate takes the first max(3, n * fraction) of its own order.
-    No row if there are fewer than five tasks or three replicates with a score.
+    Which range of hashes holds a replicate's last task follows from the counts of the ranges, so
+    only that range is sorted. No row for fewer than five tasks or three replicates with a score.
     """
-    from pyspark.sql.window import Window
-
-    n = scores.agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.greatest(F.lit(3), F.floor(F.col("n") * fraction))).filter("n >= 5")
-    drawn = scores.select(key, "score").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = staged(scores.select(*keys, key, "score"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select(*keys, F.greatest(F.lit(3), F.floor(F.col("n") * fraction)).alias("size"))
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"), F.lit("|"), F.col(key).cast("string")).cast("binary"))
-    ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(order, key)))
-    means = ranked.join(F.broadcast(n), F.col("place") <= F.col("size")).groupBy("rep").agg(F.round(F.avg("score"), 4).alias("mean"))
-    return means.agg(
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("order", order).withColumn("range", F.left("order", F.lit(RANGE_DIGITS)))
+    counts = drawn.groupBy(*keys, "rep", "range").agg(F.count(F.lit(1)).alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(*keys, "rep").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("before", up_to - F.col("n"))
+    placed = placed.join(sizes, list(keys)) if keys else placed.crossJoin(F.broadcast(sizes))
+    # of each replicate one range: the one with its last task
+    cut = placed.filter("before < size and before + n >= size").select(*keys, "rep", F.col("range").alias("cut"), (F.col("size") - F.col("before")).alias("left"))
+    marked = drawn.join(cut, [*keys, "rep"]).filter("range <= cut")
+    last = marked.filter("range = cut").withColumn("place", F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("order", key))).filter(F.col("place") <= F.col("left"))
+    taken = marked.filter("range < cut").select(*keys, "rep", "score").unionByName(last.select(*keys, "rep", "score"))
+    means = taken.groupBy(*keys, "rep").agg(F.round(F.avg("score"), 4).alias("mean"))
+    return means.groupBy(*keys).agg(
         F.count("mean").alias("n_valid"),
         F.round(F.avg("mean"), 4).alias("mean"),
         F.round(F.median("mean"), 4).alias("median"),

@@ -77,6 +77,25 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with a suffix by number, and a prompt."""
+    """documents with a suffix by number, and a prompt: an opening by number and then the whole text."""
     n = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), pick(SUFFIXES, n)).alias("text"), pick(PROMPTS, n).alias("prompt"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), pick(SUFFIXES, n)).alias("text"), F.concat(pick(PROMPTS, n), F.lit(" "), F.col("text")).alias("prompt"))
+
+
+#: What a correction says should have been done, and what was done, by number.
+SUPPOSED = ("take a position and name the options", "summarize the right call", "show three choices with a summary")
+DONE = ("deferred everything until later", "said that it feels balanced", "asked which option to take")
+
+
+def task_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events: errors as corrections of prompts: the prompt in other case and spacing, a part of one, one with more words, or none of them."""
+    n = F.col("event_id")
+    step = F.floor(n / 4)
+    prompt = (
+        F.when(n % 4 == 0, F.concat(F.lit("  "), F.upper(pick(PROMPTS[:3], step))))
+        .when(n % 4 == 1, F.lit("short doc about the release"))
+        .when(n % 4 == 2, F.concat(pick(PROMPTS[3:6], step), F.lit(" and more words after it")))
+        .otherwise(F.lit("unrelated words that nobody asked for"))
+    )
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return rows.select(n.alias("ord"), prompt.alias("prompt"), F.concat(F.lit("cause-"), (n % 9).cast("string")).alias("root_cause"), pick(SUPPOSED, n).alias("supposed_to"), pick(DONE, n).alias("what_i_did"))

@@ -68,7 +68,7 @@ r AS (
   FROM e),
 p AS (SELECT *, CASE WHEN age_days <= 30 THEN 'recent' WHEN age_days <= 90 THEN 'mid' ELSE 'older' END AS recency FROM r)
 """
-_TEXTS = f"x AS (SELECT doc_id, text || {_pick(A.SUFFIXES, 'doc_id')} AS text, {_pick(A.PROMPTS, 'doc_id')} AS prompt FROM documents)"
+_TEXTS = f"x AS (SELECT doc_id, text || {_pick(A.SUFFIXES, 'doc_id')} AS text, {_pick(A.PROMPTS, 'doc_id')} || ' ' || text AS prompt FROM documents)"
 
 
 def _phrases(text: str) -> str:
@@ -80,7 +80,9 @@ def _options(text: str) -> str:
 
 
 def _design(prompt: str) -> str:
-    return f"regexp_matches({prompt}, {_s(C.DESIGN_PATTERN)}, 'i')"
+    word = r"[^\p{L}\p{M}\p{N}_]"
+    bare = C.DESIGN_PATTERN.removeprefix(r"\b").removesuffix(r"\b")
+    return f"regexp_matches({prompt}, {_s(f'(^|{word}){bare}($|{word})')}, 'i')"
 
 
 def _search_first(prompt: str, calls: str, text: str) -> str:
@@ -151,12 +153,28 @@ k AS (SELECT {_NP.format("text")} AS cp, min(ord) AS key_ord FROM k0 GROUP BY 1
 x AS (SELECT benchmark_id, key_ord, 'exact' AS how FROM b JOIN k ON np = cp),
 f AS (SELECT benchmark_id, min(key_ord) AS key_ord FROM b JOIN k ON length(cp) >= 20 AND (contains(np, cp) OR contains(cp, np)) GROUP BY 1)
 """
-_KW = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\\w\\s-]', ' ', 'g'), '\\s+'), lambda q: length(q) >= 4 AND q NOT IN " + _in(C.STOPWORDS) + "))"
-_SUPPOSED, _DID = ["summary", "right", "options", "three"], ["deferred", "balanced", "later", "them", "option"]
-
-
-def _hits(words) -> str:
-    return " + ".join(f"CAST(contains(lower(text), {_s(w)}) AS INT)" for w in words)
+_KW = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s-]', ' ', 'g'), '\\s+'), lambda q: length(q) >= 4 AND q NOT IN " + _in(C.STOPWORDS) + "))"
+
+
+def _hits(text: str, wanted: str) -> str:
+    return f"len(list_filter({_KW.format(wanted)}, lambda q: contains(lower({text}), q)))"
+
+
+_CORRECTED = f"""
+q0 AS (
+  SELECT event_id AS ord, 'cause-' || (event_id % 9) AS root_cause, {_pick(A.SUPPOSED, "event_id")} AS supposed_to, {_pick(A.DONE, "event_id")} AS what_i_did,
+    CASE event_id % 4 WHEN 0 THEN '  ' || upper({_pick(A.PROMPTS[:3], "event_id // 4")}) WHEN 1 THEN 'short doc about the release'
+      WHEN 2 THEN {_pick(A.PROMPTS[3:6], "event_id // 4")} || ' and more words after it' ELSE 'unrelated words that nobody asked for' END AS prompt
+  FROM events WHERE event_type = 'error'),
+q1 AS (SELECT {_NP.format("prompt")} AS cp, min(ord) AS key_ord, arg_max(root_cause, ord) AS root_cause, arg_max(supposed_to, ord) AS supposed_to, arg_max(what_i_did, ord) AS what_i_did FROM q0 GROUP BY 1),
+q2 AS (SELECT benchmark_id, {_NP.format("prompt")} AS np, response_text FROM y),
+q3 AS (SELECT benchmark_id, key_ord, 'exact' AS how FROM q2 JOIN q1 ON np = cp),
+q4 AS (SELECT benchmark_id, min(key_ord) AS key_ord, 'contained' AS how FROM q2 JOIN q1 ON length(cp) >= 20 AND (contains(np, cp) OR contains(cp, np)) WHERE benchmark_id NOT IN (SELECT benchmark_id FROM q3) GROUP BY 1),
+q5 AS (
+  SELECT k.benchmark_id, how, root_cause, coalesce(response_text, '') = '' AS blank, {_hits("response_text", "supposed_to")} AS pos, {_hits("response_text", "what_i_did")} AS neg
+  FROM (SELECT * FROM q3 UNION ALL SELECT * FROM q4) k JOIN q1 USING (key_ord) JOIN q2 ON q2.benchmark_id = k.benchmark_id),
+q AS (SELECT benchmark_id, how, root_cause, CASE WHEN blank THEN 0.5 ELSE round((pos + 1) / CAST(pos + neg + 2 AS DOUBLE), 4) END AS label_score FROM q5)
+"""
 
 
 _VALUE = "CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL ELSE greatest(1, least(5, CAST(round_even((event_id % 14) / 2.0, 0) AS INT))) END"
@@ -205,7 +223,7 @@ coalesce(project, task_type, difficulty, recency) AS value, count(*) AS n, CAST(
     "phrase_count": f"WITH {_TEXTS} SELECT doc_id, {_phrases('text')} AS n_phrases FROM x",
     "options_count": f"WITH {_TEXTS} SELECT doc_id, {_options('text')} AS n_options FROM x",
     "design_flag": f"WITH {_TEXTS} SELECT doc_id, {_design('prompt')} AS is_design, {_search_first('prompt', _list(['Read', 'Bash']), 'text')} AS search_first FROM x",
-    "prompt_flags": f"WITH {_TEXTS} SELECT doc_id, doc_id % 4 <> 0 AS is_prompt FROM x",
+    "prompt_flags": f"WITH {_TEXTS}, w AS (SELECT doc_id, ltrim(CASE WHEN doc_id % 4 = 0 THEN ' <system-reminder>' ELSE '  ' END || prompt, ' ') AS text FROM x) SELECT doc_id, coalesce(text <> '' AND NOT ({' OR '.join(f'starts_with(text, {_s(t)})' for t in C.WRAPPER_TAGS)}), false) AS is_prompt FROM w",
     "cost_and_alignment": f"WITH k AS (SELECT CAST(l_quantity AS BIGINT) % 12 AS run, CAST(l_linenumber AS BIGINT) - 1 AS truth, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT run, truth, n, round({_cost('run', 'truth')}, 4) AS cost, round({_align('run', 'truth')}, 4) AS alignment FROM k",
     "score_tasks": f"WITH {_PAIRS} SELECT * FROM z",
     "score_run": f"WITH {_PAIRS} SELECT benchmark_id % 3 AS run, count(*) AS n_scored, round(avg(score), 4) AS score_mean, round(median(score), 4) AS score_median, round(stddev_samp(score), 4) AS score_stdev, "
@@ -216,9 +234,9 @@ coalesce(project, task_type, difficulty, recency) AS value, count(*) AS n, CAST(
     "baseline_echo": f"""WITH {_ENRICHED},
 y AS (SELECT start_ord AS benchmark_id, prompt, calls, tool_calls, output_tokens, '(ground truth)' AS response_text, tool_calls AS run_calls, output_tokens AS run_tokens, outcome IN ('completed', 'corrected') AS completed_cleanly, logged AS fired FROM p WHERE replayable),
 {_scored("y")} SELECT * FROM z""",
-    "prompt_normalize": f"SELECT page_id, md5({_NP.format('left(html, 600)')}) AS normalized_md5 FROM pages",
-    "keyword_extract": f"WITH {_TEXTS}, y AS (SELECT doc_id, {_KW.format('prompt')} AS kw FROM x) SELECT doc_id, len(kw) AS n_keywords, array_to_string(list_sort(kw), ' ') AS keywords FROM y",
-    "laplace_score": f"WITH {_TEXTS}, y AS (SELECT doc_id, {_hits(_SUPPOSED)} AS pos, {_hits(_DID)} AS neg FROM x WHERE length(text) > 0) SELECT doc_id, round((pos + 1) / CAST(pos + neg + 2 AS DOUBLE), 4) AS label_score FROM y",
+    "prompt_normalize": f"SELECT page_id, md5({_NP.format('html')}) AS normalized_md5 FROM pages",
+    "keyword_extract": f"WITH {_TEXTS}, y AS (SELECT doc_id, {_KW.format('prompt')} AS kw FROM x WHERE prompt IS NOT NULL) SELECT doc_id, len(kw) AS n_keywords, md5(array_to_string(list_sort(kw), ' ')) AS keywords_md5 FROM y",
+    "laplace_score": f"WITH {_TEXTS}, n AS (SELECT count(*) AS n FROM benchmark), y AS (SELECT doc_id, {_hits('x.text', 'b.text')} AS pos, {_hits('x.text', _pick(A.SUFFIXES[1:], 'doc_id'))} AS neg FROM x, n JOIN benchmark b ON b.item_id = x.doc_id % n.n WHERE length(x.text) > 0) SELECT doc_id, round((pos + 1) / CAST(pos + neg + 2 AS DOUBLE), 4) AS label_score FROM y",
     "label_exact": f"WITH {_LABELS} SELECT benchmark_id, key_ord FROM x",
     "label_contains": f"WITH {_LABELS} SELECT benchmark_id, key_ord FROM f",
     "label_union": f"WITH {_LABELS} SELECT * FROM x UNION ALL SELECT benchmark_id, key_ord, 'contained' FROM f WHERE benchmark_id NOT IN (SELECT benchmark_id FROM x)",
@@ -226,6 +244,30 @@ y AS (SELECT start_ord AS benchmark_id, prompt, calls, tool_calls, output_tokens
 d AS (SELECT rep, score, row_number() OVER (PARTITION BY rep ORDER BY md5('42|' || rep || '|' || benchmark_id), benchmark_id) AS place FROM z, range(20) r(rep)),
 o AS (SELECT rep, round(avg(score), 4) AS mean FROM d, n2 WHERE place <= size AND n >= 5 GROUP BY rep)
 SELECT count(mean) AS n_valid, round(avg(mean), 4) AS mean, round(median(mean), 4) AS median, round(stddev_samp(mean), 4) AS stdev, min(mean) AS min, max(mean) AS max, round(stddev_samp(mean) * 1.5, 4) AS noise_threshold FROM o HAVING count(mean) >= 3""",
+    "corrections_score": f"WITH {_PAIRS}, {_CORRECTED} SELECT * FROM q",
+    "experiment": f"""WITH {_PAIRS}, {_CORRECTED}, {_JUDGED}, {_LOG},
+a1 AS (SELECT benchmark_id % 12 AS run, round(avg(score), 4) AS score_mean FROM z GROUP BY 1),
+a2 AS (SELECT run, greatest(3, floor(count(*) * 0.7)) AS size FROM (SELECT benchmark_id % 12 AS run FROM z) GROUP BY run HAVING count(*) >= 5),
+a3 AS (SELECT benchmark_id % 12 AS run, rep, score, row_number() OVER (PARTITION BY benchmark_id % 12, rep ORDER BY md5('42|' || rep || '|' || benchmark_id), benchmark_id) AS place FROM z, range(20) r(rep)),
+a4 AS (SELECT run, rep, round(avg(score), 4) AS mean FROM a3 JOIN a2 USING (run) WHERE place <= size GROUP BY run, rep),
+a5 AS (SELECT run, round(stddev_samp(mean) * 1.5, 4) AS noise FROM a4 WHERE run <> 4 GROUP BY run HAVING count(mean) >= 3),
+a6 AS (SELECT benchmark_id % 12 AS run, count(*) FILTER (WHERE judge_failed) AS jf FROM j WHERE benchmark_id % 12 <> 7 GROUP BY 1),
+a7 AS (SELECT benchmark_id % 12 AS run, round(avg((value - 1) / CAST(4 AS DOUBLE)), 4) AS judge FROM (SELECT benchmark_id, unnest([{', '.join(C.DIMENSIONS)}]) AS value FROM j) WHERE value IS NOT NULL GROUP BY 1),
+a8 AS (SELECT benchmark_id % 12 AS run, count(*) AS nm, round(avg(label_score), 4) AS cc FROM q GROUP BY 1),
+a9 AS (SELECT run_id AS baseline_run, score_mean AS base FROM l WHERE decision IN {_in(C.KEPT)} ORDER BY ord DESC LIMIT 1),
+b1 AS (SELECT a1.run, score_mean AS sc, baseline_run, base, CASE WHEN jf IS NOT NULL THEN judge END AS judge, coalesce(jf, 0) AS jf, noise, nm, cc, run % 3 > 0 AS auto, run % 4 = 1 AS skip_v, run % 6 = 0 AS skip_j, sc - base AS delta
+  FROM a1 LEFT JOIN a5 USING (run) LEFT JOIN a6 USING (run) LEFT JOIN a7 USING (run) LEFT JOIN a8 USING (run) LEFT JOIN a9 ON true),
+b2 AS (SELECT *, baseline_run IS NOT NULL AS has_b, coalesce(delta < 0.02, true) AS f1, NOT skip_v AND noise IS NULL AS f2, NOT skip_v AND noise IS NOT NULL AND coalesce(delta <= noise, baseline_run IS NOT NULL) AS f3, NOT skip_j AND judge IS NULL AS f4,
+  coalesce(NOT skip_j AND judge < 0.6, false) AS f5, NOT skip_j AND jf >= 2 AS f6, coalesce(nm > 0 AND cc < 0.4, false) AS f7 FROM b1),
+b3 AS (SELECT *, concat_ws(',', CASE WHEN f1 THEN 'delta-floor' END, CASE WHEN f2 THEN 'variance-missing' END, CASE WHEN f3 THEN 'variance' END, CASE WHEN f4 THEN 'judge-missing' END, CASE WHEN f5 THEN 'judge' END, CASE WHEN f6 THEN 'judge-completeness' END, CASE WHEN f7 THEN 'corrections-aligned' END) AS failed FROM b2)
+SELECT run, sc AS score_mean, baseline_run, judge AS judge_composite, noise AS noise_threshold, nm AS n_matched, cc AS corrections_composite, round(delta, 6) AS delta, failed,
+  CASE WHEN sc IS NULL THEN 'error' WHEN base IS NULL AND NOT has_b THEN CASE WHEN sc < 0.5 THEN 'sanity-floor-rejected' WHEN auto THEN 'first-real-baseline' ELSE 'proposed-first-real-baseline' END
+  WHEN NOT auto THEN CASE WHEN failed = '' THEN 'proposed-kept' ELSE 'proposed-reverted' END
+  WHEN failed = '' THEN 'kept' WHEN failed = 'delta-floor' AND delta <= -0.02 THEN 'reverted' WHEN failed = 'delta-floor' THEN 'delta-below-floor' WHEN f3 THEN 'noise-rejected' WHEN f5 OR f6 THEN 'judge-rejected'
+  WHEN f7 THEN 'corrections-misaligned' WHEN f2 OR f4 THEN 'gates-missing' ELSE 'gates-failed' END AS decision FROM b3""",
+    "baseline_seed": f"""WITH {_ENRICHED},
+y AS (SELECT start_ord AS benchmark_id, prompt, calls, tool_calls, output_tokens, '(ground truth)' AS response_text, tool_calls AS run_calls, output_tokens AS run_tokens, outcome IN ('completed', 'corrected') AS completed_cleanly, logged AS fired FROM p WHERE replayable),
+{_scored("y")} SELECT 'seed-0001' AS run_id, epoch_us(TIMESTAMP '{A.AS_OF}') AS ts_us, 'synthetic-baseline-seed' AS strategy, 'seed' AS decision, round(avg(score), 4) AS score_mean, round(median(score), 4) AS score_median, count(*) AS n_replayed FROM z HAVING count(*) > 0""",
     "budget_prefix": "WITH o AS (SELECT o_custkey, floor(o_totalprice) AS cost, coalesce(sum(floor(o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders) SELECT o_custkey, count(*) AS n_run, sum(cost) AS spent FROM o WHERE before < 500000 GROUP BY o_custkey",
     "replay_counts": "WITH o AS (SELECT o_orderpriority AS run, o_orderkey % 9 = 0 AS late, o_orderstatus <> 'O' AS done, o_orderkey % 4 AS n, floor(o_totalprice) AS cost FROM orders), a AS (SELECT run, count(*) AS attempted, count(*) FILTER (WHERE late) AS timed_out, count(*) FILTER (WHERE NOT late AND done) AS completed, count(*) FILTER (WHERE NOT late AND NOT done) AS failed, count(*) FILTER (WHERE n > 0) AS with_tools, round(sum(cost), 2) AS total_cost FROM o GROUP BY run) SELECT *, attempted > 0 AND completed = 0 AS invalid FROM a",
     "judge_normalize": f"WITH {_JUDGED} SELECT benchmark_id, {', '.join(f'CAST({d} AS BIGINT) AS {d}' for d in C.DIMENSIONS)}, judge_failed FROM j",

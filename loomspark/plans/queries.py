@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.staging import staged
 from ..operators import decide, guard, history, judge, labels, replay, score, segment, suite
 from . import adapters as A
 
@@ -155,13 +156,17 @@ def prompt_normalize(spark, sf_dir):
 
 
 def keyword_extract(spark, sf_dir):
-    t = A.texts(spark, sf_dir).withColumn("kw", X.keywords(F.col("prompt")))
-    return t.select("doc_id", F.size("kw").cast("long").alias("n_keywords"), F.array_join(F.array_sort("kw"), " ").alias("keywords"))
+    t = A.texts(spark, sf_dir).filter("prompt is not null").withColumn("kw", X.keywords(F.col("prompt")))
+    return t.select("doc_id", F.size("kw").cast("long").alias("n_keywords"), F.md5(F.array_join(F.array_sort("kw"), " ").cast("binary")).alias("keywords_md5"))
 
 
 def laplace_score(spark, sf_dir):
-    t = A.texts(spark, sf_dir).filter("length(text) > 0")
-    return labels.label_scores(t.select("doc_id", F.col("text").alias("response_text"), F.lit("summary right options three other").alias("supposed_to"), F.lit("deferred balanced later them option").alias("what_i_did"))).select("doc_id", "label_score")
+    """Documents as responses; what was wanted is a benchmark text, what was done another document's opening."""
+    items = A.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("supposed_to"))
+    n_items = items.agg(F.count(F.lit(1)).alias("n_items"))  # one row
+    t = A.texts(spark, sf_dir).filter("length(text) > 0").crossJoin(F.broadcast(n_items)).withColumn("item_id", F.col("doc_id") % F.col("n_items"))
+    t = t.join(items, "item_id").select("doc_id", F.col("text").alias("response_text"), "supposed_to", A.pick(A.SUFFIXES[1:], F.col("doc_id")).alias("what_i_did"))
+    return labels.label_scores(t).select("doc_id", "label_score")
 
 
 def _benchmark(spark, sf_dir):
@@ -192,6 +197,31 @@ def resample_noise(spark, sf_dir):
     return score.resampled(s, 20, 0.7, 42)
 
 
+def _correction_scores(spark, sf_dir, pairs):
+    return labels.correction_scores(pairs.select("benchmark_id", "prompt", "replayable"), A.task_corrections(spark, sf_dir), pairs)
+
+
+def corrections_score(spark, sf_dir):
+    """Replayed tasks whose prompt a correction matches, scored by it."""
+    return _correction_scores(spark, sf_dir, staged(_pairs(spark, sf_dir)))
+
+
+def experiment(spark, sf_dir):
+    """Replayed tasks as twelve runs, each scored, judged, held against noise and corrections, and decided against the log's baseline."""
+    pairs = staged(score.scored(_pairs(spark, sf_dir)).select("benchmark_id", "prompt", "replayable", "response_text", *_PARTS, "score").withColumn("run", F.col("benchmark_id") % 12))
+    scores = score.run_summary(pairs, "run").select("run", "score_mean", (F.col("run") % 3 > 0).alias("auto"), (F.col("run") % 4 == 1).alias("skip_variance"), (F.col("run") % 6 == 0).alias("skip_judge"))
+    judgments = judge.judge_summary(judge.judged(_answers(spark, sf_dir)).withColumn("run", F.col("benchmark_id") % 12).filter("run <> 7"), "run")
+    noise = score.resampled(pairs, 20, 0.7, 42, keys=("run",)).filter("run <> 4")
+    corrected = labels.composite(_correction_scores(spark, sf_dir, pairs).withColumn("run", F.col("benchmark_id") % 12), "run")
+    out = decide.experiments(scores, judgments, noise, corrected, A.run_log(spark, sf_dir))
+    return out.select("run", "score_mean", "baseline_run", "judge_composite", "noise_threshold", "n_matched", "corrections_composite", F.round("delta", 6).alias("delta"), "failed", "decision")
+
+
+def baseline_seed(spark, sf_dir):
+    """The log row of a first baseline: known outcomes scored as if they were responses."""
+    return history.seed_row(score.run_summary(baseline_echo(spark, sf_dir)), "seed-0001", F.lit(A.AS_OF).cast("timestamp_ntz")).select("run_id", _us("ts").alias("ts_us"), "strategy", "decision", "score_mean", "score_median", "n_replayed")
+
+
 def budget_prefix(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("ord"), F.floor("o_totalprice").cast("double").alias("cost"))
     return history.within_budget(o, 500_000.0, "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_run"), F.sum("cost").alias("spent"))
@@ -380,7 +410,7 @@ QUERIES = {
         segment_tasks, task_tool_histogram, task_files_distinct, last_nonzero_text, segment_turns, classify_tasks, correction_interval_match, eligible_filter,
         recency_age_days, stratified_suite, suite_breakdown, phrase_count, options_count, design_flag, prompt_flags, cost_and_alignment, score_tasks, score_run,
         missing_responses, unknown_responses, baseline_echo, prompt_normalize, keyword_extract, laplace_score, label_exact, label_contains, label_union,
-        resample_noise, budget_prefix, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, strategy_stats,
+        resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, strategy_stats,
         strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, deadletter_block, recent_runs, three_strikes, shared_root_cause,
         top_improvements, top_regressions, guard_paths, guard_shrink, json_extract_props, parse_model_output, project_totals, find_run,
         run_ids, suite_readiness, proposals_listed, weekly_kept,

@@ -229,3 +229,59 @@ def test_score_of_nothing(spark):
     empty = spark.createDataFrame([], "benchmark_id string, score double, completion double, no_correction double, no_premature double, no_options double, search_first double, tool_alignment double, cost double")
     assert score.run_summary(empty).first().score_mean is None
     assert score.resampled(empty, 20, 0.7, 42).count() == 0
+
+
+def test_containment_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    words = ["a", "an", "ant", "bee", "b", "cat", "cats", "the", "one"]
+    text = lambda low, high: " ".join(rng.choice(words) for _ in range(rng.randint(low, high)))
+    for least in (1, 6):
+        bench = [(i, text(0, 9)) for i in range(60)] + [(60, "the cat"), (61, ""), (62, None), (63, "ee")]
+        corr = [(100 + i, text(0, 12), "x") for i in range(60)] + [(90, "ant", "x"), (91, "be", "x"), (92, "", "x")]
+        b = spark.createDataFrame(bench, "benchmark_id long, prompt string")
+        c = spark.createDataFrame(corr, "ord long, prompt string, root_cause string")
+        first = {}
+        for k, t, _ in corr:
+            if t and len(t) >= least:
+                first.setdefault(t, k)
+        want = {}
+        for i, t in bench:
+            hits = [k for p, k in first.items() if p in (t or "") or (t or "") in p]
+            if hits:
+                want[i] = min(hits)
+        assert {r.benchmark_id: r.key_ord for r in labels.contained(b, c, least).collect()} == want
+    assert labels.contained(b.limit(0), c).count() == labels.contained(b, c.limit(0)).count() == 0
+
+
+def test_resampling_takes_the_first_by_hash(spark):
+    import hashlib
+    import statistics
+
+    rows = [(i, (i * 37 % 101) / 100, i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "benchmark_id long, score double, run long")
+
+    def means(own):
+        size = max(3, int(len(own) * 0.7))
+        return [round(statistics.mean(s for _, s in sorted(own, key=lambda x: (hashlib.md5(f"7|{rep}|{x[0]}".encode()).hexdigest(), x[0]))[:size]), 4) for rep in range(5)]
+
+    one = score.resampled(df, 5, 0.7, 7).first()
+    assert abs(one.stdev - statistics.stdev(means([(i, s) for i, s, _ in rows]))) < 1e-4 and one.n_valid == 5
+    by_run = {r.run: r for r in score.resampled(df, 5, 0.7, 7, keys=("run",)).collect()}
+    for run in range(3):
+        own = means([(i, s) for i, s, r in rows if r == run])
+        assert abs(by_run[run].stdev - statistics.stdev(own)) < 1e-4 and abs(by_run[run]["min"] - min(own)) < 1e-4
+    assert score.resampled(df.limit(4), 5, 0.7, 7).count() == 0
+
+
+def test_a_baseline_without_a_score_fails_the_gates_on_it(spark):
+    runs = spark.sql("select 0.9D score_mean, cast(null as double) baseline_score, true has_baseline, 0.9D judge_composite, 0 judge_failed, 0.01D noise_threshold, 0 n_matched, cast(null as double) corrections_composite, true auto, false skip_variance, false skip_judge")
+    row = decide.decided(runs).first()
+    assert (row.failed, row.decision) == ("delta-floor,variance", "noise-rejected")
+    assert decide.decided(runs.withColumn("has_baseline", F.lit(False))).first().decision == "first-real-baseline"
+
+
+def test_strategies_without_a_name_do_not_count(spark):
+    log = spark.sql("select '' strategy, 'kept' decision, current_timestamp() ts union all select 'a', 'kept', current_timestamp()")
+    assert [r.strategy for r in history.strategy_stats(log).collect()] == ["a"]

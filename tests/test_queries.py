@@ -35,10 +35,3 @@ def test_query(spark, duck, name):
     assert sorted(result.columns) == columns
     at = [result.columns.index(c) for c in columns]
     assert ours == sorted(tuple(shown(r[i]) for i in at) for r in result.fetchall())
-
-
-def test_whole_pages_are_normalised(spark, duck):
-    """The SQL of prompt_normalize reads the first 600 characters; without that cut it is the query's."""
-    whole = ORACLE["prompt_normalize"].replace("left(html, 600)", "html")
-    ours = sorted((r.page_id, r.normalized_md5) for r in QUERIES["prompt_normalize"](spark, SF).collect())
-    assert whole != ORACLE["prompt_normalize"] and ours == sorted(duck.sql(whole).fetchall())
