@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import BATCH_ROWS, let, shared_dir, staged
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+__all__ = ["BATCH_ROWS", "HEAVY", "joined", "let", "read_table", "running", "shared_dir", "shuffle_parts", "staged"]
 
-#: Rows of a batch between Spark and Python while a table is staged: whole texts are in them.
-BATCH_ROWS = 1000
 
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages restart from these files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(name, before)
-    return spark.read.schema(df.schema).parquet(path)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: A key that holds at least this part of all rows is joined by broadcast: there are no more than that many.
@@ -65,11 +40,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     """values joined from the first up to each place, by an associative join.
 

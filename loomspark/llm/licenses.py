@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, staged
+from .common import joined, let, staged
 
 #: The wording of licence notices, by SPDX identifier.
 NOTICES = (
@@ -209,12 +209,15 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     is_file = F.col("_loomspark_best").isNotNull() & (F.col("_loomspark_name").rlike(LICENSE_FILE) | (F.col("_loomspark_cover") >= MIN_COVERAGE)) & F.col("_loomspark_path").isNotNull()
     counted = base.filter(is_file).groupBy("_loomspark_dir", F.col("_loomspark_best.license").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     licensed = counted.groupBy("_loomspark_dir").agg(F.min(F.struct((-F.col("n")).alias("minus"), "name")).alias("top")).select(F.col("_loomspark_dir").alias("_loomspark_above"), F.col("top.name").alias("_loomspark_given"))
-    dirs = base.filter("_loomspark_path is not null").select("_loomspark_dir").distinct()
+    dirs = staged(base.filter("_loomspark_path is not null").groupBy("_loomspark_dir").agg(F.count(F.lit(1)).alias("n_files")))
     parts = F.split("_loomspark_dir", "/")
     above = dirs.select("_loomspark_dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("_loomspark_above", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
-    nearest = above.join(licensed, "_loomspark_above").groupBy("_loomspark_dir").agg(F.max(F.struct("depth", "_loomspark_above", "_loomspark_given")).alias("near")).select("_loomspark_dir", "near._loomspark_above", "near._loomspark_given")
+    below = above.groupBy("_loomspark_above").agg(F.count(F.lit(1)).alias("n_dirs"))
+    given = joined(above, licensed.join(below, "_loomspark_above"), "_loomspark_above", "n_dirs").filter("_loomspark_given is not null")
+    nearest = given.groupBy("_loomspark_dir").agg(F.max(F.struct("depth", "_loomspark_above", "_loomspark_given")).alias("near")).select("_loomspark_dir", "near._loomspark_above", "near._loomspark_given")
+    base = joined(base, nearest.join(dirs, "_loomspark_dir"), "_loomspark_dir", "n_files")
     own = F.col("_loomspark_best").isNotNull()
-    return base.join(nearest, "_loomspark_dir", "left").select(
+    return base.select(
         *kept,
         F.when(own, F.col("_loomspark_best.license")).otherwise(F.col("_loomspark_given")).alias("license"),
         F.when(own, -F.col("_loomspark_best.minus")).alias("cosine"),
