@@ -149,26 +149,49 @@ def status(log: DataFrame, dead: DataFrame, n: int = 5) -> DataFrame:
     return last.crossJoin(dead.agg(F.count(F.lit(1)).alias("n_dead"))).join(latest_baseline(log), F.lit(True), "left")
 
 
-def weekly_report(log: DataFrame, since: Column, title: str = "Weekly rollup", diffs: DataFrame | None = None) -> str:
-    """The report as markdown, from aggregates of bounded size and the period's kept runs."""
+def weekly_report(log: DataFrame, since: Column, title: str = "Weekly report", diffs: DataFrame | None = None, dead: DataFrame | None = None, most: int = 1000) -> str:
+    """The report as markdown: counts, scores, strategies, kept changes, dead letters since then, and advice.
+
+    A document is read by people: of runs, changes and dead letters the last `most` by time are listed, and how many there are.
+    """
     runs = real_runs(in_period(log, since))
     decisions = decision_counts(runs).orderBy(F.desc("n"), "decision").collect()
-    lines = [f"# {title}", "", f"**Total runs:** {sum(r['n'] for r in decisions)}", ""]
-    if not decisions:
-        return "\n".join([*lines, "No real runs in this period."])
-    lines += ["## Decisions", "", "| Decision | Count |", "|---|---|", *[f"| {r['decision']} | {r['n']} |" for r in decisions], ""]
+    n_runs = sum(r["n"] for r in decisions)
+    lines = [f"# {title}", "", f"{n_runs} runs in the period.", ""]
+    if not n_runs:
+        return "\n".join(lines)
+
+    def table(heading: str, head: tuple[str, ...], rows: list) -> None:
+        if rows:
+            lines.extend([f"## {heading}", "", "| " + " | ".join(head) + " |", "|---" * len(head) + "|", *["| " + " | ".join(map(str, r)) + " |" for r in rows], ""])
+
+    def listed_rows(rows: DataFrame, *columns: str) -> tuple[int, list]:
+        total = rows.count()
+        last = rows.orderBy(F.desc("ts"), F.desc("ord")).limit(most) if "ord" in rows.columns else rows.orderBy(F.desc("ts")).limit(most)
+        return total, last.select(*columns).collect()[::-1]
+
+    table("Decisions taken", ("decision", "runs"), [(r["decision"], r["n"]) for r in decisions])
     trend = score_trend(runs).first()
     if trend["n_scored"]:
-        lines += ["## Score trend", "", f"**First → last:** {trend['first_score']:.4f} → {trend['last_score']:.4f}  (Δ {trend['delta']:+.4f})", f"**Median:** {trend['median_score']:.4f}", ""]
-    table = period_strategies(runs).orderBy(F.desc("rate"), "strategy").collect()
-    lines += ["## Strategies", "", "| Strategy | Tried | Kept | Rate |", "|---|---|---|---|", *[f"| {r['strategy']} | {r['tried']} | {r['kept']} | {r['rate']:.0%} |" for r in table], ""]
+        _, scored = listed_rows(runs.filter("score_mean is not null").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day", "score_mean", "decision", "strategy")
+        lines += [f"Scores went from {trend['first_score']:.4f} to {trend['last_score']:.4f} ({trend['delta']:+.4f}); their median is {trend['median_score']:.4f}.", ""]
+        table("Scored runs", ("day", "score", "decision", "strategy"), [(r["day"], f"{r['score_mean']:.4f}", r["decision"], r["strategy"]) for r in scored])
+    table("By strategy", ("strategy", "tried", "kept", "rate"), [(r["strategy"], r["tried"], r["kept"], f"{r['rate']:.0%}") for r in period_strategies(runs).orderBy(F.desc("rate"), "strategy").collect()])
     kept = runs.filter(F.col("decision").isin(*C.KEPT))
-    if diffs is not None:
-        kept = kept.join(diffs, "new_commit", "left")
-    rows = kept.orderBy("ts", "ord").collect()
-    if rows:
-        lines += ["## Kept changes", "", *[f"- `{r['run_id']}`: {r['strategy']}" for r in rows], ""]
+    kept = kept.join(diffs, "new_commit", "left") if diffs is not None else kept.withColumn("summary", F.lit(None).cast("string"))
+    if "target_file" not in kept.columns:
+        kept = kept.withColumn("target_file", F.lit(None).cast("string"))
+    total, rows = listed_rows(kept, "run_id", "strategy", "target_file", "score_mean", "decision", "new_commit", "summary")
+    if total:
+        lines += [f"## Changes kept ({total})", ""]
+        for r in rows:
+            lines += [f"- `{r['run_id']}`: {r['strategy']} on {r['target_file']}, score {r['score_mean']}, {r['decision']}, commit `{(r['new_commit'] or '')[:8]}`", *([f"      {line}" for line in r["summary"].splitlines()] if r["summary"] else [])]
+        lines.append("")
+    if dead is not None:
+        total, rows = listed_rows(in_period(dead, since), "strategy", "target_file")
+        if total:
+            lines += [f"## Given up ({total})", "", *[f"- {r['strategy']} on {r['target_file']}" for r in rows], ""]
     advice = with_untried(strategy_stats(log)).orderBy("strategy").collect()
     named = {k: ", ".join(r["strategy"] for r in advice if r["recommendation"] == k) for k in ("promising", "untried", "avoid")}
-    lines += ["## Guidance", "", *[f"- **{word}:** {named[k]}" for k, word in (("promising", "Prefer"), ("untried", "Explore"), ("avoid", "Avoid")) if named[k]]]
-    return "\n".join(lines)
+    said = [f"- {word}: {named[k]}" for k, word in (("promising", "Worth more tries"), ("untried", "Not tried yet"), ("avoid", "Better left alone")) if named[k]]
+    return "\n".join([*lines, "## Next", "", *(said or ["- Too few runs to tell."])])

@@ -19,18 +19,23 @@ def seconds(us: Column) -> Column:
     return F.floor((F.greatest(F.lit(0).cast("long"), us) + 50_000) / 100_000) / 10.0
 
 
+def _time(messages: DataFrame) -> Column:
+    return F.col("ts_raw") if "ts_raw" in messages.columns else F.col("ts")
+
+
 def segmented(messages: DataFrame) -> DataFrame:
     """messages with seg, counted from 1 in each session; what comes before a session's first prompt is dropped.
 
-    Columns used: session_id, ts, ord, is_prompt. Order is by time, nulls first, then ord.
+    Columns used: session_id, ts, ord, is_prompt, and ts_raw if there is one. Order is by time, nulls
+    first, then ord; where there is ts_raw, the time as it was written, by that text.
     """
-    w = Window.partitionBy("session_id").orderBy(F.col("ts").asc_nulls_first(), "ord").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("session_id").orderBy(_time(messages).asc_nulls_first(), "ord").rowsBetween(Window.unboundedPreceding, 0)
     return messages.withColumn("seg", F.sum(F.col("is_prompt").cast("int")).over(w)).filter("seg > 0")
 
 
 def task_rows(messages: DataFrame) -> DataFrame:
     """One row per task, from messages (session_id, project, ord, ts, is_prompt, prompt, tool, file, tokens, text_chars)."""
-    place = F.struct(F.col("ts"), F.col("ord"))
+    place = F.struct(_time(messages).alias("at"), F.col("ord"))
     answer = ~F.col("is_prompt")
     grouped = segmented(messages).groupBy("session_id", "seg").agg(
         F.first("project").alias("project"),
@@ -43,7 +48,7 @@ def task_rows(messages: DataFrame) -> DataFrame:
         F.coalesce(F.max_by("text_chars", F.when(answer & (F.col("text_chars") > 0), place)), F.lit(0)).cast("long").alias("final_response_chars"),
         F.array_sort(F.collect_set("file")).alias("files_changed"),
         F.collect_list("tool").alias("_tools"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("tool").isNotNull(), F.struct("ts", "ord", "tool")))), lambda x: x["tool"]).alias("calls"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("tool").isNotNull(), F.struct(_time(messages).alias("at"), "ord", "tool")))), lambda x: x["tool"]).alias("calls"),
     )
     distinct = F.array_sort(F.array_distinct("_tools"))
     after = Window.partitionBy("session_id").orderBy("seg")

@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their place: path, ord (from 0), line. Blank lines are left out."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("ord", "line"))
-    return lines.filter(F.col("line").rlike(r"(?U)\S")).withColumn("ord", F.col("ord").cast("long"))
+#: The fields of the history tables.
+EXPERIMENT_LOG = (
+    "run_id string, ts string, strategy string, target_file string, baseline_commit string, new_commit string, baseline_score double, score_mean double, score_median double, "
+    "delta double, decision string, n_replayed long, budget_used_usd double, notes string"
+)
+DEAD_LETTER = "run_id string, ts string, strategy string, target_file string, reason string"
+CORRECTIONS = "ts string, project string, prompt string, root_cause string, supposed_to string, what_i_did string, what_you_said string"
 
 
-def read_variants(spark: SparkSession, path: str) -> DataFrame:
+def _text(spark: SparkSession, path: str | list[str], wholetext: bool = False) -> DataFrame:
+    """path, value and start (the block's first byte) of text files; no row where path names none."""
+    nothing = spark.createDataFrame([], "path string, value string, start long")
+    if not path:
+        return nothing
+    try:
+        rows = spark.read.text(path, wholetext=wholetext)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return nothing
+    return rows.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("start"))
+
+
+def _first_files(spark: SparkSession, pattern: str, most: int) -> list[str]:
+    """The first files by path, empty ones too, which no reader of Spark's lists."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    return sorted(status.getPath().toString() for status in found or [])[:most]
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of text files in their order: path, ord, line. Blank lines are left out; an absent path has none.
+
+    A large file is read in blocks by many tasks. ord rises along a file but has gaps: it is the
+    block's first byte plus the line's number in its task, and no block has more lines than bytes.
+    """
+    lines = _text(spark, path).withColumn("ord", F.col("start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    return lines.filter(F.col("value").rlike(r"(?U)\S")).select("path", "ord", F.col("value").alias("line"))
+
+
+def read_variants(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSON lines as path, ord, v; lines that do not parse are left out."""
     return read_lines(spark, path).select("path", "ord", F.try_parse_json("line").alias("v")).filter("v is not null")
 
@@ -25,15 +59,32 @@ def read_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return parsed.select("ord", "row.*")
 
 
+def _timed(rows: DataFrame) -> DataFrame:
+    """rows with the text ts read as a time; null where it is none."""
+    return rows.withColumn("ts", F.col("ts").try_cast("timestamp"))
+
+
+def read_experiment_log(spark: SparkSession, path: str) -> DataFrame:
+    """Runs in the order of the log."""
+    return _timed(read_rows(spark, path, EXPERIMENT_LOG))
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    return _timed(read_rows(spark, path, DEAD_LETTER))
+
+
+def read_corrections(spark: SparkSession, path: str) -> DataFrame:
+    """Corrections with a time that can be read; others are left out."""
+    return _timed(read_rows(spark, path, CORRECTIONS)).filter("ts is not null")
+
+
 def read_sessions(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
     """Messages of `<root>/<directory>/<session>.jsonl`: session_id, directory, ord, ts_raw, ts, type, content, tokens.
 
-    most keeps that many sessions, first by path.
+    most keeps that many sessions, first by path; empty files count.
     """
-    rows = read_variants(spark, f"{root}/*/*.jsonl")
-    if most is not None:
-        first = rows.select("path").distinct().orderBy("path").limit(most)
-        rows = rows.join(F.broadcast(first), "path", "left_semi")
+    pattern = f"{root}/*/*.jsonl"
+    rows = read_variants(spark, pattern if most is None else _first_files(spark, pattern, most))
     get = lambda p, kind: F.try_variant_get("v", p, kind)
     return rows.select(
         F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session_id"),
@@ -79,6 +130,7 @@ def messages(sessions: DataFrame, is_prompt, project: Column) -> DataFrame:
         project.alias("project"),
         (F.col("ord") * 10_000 + F.col("at")).alias("ord"),
         "ts",
+        "ts_raw",
         (F.col("is_prompt") & (F.col("at") == 0)).alias("is_prompt"),
         F.when(F.col("is_prompt"), F.col("text")).alias("prompt"),
         F.col("call.name").alias("tool"),
@@ -89,9 +141,9 @@ def messages(sessions: DataFrame, is_prompt, project: Column) -> DataFrame:
 
 
 def read_keyed(spark: SparkSession, directory: str, schema: StructType | str) -> DataFrame:
-    """One JSON document per file, `<key>.json`: key and its fields; files that do not parse are left out."""
-    whole = spark.read.text(f"{directory}/*.json", wholetext=True)
-    rows = whole.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("key"), F.try_parse_json("value").alias("v"), F.from_json("value", schema).alias("row"))
+    """One JSON document per file, `<key>.json`: key and its fields; files that do not parse are left out, an absent directory has none."""
+    whole = _text(spark, f"{directory}/*.json", wholetext=True)
+    rows = whole.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("key"), F.try_parse_json("value").alias("v"), F.from_json("value", schema).alias("row"))
     return rows.filter("v is not null").select("key", "row.*")
 
 
@@ -99,7 +151,7 @@ def proposals(texts: DataFrame) -> DataFrame:
     """Proposal documents (run_id, value) as run_id, strategy, target_file, score_mean, diff.
 
     A json fence gives the fields; else bold labels do. Documents with neither strategy nor
-    target are left out.
+    target are left out. The patterns are fixed values: they are the documents' format.
     """
     fence = F.try_parse_json(F.nullif(F.regexp_extract("value", r"(?s)```json\n(.*?)\n```", 1), F.lit("")))
     label = lambda name: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)\*\*{name}:\*\*\s*`?([^`\n]+?)`?\s*$", 1)), F.lit(""))

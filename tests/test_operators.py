@@ -127,13 +127,16 @@ def test_recommendation(spark, tried, kept, want):
 def test_empty_history(spark):
     log = spark.createDataFrame([], "run_id string, ts timestamp, ord long, strategy string, decision string, score_mean double, new_commit string")
     assert {r.recommendation for r in history.with_untried(history.strategy_stats(log)).collect()} == {"untried"}
-    assert "No real runs" in history.weekly_report(log, F.lit("2026-01-01").cast("timestamp"))
+    assert "0 runs in the period" in history.weekly_report(log, F.lit("2026-01-01").cast("timestamp"))
 
 
 def test_weekly_report(spark):
     log = spark.sql("select 'r1' run_id, timestamp'2026-01-02' ts, 1L ord, 'memory-add' strategy, 'kept' decision, 0.8D score_mean, 'c1' new_commit union all select 'r2', timestamp'2026-01-03', 2, 'memory-add', 'reverted', 0.9, 'c2'")
-    text = history.weekly_report(log, F.lit("2026-01-01").cast("timestamp"))
-    assert "**Total runs:** 2" in text and "0.8000 → 0.9000  (Δ +0.1000)" in text and "| memory-add | 2 | 1 | 50% |" in text and "- `r1`: memory-add" in text
+    diffs = spark.createDataFrame([("c1", "a.md | 2 +-")], "new_commit string, summary string")
+    dead = spark.sql("select 'rule-rewrite' strategy, 'b.md' target_file, timestamp'2026-01-03' ts union all select 'x', 'old.md', timestamp'2025-01-03'")
+    text = history.weekly_report(log, F.lit("2026-01-01").cast("timestamp"), diffs=diffs, dead=dead)
+    assert "2 runs in the period" in text and "from 0.8000 to 0.9000 (+0.1000)" in text and "| memory-add | 2 | 1 | 50% |" in text and "- `r1`: memory-add" in text
+    assert "| 2026-01-02 | 0.8000 | kept | memory-add |" in text and "      a.md | 2 +-" in text and "- rule-rewrite on b.md" in text and "old.md" not in text
 
 
 @pytest.mark.parametrize(("old", "new", "want"), [(60, 19, "shrunk"), (60, 31, "safe"), (60, 29, "halved"), (40, 19, "halved"), (5, None, "deleted"), (0, 0, "safe")])
@@ -285,3 +288,42 @@ def test_a_baseline_without_a_score_fails_the_gates_on_it(spark):
 def test_strategies_without_a_name_do_not_count(spark):
     log = spark.sql("select '' strategy, 'kept' decision, current_timestamp() ts union all select 'a', 'kept', current_timestamp()")
     assert [r.strategy for r in history.strategy_stats(log).collect()] == ["a"]
+
+
+def test_limit_of_sessions_counts_empty_files(spark, tmp_path):
+    for folder, name, body in (("a", "1", ""), ("a", "2", json.dumps({"type": "user", "message": {"content": "hello"}})), ("b", "3", json.dumps({"type": "user", "message": {"content": "later"}}))):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{name}.jsonl").write_text(body)
+    assert [r.session_id for r in logs.read_sessions(spark, str(tmp_path), 2).collect()] == ["2"]
+    assert logs.read_sessions(spark, str(tmp_path), 1).count() == 0 and logs.read_sessions(spark, str(tmp_path)).count() == 2
+
+
+def test_absent_documents_are_empty(spark, tmp_path):
+    assert logs.read_keyed(spark, str(tmp_path / "none"), "a string").count() == 0
+    assert logs.read_corrections(spark, str(tmp_path / "none.jsonl")).count() == 0
+    assert logs.read_sessions(spark, str(tmp_path / "none")).count() == 0
+    assert logs.read_experiment_log(spark, str(tmp_path / "none.jsonl")).columns[:3] == ["ord", "run_id", "ts"]
+
+
+def test_corrections_need_a_time(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps({"ts": ts, "prompt": p}) for ts, p in (("2026-01-01T10:00:00Z", "a"), ("soon", "b"), (None, "c"))) + "\n{broken\n[]\n")
+    assert [r.prompt for r in logs.read_corrections(spark, str(tmp_path / "c.jsonl")).collect()] == ["a"]
+
+
+def test_lines_keep_their_order_over_blocks(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("\n".join(f"line {i}" if i % 5 else "" for i in range(40_000)))
+    (tmp_path / "more.txt").write_text("x\n" * 100)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = logs.read_lines(spark, str(tmp_path)).filter("path like '%big.txt'").orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.line for r in rows] == [f"line {i}" for i in range(40_000) if i % 5] and len({r.ord for r in rows}) == 32_000
+
+
+def test_sessions_are_in_the_order_of_the_written_time(spark, tmp_path):
+    (tmp_path / "-home-test").mkdir()
+    rows = [("user", "soon", "a prompt of no readable time"), ("user", None, "a prompt of no time"), ("user", "2026-01-01T10:00:00Z", "a prompt with a time")]
+    (tmp_path / "-home-test" / "s.jsonl").write_text("\n".join(json.dumps({"type": kind, "message": {"content": text}} | ({"timestamp": ts} if ts else {})) for kind, ts, text in rows))
+    assert [r.prompt for r in tasks_of(logs.read_sessions(spark, str(tmp_path))).orderBy("seg").collect()] == [rows[1][2], rows[2][2], rows[0][2]]
