@@ -141,12 +141,28 @@ def listed(proposals: DataFrame, n: int = 20) -> DataFrame:
     return proposals.orderBy("run_id").limit(n)
 
 
-def status(log: DataFrame, dead: DataFrame, n: int = 5) -> DataFrame:
-    """One row: last runs, baseline, number of dead letters."""
+def status(log: DataFrame, dead: DataFrame, reports: DataFrame | None = None, today: str = "", n: int = 5) -> DataFrame:
+    """One row: last runs, number of (strategy, target_file) given up, whether there is a report of today, baseline."""
     from .decide import latest_baseline
 
     last = log.orderBy(F.desc("ord")).limit(n).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "run_id", "decision")), asc=False), lambda x: F.concat(x["run_id"], F.lit(":"), x["decision"])), " ").alias("last_runs"))
-    return last.crossJoin(dead.agg(F.count(F.lit(1)).alias("n_dead"))).join(latest_baseline(log), F.lit(True), "left")
+    given_up = dead.agg(F.countDistinct(F.struct("strategy", "target_file")).alias("n_dead"))
+    reported = (reports if reports is not None else dead.sparkSession.createDataFrame([], "name string")).agg((F.count_if(F.col("name") == f"{today}.md") > 0).alias("reported_today"))
+    return last.crossJoin(given_up).crossJoin(reported).join(latest_baseline(log), F.lit(True), "left")  # one row each
+
+
+def banner(reports: DataFrame, markers: DataFrame, log: DataFrame) -> DataFrame:
+    """The unread report with a line on the last run of the log; no row if there is none to read."""
+    delta = F.when(F.col("r.delta").isNotNull(), F.format_string(" (%+.3f)", F.col("r.delta"))).otherwise("")
+    last = log.agg(F.max_by(F.struct("run_id", "decision", "strategy", "delta"), "ord").alias("r"))
+    line = F.concat(F.coalesce("r.run_id", F.lit("?")), F.lit(", "), F.coalesce("r.decision", F.lit("?")), F.lit(", "), F.coalesce("r.strategy", F.lit("?")), delta)
+    return unread_report(reports, markers).crossJoin(F.broadcast(last)).select("name", F.when(F.col("r").isNotNull(), line).alias("last_run"))
+
+
+def guidance(stats: DataFrame) -> DataFrame:
+    """One row from statistics with the untried strategies: which are promising, untried and to be avoided, by name."""
+    named = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("recommendation") == kind, F.col("strategy")))), ", ").alias(kind)
+    return stats.agg(*[named(kind) for kind in ("promising", "untried", "avoid")])  # as many names as there are strategies
 
 
 def weekly_report(log: DataFrame, since: Column, title: str = "Weekly report", diffs: DataFrame | None = None, dead: DataFrame | None = None, most: int = 1000) -> str:

@@ -22,6 +22,7 @@ SUFFIXES = (
     " Take option b.", " To summarize, in summary, it is ultimately your call.", " First gh search found it.", " i think the right call is tldr: no", " Deferred until later, either approach works.",
 )
 DECISIONS = ("kept", "reverted", "noise-rejected", "seed", "first-real-baseline", "sanity-floor-rejected", "user-reverted")
+STRATEGY_NAMES = ("rule-rewrite", "memory-add", "rule-reorder")
 AS_OF = "2024-03-15 12:00:00"
 
 
@@ -76,6 +77,13 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as reports: one a day, and a weekly one every Monday."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    names = F.when(F.weekday("ts") == 0, F.array(F.concat(day, F.lit(".md")), F.concat(F.lit("weekly-"), day, F.lit(".md")))).otherwise(F.array(F.concat(day, F.lit(".md"))))
+    return table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.explode(names).alias("name")).distinct()
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with a suffix by number, and a prompt: an opening by number and then the whole text."""
     n = F.col("doc_id")

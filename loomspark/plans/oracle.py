@@ -309,5 +309,21 @@ SELECT path, n_old, n_new, CASE WHEN n_new IS NULL THEN 'deleted' WHEN n_old >=
     "run_ids": "SELECT strftime(ts, '%Y-%m-%d-%H%M') AS run_id, count(*) AS n FROM events GROUP BY 1",
     "suite_readiness": f"{_SUITE} SELECT count(*) FILTER (WHERE replayable) AS n_replayable, count(*) FILTER (WHERE replayable) >= 6 AS ready FROM a6 WHERE pos <= 40",
     "proposals_listed": f"WITH {_LOG} SELECT run_id, strategy, target_file FROM l ORDER BY run_id LIMIT 20",
+    "status_row": f"""WITH {_LOG}, k AS (SELECT * FROM l ORDER BY ord DESC LIMIT 5)
+SELECT (SELECT string_agg(run_id || ':' || decision, ' ' ORDER BY ord DESC) FROM k) AS last_runs, (SELECT count(*) FROM (SELECT DISTINCT strategy, target_file FROM l WHERE decision = 'user-reverted' AND ord % 5 = 0)) AS n_dead,
+  EXISTS (SELECT 1 FROM events WHERE event_type = 'signup' AND CAST(ts AS DATE) = DATE '2024-01-20') AS reported_today, run_id AS baseline_run, score_mean AS baseline_score
+FROM (SELECT 1) LEFT JOIN (SELECT * FROM l WHERE decision IN {_in(C.KEPT)} ORDER BY ord DESC LIMIT 1) ON true""",
+    "report_banner": f"""WITH {_LOG}, d AS (SELECT max(strftime(ts, '%Y-%m-%d')) || '.md' AS name FROM events WHERE event_type = 'signup'), k AS (SELECT *, CASE WHEN ord % 4 <> 0 THEN (ord % 64) / CAST(64 AS DOUBLE) - 0.5 END AS delta FROM l ORDER BY ord DESC LIMIT 1)
+SELECT name, run_id || ', ' || decision || ', ' || strategy || CASE WHEN delta IS NULL THEN '' ELSE printf(' (%+.3f)', delta) END AS last_run FROM d LEFT JOIN k ON true WHERE name IS NOT NULL AND NOT name < '2024-01-10'""",
+    "guidance_row": f"""WITH {_LOG}, {_STATS}, k AS (SELECT strategy, coalesce(recommendation, 'untried') AS r FROM {_DECLARED} FULL JOIN (SELECT * FROM u WHERE strategy IN ('rule-rewrite', 'memory-add', 'user-approval')) USING (strategy))
+SELECT {', '.join(f"coalesce(string_agg(strategy, ', ' ORDER BY strategy) FILTER (WHERE r = {_s(x)}), '') AS {x}" for x in ("promising", "untried", "avoid"))} FROM k""",
+    "feedback": f"""WITH k AS (SELECT CASE event_type WHEN 'signup' THEN 'approv' WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'disapprov' END AS act, {_pick(A.STRATEGY_NAMES, "user_id")} AS s, event_id % 11 AS t FROM events),
+o AS (SELECT 'experiment_log' AS "table", CASE act WHEN 'approv' THEN 'user-approved user-approval' WHEN 'reject' THEN 'user-rejected user-rejection' ELSE 'user-reverted user-disapproval' END AS value FROM k WHERE act IS NOT NULL
+  UNION ALL SELECT 'corrections', 'proposed ' || s || ' on m' || t FROM k WHERE act IN ('reject', 'disapprov') UNION ALL SELECT 'dead_letter', s FROM k WHERE act IN ('reject', 'disapprov'))
+SELECT "table", value, count(*) AS n FROM o GROUP BY 1, 2""",
+    "suite_entries": f"""{_SUITE}
+SELECT left(session_id, 8) || '-' || CASE WHEN seg - 1 < 1000 THEN lpad(CAST(seg - 1 AS VARCHAR), 3, '0') ELSE CAST(seg - 1 AS VARCHAR) END AS benchmark_id, session_id, p.prompt, p.project, p.task_type, p.difficulty, p.replayable, epoch_us(p.start_ts) AS first_us,
+  p.tool_calls, concat_ws(',', CASE WHEN n_bash > 0 THEN 'Bash=' || n_bash END, CASE WHEN n_edit > 0 THEN 'Edit=' || n_edit END, CASE WHEN n_read > 0 THEN 'Read=' || n_read END) AS tools, coalesce(len(p.files), 0) AS n_files, p.duration AS duration_sec, p.output_tokens, p.outcome, p.logged AS correction_logged
+FROM (SELECT {_KEY} FROM a6 WHERE pos <= 40) JOIN p USING ({_KEY})""",
     "weekly_kept": f"WITH {_LOG} SELECT w.run_id, 'c' || w.ord AS new_commit, e.event_type || ' changed' AS summary FROM w LEFT JOIN events e ON e.event_id = w.ord AND e.event_id % 2 = 0 WHERE w.decision IN {_in(C.KEPT)}",
 }

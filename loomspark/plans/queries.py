@@ -397,6 +397,46 @@ def proposals_listed(spark, sf_dir):
     return history.listed(A.run_log(spark, sf_dir).select("run_id", "strategy", "target_file"))
 
 
+def _dead(spark, sf_dir):
+    return A.run_log(spark, sf_dir).filter("decision = 'user-reverted' and ord % 5 = 0")
+
+
+def status_row(spark, sf_dir):
+    log = A.run_log(spark, sf_dir)
+    return history.status(log, _dead(spark, sf_dir), A.reports(spark, sf_dir), "2024-01-20")
+
+
+def report_banner(spark, sf_dir):
+    """The latest daily report, if it is not among those that were read, and the last run of the log."""
+    reports = A.reports(spark, sf_dir)
+    log = A.run_log(spark, sf_dir).withColumn("delta", F.when(F.col("ord") % 4 != 0, (F.col("ord") % 64) / 64 - 0.5))
+    return history.banner(reports, reports.filter("name < '2024-01-10'"), log)
+
+
+def guidance_row(spark, sf_dir):
+    log = A.run_log(spark, sf_dir).filter("strategy in ('rule-rewrite', 'memory-add', 'user-approval')")
+    return history.guidance(history.with_untried(history.strategy_stats(log)))
+
+
+def feedback(spark, sf_dir):
+    """events as actions of the user on proposals: how many rows each table gets, and their label or strategy."""
+    e = A.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "approve").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "purchase", "disapprove")
+    target = F.concat(F.lit("m"), (F.col("event_id") % 11).cast("string"))
+    actions = e.select(F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"), kind.alias("action"), A.pick(A.STRATEGY_NAMES, F.col("user_id")).alias("strategy"), target.alias("target_file"), F.col("props").alias("reason"), F.lit("p").alias("project"), F.lit("q").alias("prompt"), "ts").filter("action is not null")
+    tables = history.feedback_rows(actions)
+    rows = tables["experiment_log"].select(F.lit("experiment_log").alias("table"), F.concat_ws(" ", "decision", "strategy").alias("value"))
+    rows = rows.unionByName(tables["corrections"].select(F.lit("corrections").alias("table"), F.col("what_i_did").alias("value")))
+    rows = rows.unionByName(tables["dead_letter"].select(F.lit("dead_letter").alias("table"), F.col("strategy").alias("value")))
+    return rows.groupBy("table", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def suite_entries(spark, sf_dir):
+    e = suite.entries(_suite(spark, sf_dir))
+    g = "ground_truth"
+    return e.select("benchmark_id", "session_id", "prompt", "project", "task_type", "difficulty", "replayable", _us("first_message_at").alias("first_us"), F.col(f"{g}.tool_calls").alias("tool_calls"), X.shown_counts(F.col(f"{g}.tools")).alias("tools"), F.col(f"{g}.files_changed_count").cast("long").alias("n_files"), F.col(f"{g}.duration_sec").alias("duration_sec"), F.col(f"{g}.output_tokens").alias("output_tokens"), F.col(f"{g}.outcome").alias("outcome"), F.col(f"{g}.correction_logged").alias("correction_logged"))
+
+
 def weekly_kept(spark, sf_dir):
     """Kept runs of the period with the summary of their change, where there is one."""
     kept = _week(spark, sf_dir).filter(F.col("decision").isin("kept", "first-real-baseline"))
@@ -413,6 +453,6 @@ QUERIES = {
         resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, strategy_stats,
         strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, deadletter_block, recent_runs, three_strikes, shared_root_cause,
         top_improvements, top_regressions, guard_paths, guard_shrink, json_extract_props, parse_model_output, project_totals, find_run,
-        run_ids, suite_readiness, proposals_listed, weekly_kept,
+        run_ids, suite_readiness, proposals_listed, weekly_kept, status_row, report_banner, guidance_row, feedback, suite_entries,
     )
 }
