@@ -79,45 +79,45 @@ def _hot_windows(piece: Column, window: int, most: Column) -> Column:
     bits = F.array(*[F.lit(round(n * math.log2(n) * UNIT) if n else 0) for n in range(window + 1)])
     codes = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
-    def place(code: Column) -> Column:
+    def shift(code: Column) -> Column:
         return F.shiftleft(code.bitwiseAND(7), 3)
 
     def count(counts: Column, code: Column) -> Column:
-        return F.call_function("shiftrightunsigned", F.get(counts, F.shiftright(code, 3)), place(code)).bitwiseAND(F.lit(255)).cast("int")
-
-    def step(counts: Column, code: Column, sign: int) -> Column:
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), place(code))
-        return F.transform(counts, lambda n, i: F.when(i == F.shiftright(code, 3), n + sign * one).otherwise(n))
+        return F.call_function("shiftrightunsigned", F.get(counts, F.shiftright(code, 3)), shift(code)).bitwiseAND(F.lit(255)).cast("int")
 
     def change(n: Column, sign: int) -> Column:
         return F.get(bits, n + sign) - F.get(bits, n)
 
-    def fold(codes: Column) -> Column:
-        def leave(acc: Column) -> Column:
-            """The window without the character that the next one pushes out."""
-
-            def without(old: Column) -> Column:
-                return F.struct(step(acc["counts"], old, -1).alias("counts"), (acc["sum"] + change(count(acc["counts"], old), -1)).alias("sum"))
+    def one(code: Column, at: Column) -> Column:
+        """One of the character, in the number of the counts that holds it."""
+        return F.when(at == F.shiftright(code, 3), F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))).otherwise(F.lit(0).cast("long"))
 
-            return F.when(acc["at"] >= window, without(F.get(codes, acc["at"] - window))).otherwise(F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum")))
-
-        def enter(acc: Column, new: Column) -> Column:
-            def entered(left: Column) -> Column:
-                total, at = left["sum"] + change(count(left["counts"], new), 1), acc["at"] + 1
-                hot = (at >= window) & (total <= most)
-                return F.struct(
-                    step(left["counts"], new, 1).alias("counts"),
-                    total.alias("sum"),
+    def fold(codes: Column) -> Column:
+        def enter(acc: Column, x: Column) -> Column:
+            # the character that enters the window, and the one that it pushes out (null while there is room)
+            new, old, counts, at = x["new"], x["old"], acc["counts"], acc["at"] + 1
+            total = (
+                F.when(old.isNull(), acc["sum"] + change(count(counts, new), 1))
+                .when(old == new, acc["sum"])
+                .otherwise(acc["sum"] + change(count(counts, new), 1) + change(count(counts, old), -1))
+            )
+            moved = F.when(old.isNull(), F.transform(counts, lambda n, i: n + one(new, i))).when(old == new, counts).otherwise(F.transform(counts, lambda n, i: n + one(new, i) - one(old, i)))
+            hot = lambda y: (at >= window) & (y <= most)
+            return let(
+                total,
+                lambda y: F.struct(
+                    moved.alias("counts"),
+                    y.alias("sum"),
                     at.alias("at"),
-                    F.when(hot, F.coalesce(acc["start"], at - window)).otherwise(acc["start"]).alias("start"),
-                    F.when(hot, at).otherwise(acc["end"]).alias("end"),
-                )
-
-            return let(leave(acc), entered)
+                    F.when(hot(y), F.coalesce(acc["start"], at - window)).otherwise(acc["start"]).alias("start"),
+                    F.when(hot(y), at).otherwise(acc["end"]).alias("end"),
+                ),
+            )
 
         none = F.lit(None).cast("int")
         empty = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // 8)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at"), none.alias("start"), none.alias("end"))
-        return F.aggregate(codes, empty, enter, lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+        moves = F.transform(codes, lambda code, i: F.struct(code.alias("new"), F.when(i >= window, F.get(codes, i - window)).alias("old")))
+        return F.aggregate(moves, empty, enter, lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
 
     return let(codes, fold)
 
