@@ -243,11 +243,11 @@ def _wanted_sets(screen):
     return sets
 
 
-def _sets_of(nodes: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+def _sets_of(nodes: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes, by another pass over the texts; a screen of bounded size spares most of them."""
-    ids = rows.groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node", "left_semi")
+    ids = classes.join(nodes, "node", "left_semi")
     screen = np.zeros(1 << SCREEN_BITS, bool)
-    for r in ids.select(F.coalesce("id", F.lit(0)).bitwiseAND((1 << SCREEN_BITS) - 1).alias("bit")).distinct().collect():  # at most 2 ** SCREEN_BITS
+    for r in ids.select(F.coalesce("first_id", F.lit(0)).bitwiseAND((1 << SCREEN_BITS) - 1).alias("bit")).distinct().collect():  # at most 2 ** SCREEN_BITS
         screen[r["bit"]] = True
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(screen).tobytes())
     found = texts.mapInArrow(_wanted_sets(shared), "node long, shingles binary")
@@ -355,6 +355,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     survey = staged(texts.mapInArrow(_survey, "id long, n long, node long, sketch binary, shingle long, held long"))
     rows = survey.filter("node is not null").select("id", "n", "node", "sketch")
+    # staged, or a semi join with it would be pushed below the aggregate, onto all copies of a set
+    classes = staged(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("held")))
     common = survey.filter("shingle is not null").groupBy("shingle").agg(F.sum("held").alias("held")).filter(F.col("held") >= COMMON_IN_ALL)
     bits = np.zeros(1 << COMMON_BITS, bool)
     for r in common.orderBy(F.desc("held"), "shingle").limit(MAX_COMMON).select("shingle").collect():
@@ -371,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = ranked.join(leaders, "sign").select(F.col("node").alias("x"), F.col("top.node").alias("y")).filter("x <> y")
     first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = staged(_with_both(first, sketches, "n", "sketch").mapInArrow(_screened(similarity), "a long, b long"))
-    sets = _sets_of(_ends(first), texts, rows)
+    sets = _sets_of(_ends(first), texts, classes)
     links = staged(_with_both(first, sets, "shingles").mapInArrow(_exact(similarity), "a long, b long"))
     roots = components(links)
 
@@ -390,12 +392,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = staged(across.distinct())
     missing = staged(_ends(across).join(sets.select("node"), "node", "left_anti"))
     if not missing.isEmpty():
-        sets = sets.unionByName(_sets_of(missing, texts, rows))
+        sets = sets.unionByName(_sets_of(missing, texts, classes))
     more = staged(_with_both(across, sets, "shingles").mapInArrow(_exact(similarity), "a long, b long"))
     roots = components(links.unionByName(more))
 
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("held"))
-    nodes = staged(nodes.join(roots, "node", "left").select("node", "first_id", "held", F.coalesce("root", "node").alias("root")))
+    nodes = staged(classes.join(roots, "node", "left").select("node", "first_id", "held", F.coalesce("root", "node").alias("root")))
     smallest = nodes.groupBy("root").agg(F.min("first_id").alias("smallest"), F.count(F.lit(1)).alias("n_nodes"))
     named = joined(nodes, smallest, "root", "n_nodes").select("node", "smallest", "held")
     return joined(rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), named, "node", "held").select(
