@@ -316,6 +316,48 @@ def test_language_spans(spark):
     assert [(s.lang, text[s.start : s.end]) for s in r.spans] == [("en", "the cat sat on the mat"), ("ru", "кошка сидела на ковре"), ("en", "the cats went home")]
 
 
+def brute_language(model, text):
+    """lang_pred and score of a text by trying all labellings of its few words."""
+    spans, at = [], 0
+    for m in re.finditer(r"[^\W\d_]+", text):
+        spans.append((m.start(), m.end()))
+    per_word = []
+    for a, b in spans:
+        low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text[a:b]]
+        low = [0, *low, 0]
+        total = np.zeros(len(model.languages))
+        for i in range(1, len(low) - 1):
+            h = (low[i - 1] * 0x9E3779B97F4A7C15) ^ (low[i] * 0xC2B2AE3D27D4EB4F) ^ (low[i + 1] * 0x165667B19E3779F9)
+            h &= (1 << 64) - 1
+            h ^= h >> 29
+            total += model.scores[((h * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)) >> 49]
+        script = max((i for i, (first, _) in enumerate(langid.SCRIPTS) if first <= ord(text[a])))
+        per_word.append((b - a, total + model.penalty[langid.SCRIPTS[script][1]]))
+    if not per_word:
+        return "und", 0.0
+    value = lambda p: sum(x[k] for k, (_, x) in zip(p, per_word, strict=True)) - langid.SWITCH * sum(a != b for a, b in itertools.pairwise(p))
+    best = max(itertools.product(range(len(model.languages)), repeat=len(per_word)), key=value)
+    letters = Counter()
+    for k, (n, _) in zip(best, per_word, strict=True):
+        letters[k] += n
+    top = min(letters, key=lambda k: (-letters[k], k))
+    return model.languages[top], letters[top] / sum(letters.values())
+
+
+def test_languages_are_those_of_the_best_labelling(spark):
+    rng = np.random.default_rng(14)
+    pools = {"en": WORDS, "ru": "кошка сидела на ковре вместе с другими домой".split(), "xx": "zor vak tulim qet brun ssa okwe".split()}
+    rows = [(i, " ".join(rng.choice(pools[lang], 20)), lang) for i, lang in enumerate(["en", "ru", "xx"] * 6)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [" ".join(rng.choice(pools[rng.choice(list(pools))]) for _ in range(rng.integers(0, 6))) + rng.choice(["", " 12", "!", " É", " 中文"]) for _ in range(80)] + ["", "12 !?", "the кошка"]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(0, texts[0], "x", 1), (999, None, "x", 1)], "doc_id long, text string, lang_pred string, score long")
+    got = langid.with_language(table, model).collect()
+    assert len(got) == len(texts) + 2 and langid.with_language(table.limit(0), model).count() == 0
+    for r in got:
+        want = brute_language(model, r.text or "")
+        assert r.lang_pred == want[0] and math.isclose(r.score, want[1]), r.text
+
+
 # -- 5
 
 
@@ -740,3 +782,34 @@ def test_redacted(spark):
     rows = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
     assert rows == {i: brute_redacted(t) for i, t in enumerate(SECRETS)}
     assert secrets.redacted(docs.limit(0)).columns == docs.columns
+
+
+# -- all
+
+
+def test_very_long_texts(spark):
+    """A text of a megabyte and a half, a near copy of it, and a line of one word."""
+    rng = np.random.default_rng(15)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(3000)]
+    words = rng.choice(vocabulary, 260_000).tolist()
+    near = list(words)
+    for at in rng.integers(0, len(near), 500):
+        near[at] = "changed"
+    passage = [f"bench{i}" for i in range(12)]
+    long, other = " ".join([*words, *passage]), " ".join(near) + " idiot moron token=abcdefghijkl1234"
+    docs = docs_table(spark, [(1, long), (2, other), (3, "x" * 1_500_000), (4, "short")])
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.contamination(docs, spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")).collect()}
+    assert hit == {1: (260_012, 12), 2: (260_004, 0), 3: (1, 0), 4: (1, 0)}
+    assert sum(r["size"] for r in sharding.shard_by_bytes(docs, 2).collect()) == len(long) + len(other) + 1_500_000 + 5 + 4
+    pieces = packing.packed(docs.filter("doc_id <> 3"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
+    assert all(sum(p.length for p in pieces if p.doc_id == i) == next(p.doc_tokens for p in pieces if p.doc_id == i) for i in (1, 2, 4))
+    spans = {r.doc_id: len(r.secret_spans) for r in secrets.secret_spans(docs).collect()}
+    assert spans == {1: 0, 2: 1, 3: 0, 4: 0}
+    model = langid.train(spark.createDataFrame([(i, " ".join(rng.choice(vocabulary, 50)), "aa") for i in range(20)] + [(50, " ".join(WORDS * 5), "en")], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in langid.with_language(docs, model).collect()}[1] == "aa"
+    toxic = toxicity.Model(((" idiot ", 4.0), (" moron ", 4.0)), (), (-4.0, 1.0, 1.0, 1.0))
+    assert {r.doc_id: r.score > 0.01 for r in toxicity.with_toxicity(docs, toxic).collect()}[2] and toxic._matched(toxicity.fold(other)) == (8.0, 2)
+    scanned = licenses.license_scan(spark.createDataFrame([("a/LICENSE", long + "\nReleased under the MIT License.\n" + other), ("a/b", "x" * 1_500_000)], "path string, text string")).collect()
+    assert {(r.path, r.license) for r in scanned} == {("a/LICENSE", "MIT"), ("a/b", "MIT")}
