@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,17 +64,36 @@ def judge_summary(judgments: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def ask(prompts: DataFrame, client: Callable[[str], tuple[str, float]]) -> DataFrame:
-    """prompts (benchmark_id, judge_prompt) through a client on the executors: result, cost_usd, error. A call that raises has no result."""
+def ask(prompts: DataFrame, client: Callable[[str], tuple[str, float]], timeout_sec: float | None = None, budget: float | None = None, tasks: int = 8) -> DataFrame:
+    """prompts (benchmark_id, judge_prompt) through a client on the executors: result, cost_usd, error.
+
+    A call that raises or takes longer than timeout_sec has no result, and says why. With a budget
+    each of the tasks may spend its share: once that is reached its other prompts are not sent.
+    """
+    share = None if budget is None else budget / tasks
 
     def call(batches):
+        pool = ThreadPoolExecutor(1)
+        spent = 0.0
         for batch in batches:
             rows = []
             for text in batch["judge_prompt"]:
+                if share is not None and spent >= share:
+                    rows.append((None, 0.0, "budget spent"))
+                    continue
                 try:
-                    rows.append((*client(text), None))
-                except Exception as error:  # a failed call is a failed judgment, and says why
+                    result, cost = pool.submit(client, text).result(timeout_sec)
+                    rows.append((result, float(cost), None))
+                    spent += float(cost)
+                except TimeoutError:
+                    rows.append((None, 0.0, "timed out"))
+                    pool.shutdown(wait=False)
+                    pool = ThreadPoolExecutor(1)  # the late call keeps its own thread
+                except Exception as error:  # a failed call is a failed judgment
                     rows.append((None, 0.0, f"{type(error).__name__}: {error}"))
-            yield batch[["benchmark_id"]].assign(result=[r[0] for r in rows], cost_usd=[float(r[1]) for r in rows], error=[r[2] for r in rows])
+            yield batch[["benchmark_id"]].assign(result=[r[0] for r in rows], cost_usd=[r[1] for r in rows], error=[r[2] for r in rows])
+        pool.shutdown(wait=False)
 
-    return prompts.select("benchmark_id", "judge_prompt").mapInPandas(call, "benchmark_id string, result string, cost_usd double, error string")
+    sent = prompts.select("benchmark_id", "judge_prompt")
+    sent = sent if budget is None else sent.repartition(tasks, "benchmark_id")
+    return sent.mapInPandas(call, "benchmark_id string, result string, cost_usd double, error string")

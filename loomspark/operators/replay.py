@@ -62,6 +62,7 @@ def replay_summary(runs: DataFrame, *keys: str) -> DataFrame:
     ).withColumn("invalid", (F.col("attempted") > 0) & (F.col("completed") == 0))
 
 
-def replay(prompts: DataFrame, client: Callable[[str], tuple[str, float]]) -> DataFrame:
-    """prompts (benchmark_id, prompt) through a client on the executors: stdout and cost_usd."""
-    return _ask(prompts.select("benchmark_id", F.col("prompt").alias("judge_prompt")), client).withColumnRenamed("result", "stdout")
+def replay(prompts: DataFrame, client: Callable[[str], tuple[str, float]], timeout_sec: float | None = None, budget: float | None = None, tasks: int = 8) -> DataFrame:
+    """prompts (benchmark_id, prompt) through a client on the executors: stdout, cost_usd, error, timed_out. Time and budget as in judge.ask."""
+    answers = _ask(prompts.select("benchmark_id", F.col("prompt").alias("judge_prompt")), client, timeout_sec, budget, tasks)
+    return answers.withColumnRenamed("result", "stdout").withColumn("timed_out", F.col("error").eqNullSafe("timed out"))

@@ -327,3 +327,21 @@ def test_sessions_are_in_the_order_of_the_written_time(spark, tmp_path):
     rows = [("user", "soon", "a prompt of no readable time"), ("user", None, "a prompt of no time"), ("user", "2026-01-01T10:00:00Z", "a prompt with a time")]
     (tmp_path / "-home-test" / "s.jsonl").write_text("\n".join(json.dumps({"type": kind, "message": {"content": text}} | ({"timestamp": ts} if ts else {})) for kind, ts, text in rows))
     assert [r.prompt for r in tasks_of(logs.read_sessions(spark, str(tmp_path))).orderBy("seg").collect()] == [rows[1][2], rows[2][2], rows[0][2]]
+
+
+def test_calls_end_by_time_and_budget(spark):
+    def client(text):
+        import time
+
+        if text == "slow":
+            time.sleep(3)
+        if text == "bad":
+            raise ValueError("no")
+        return text.upper(), 1.0
+
+    prompts = spark.createDataFrame([("a", "ok"), ("b", "slow"), ("c", "bad")], "benchmark_id string, prompt string")
+    rows = {r.benchmark_id: (r.stdout, r.error, r.timed_out) for r in replay.replay(prompts, client, timeout_sec=1.0).collect()}
+    assert rows == {"a": ("OK", None, False), "b": (None, "timed out", True), "c": (None, "ValueError: no", False)}
+    many = spark.range(20).select(F.col("id").cast("string").alias("benchmark_id"), F.lit("ok").alias("judge_prompt"))
+    done = judge.ask(many, client, budget=4.0, tasks=2).collect()
+    assert sum(r.cost_usd for r in done) == 4.0 and sum(r.error == "budget spent" for r in done) == 16
