@@ -10,7 +10,8 @@ separates content from boilerplate.
 A block's own cost is of the order of its edges, so most short lines of an article, and
 sentences of a sidebar, get their label through the cut. What a container says is certain (its
 capacity exceeds all its edges) or doubtful (a form, an article of an unlikely name): a doubtful
-one gives way when the texts in it weigh more.
+one gives way when the texts in it weigh more. One of content by its name alone holds its
+blocks by weaker edges, so that lists of links in it may leave.
 """
 
 from __future__ import annotations
@@ -60,10 +61,12 @@ BAD_NAMES = frozenset(
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
 GOOD_NAMES = frozenset("article content entry post story main articlebody".split())
 TAG_HINT = {"p": 0.4, "li": 0.4, "blockquote": 0.4, "pre": 0.4, "h1": 0.8, "h2": 0.8, "h3": 0.8}
-#: Capacities of edges: between neighbours, in one parent, and to a container; and of a doubtful container to its terminal.
-ADJACENT, SAME_PARENT, HELD, DOUBTFUL = 1.0, 0.5, 5.0, 9.0
-#: What a container is for certain.
-CONTENT, BOILERPLATE = "content", "boilerplate"
+#: Capacities of edges: between neighbours, in one parent, to a container, and to one of content by its name alone.
+ADJACENT, SAME_PARENT, HELD, LEANING = 1.0, 0.5, 5.0, 1.5
+#: Capacity of a doubtful container to its terminal.
+DOUBTFUL = 9.0
+#: What a container says: content for certain or by its name, boilerplate for certain or doubtful.
+CONTENT, NAMED_CONTENT, BOILERPLATE, DOUBTED = "content", "named content", "boilerplate", "doubted"
 
 
 @dataclass
@@ -106,7 +109,7 @@ class _Page:
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.says: dict[int, str | float] = {}  # containers: what they are for certain, or the cost of doubtful ones
+        self.says: dict[int, str] = {}  # of the containers
         self.stack: list[Element] = []
         self.low = 0
         self.pieces: list[str] = []
@@ -196,11 +199,11 @@ class _Page:
             if certain:
                 new.bad, new.certain, self.says[self.seen] = self.seen, True, BOILERPLATE
             elif not around.bad and (bad or tag in DOUBTFUL_TAGS):
-                new.bad, self.says[self.seen] = self.seen, -DOUBTFUL
+                new.bad, self.says[self.seen] = self.seen, DOUBTED
             elif tag in GOOD_TAGS:
                 new.good, self.says[self.seen] = self.seen, CONTENT
             elif names & GOOD_NAMES and not around.good:
-                new.good, self.says[self.seen] = self.seen, DOUBTFUL
+                new.good, self.says[self.seen] = self.seen, NAMED_CONTENT
         self.stack.append(new)
 
     def _named(self, attributes: str) -> frozenset[str]:
@@ -252,9 +255,10 @@ def graph_of(html: str) -> tuple[list[Block], list[float], list[tuple[int, int,
     n_held = Counter(n for b in page.blocks for n in b.held)
     place = {n: len(scores) + i for i, n in enumerate(n_held)}
     for n, blocks in n_held.items():
-        certain = HELD * blocks + 1
-        scores.append({CONTENT: certain, BOILERPLATE: -certain}.get(page.says[n], page.says[n]))
-    return page.blocks, scores, edges + [(i, place[n], HELD) for i, b in enumerate(page.blocks) for n in b.held]
+        certain = HELD * blocks + 1  # more than all edges of the container
+        scores.append({CONTENT: certain, NAMED_CONTENT: certain, BOILERPLATE: -certain, DOUBTED: -DOUBTFUL}[page.says[n]])
+    held = [(i, place[n], LEANING if page.says[n] == NAMED_CONTENT else HELD) for i, b in enumerate(page.blocks) for n in b.held]
+    return page.blocks, scores, edges + held
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:

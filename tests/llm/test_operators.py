@@ -274,6 +274,12 @@ def test_doubtful_containers_give_way_to_much_text():
     assert html_extract.main_text(f'<article class="comment">{form}</article>') == ""
 
 
+def test_content_by_name_keeps_short_lines_and_no_menus():
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(8))
+    html = f'<body><div class="content"><h2>Part one</h2><p>{LONG}</p><p>Short</p><div>Tiny</div><ul>{menu}</ul></div><div>© 2024</div></body>'
+    assert html_extract.main_text(html) == f"Part one\n{LONG}\nShort\nTiny"
+
+
 def test_pages_of_nothing_and_of_much(spark):
     assert html_extract.extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0
     began = time.time()
