@@ -72,14 +72,20 @@ def bands_of(size: int, similarity: int = SIMILARITY) -> list[tuple[int, int]]:
     return out
 
 
+def _held(bits: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """1 for each shingle whose low bits are set in packed bits, 0 for others."""
+    at = shingles & _U((1 << COMMON_BITS) - 1)
+    return (bits[at >> _U(3)].astype(np.uint64) >> (_U(7) - (at & _U(7)))) & _U(1)
+
+
 def signatures(shingles: np.ndarray, common: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
-    """Signatures of a set; common says by a shingle's low bits if very many sets hold it."""
+    """Signatures of a set; common says by a shingle's low bits if very many sets hold it, a bit for each."""
     out = []
     for level, most in bands_of(len(shingles), similarity):
         if most == 0:
             continue  # similar means equal here, and equal sets are one
         n_cells = cells_of_band(level)
-        cell = mix(shingles + _U(level + 1)) % _U(n_cells) + common[shingles & _U((1 << COMMON_BITS) - 1)].astype(np.uint64) * _U(n_cells)
+        cell = mix(shingles + _U(level + 1)) % _U(n_cells) + _held(common, shingles) * _U(n_cells)
         order = np.argsort(cell)
         cell = cell[order]
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -150,7 +156,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(node)
                 held.append(shingles)
                 size += len(shingles)
-            if size > 1 << 21:
+            if size > 1 << 20:
                 common, held, size = add(), [], 0
         yield _survey_rows(docs, sizes, nodes, sketches, [None] * len(docs), [None] * len(docs))
     if held:
@@ -166,7 +172,7 @@ def _survey_rows(*columns: list) -> pa.RecordBatch:
 
 def _signer(common_bits, n_groups: int, similarity: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.unpackbits(np.frombuffer(common_bits.value, np.uint8)).astype(bool)
+        common = np.frombuffer(common_bits.value, np.uint8)
         seen: set[int] = set()
         signs: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
@@ -194,7 +200,7 @@ def _signer(common_bits, n_groups: int, similarity: int):
                         signs.append(own)
                         nodes.append(np.full(len(own), node, np.int64))
                         size += len(own)
-                if size > 1 << 19:
+                if size > 1 << 18:
                     yield flush()
                     signs, nodes, size = [], [], 0
         if size:

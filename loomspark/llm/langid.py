@@ -30,7 +30,7 @@ MIN_SHARE = 0.01
 #: with more allowed the shorter it is, or if most of its letters are of scripts that no language has.
 FAR, FAR_SHORT = 3.0, 100.0
 #: Letters handled at once, times languages.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: First code points of Unicode's script ranges, in order. 0: any script.
 SCRIPTS = (
     (0x0000, 0), (0x0041, 1), (0x0250, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 0), (0x0900, 7),

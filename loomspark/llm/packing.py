@@ -15,7 +15,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -149,21 +148,23 @@ def packed(docs: DataFrame, tokenizer: str, pattern: str, size: int = 1024, n_op
     schema = _PIECE + (", ids binary" if with_ids else "")
     pieces = staged(docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(pack, _PIECE + ", merge_group long" + (", ids binary" if with_ids else "")))
     done = pieces.filter("merge_group is null").drop("merge_group")
-    merged = pieces.filter("merge_group is not null").groupBy("merge_group").applyInPandas(lambda group: merge_windows(group, size), schema)
+    merged = pieces.filter("merge_group is not null").groupBy("merge_group").applyInArrow(lambda group: merge_windows(group, size), schema)
     return done.unionByName(merged)
 
 
-def merge_windows(group: pd.DataFrame, size: int) -> pd.DataFrame:
+def merge_windows(group: pa.Table, size: int) -> pa.Table:
     """Whole windows, largest first, into the fullest sequence with room; a sequence takes the id of its first window."""
+    windows, lengths = group.column("sequence_id").to_pylist(), group.column("length").to_pylist()
+    sizes: dict[int, int] = {}
+    for window, length in zip(windows, lengths, strict=True):
+        sizes[window] = sizes.get(window, 0) + length
     fills: list[tuple[int, int]] = []
     moved: dict[int, tuple[int, int]] = {}
-    sizes = group.groupby("sequence_id")["length"].sum()
     for window, length in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
         at = bisect_left(fills, (size - length + 1, -1)) - 1
         fill, sequence = fills.pop(at) if at >= 0 else (0, window)
         moved[window] = (sequence, fill)
         insort(fills, (fill + length, sequence))
-    out = group.drop(columns="merge_group")
-    return out.assign(
-        offset=out["offset"] + out["sequence_id"].map(lambda w: moved[w][1]), sequence_id=out["sequence_id"].map(lambda w: moved[w][0])
-    )
+    offsets = [offset + moved[w][1] for offset, w in zip(group.column("offset").to_pylist(), windows, strict=True)]
+    changed = {"sequence_id": pa.array([moved[w][0] for w in windows], pa.int64()), "offset": pa.array(offsets, pa.int64())}
+    return pa.table({c: changed.get(c, group.column(c)) for c in group.column_names if c != "merge_group"})

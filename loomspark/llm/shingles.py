@@ -14,7 +14,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(SIZE)], np.uint64)
 #: Bytes of text hashed at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 

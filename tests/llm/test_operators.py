@@ -678,6 +678,8 @@ def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(7)
     common = np.zeros(1 << jaccard.COMMON_BITS, bool)
     common[rng.integers(0, 1 << jaccard.COMMON_BITS, 1 << 21)] = True
+    assert np.array_equal(jaccard._held(np.packbits(common), np.arange(1000, dtype=np.uint64)), common[:1000])
+    common = np.packbits(common)
     for n in [4, 5, 8, 9, 20, 50, 63, 64, 70, 79, 80, 127, 128, 150, 300, 513, 1000]:
         for _ in range(60):
             pool = rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64)
