@@ -18,7 +18,6 @@ from functools import lru_cache, partial
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import staged
 
