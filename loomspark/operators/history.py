@@ -142,11 +142,12 @@ def listed(proposals: DataFrame, n: int = 20) -> DataFrame:
 
 
 def status(log: DataFrame, dead: DataFrame, reports: DataFrame | None = None, today: str = "", n: int = 5) -> DataFrame:
-    """One row: last runs, number of (strategy, target_file) given up, whether there is a report of today, baseline."""
+    """One row: last runs, number of (strategy, target_file) given up (of rows, where dead has neither), whether there is a report of today, baseline."""
     from .decide import latest_baseline
 
     last = log.orderBy(F.desc("ord")).limit(n).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "run_id", "decision")), asc=False), lambda x: F.concat(x["run_id"], F.lit(":"), x["decision"])), " ").alias("last_runs"))
-    given_up = dead.agg(F.countDistinct(F.struct("strategy", "target_file")).alias("n_dead"))
+    pair = [c for c in ("strategy", "target_file") if c in dead.columns]
+    given_up = dead.agg((F.countDistinct(F.struct(*pair)) if pair else F.count(F.lit(1))).alias("n_dead"))
     reported = (reports if reports is not None else dead.sparkSession.createDataFrame([], "name string")).agg((F.count_if(F.col("name") == f"{today}.md") > 0).alias("reported_today"))
     return last.crossJoin(given_up).crossJoin(reported).join(latest_baseline(log), F.lit(True), "left")  # one row each
 
