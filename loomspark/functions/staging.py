@@ -41,6 +41,16 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(table: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again."""
+    spark = table.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if not path.getName().startswith("stage-"):
+            raise ValueError(f"{name} is not a staged table")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, which is evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
