@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import BATCH_ROWS, let, shared_dir, staged
+from ..functions.staging import BATCH_ROWS, deleted, let, shared_dir, staged
 
-__all__ = ["BATCH_ROWS", "HEAVY", "joined", "let", "read_table", "running", "shared_dir", "shuffle_parts", "staged"]
+__all__ = ["BATCH_ROWS", "HEAVY", "deleted", "joined", "let", "read_table", "running", "shared_dir", "shuffle_parts", "staged"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,4 +42,28 @@ c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op6_decontamination": _OP6, "op8_embedding_dups": _OP8, "op9_ngram_jaccard": _OP9}
+def _op13(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Every distance of every round, in integers."""
+    far = "list_sum(list_transform(range(1, {0} + 1), lambda i: CAST(v.x[i] - c.x[i] AS HUGEINT) * (v.x[i] - c.x[i])))".format(dim)
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda q: CAST(floor(256 * CAST(q AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda q: q IS NULL OR NOT isfinite(q))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS cluster, x FROM v ORDER BY sha256('2:' || vec_id), x LIMIT {k})"""]
+    for t in range(rounds + 1):
+        parts.append(f"""
+a{t} AS MATERIALIZED (SELECT row, min(struct_pack(d := d, c := cluster)) AS n FROM (SELECT v.row, c.cluster, {far} AS d FROM v, c{t} c) GROUP BY row)""")
+        if t < rounds:
+            parts.append(f"""
+s{t} AS MATERIALIZED (SELECT a.n.c AS cluster, i, sum(v.x[i]) AS s, count(*) AS m FROM a{t} a JOIN v USING (row), range(1, {dim} + 1) r(i) GROUP BY 1, 2),
+c{t + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(g.x, c.x) AS x FROM c{t} c
+  LEFT JOIN (SELECT cluster, list(CAST((s - ((s % m + m) % m)) // m AS BIGINT) ORDER BY i) AS x FROM s{t} GROUP BY 1) g USING (cluster))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(n.c AS INTEGER) AS cluster, CAST(n.d AS BIGINT) AS distance, CAST(sum(n.d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(n.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (row) JOIN c{rounds} c ON c.cluster = n.c
+"""
+
+
+ORACLE: dict[str, str] = {"op6_decontamination": _OP6, "op8_embedding_dups": _OP8, "op9_ngram_jaccard": _OP9, "op13_clustering": _op13()}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, toxicity
+from .clustering import clustered
 from .common import read_table
 from .decontaminate import contamination
 from .embedding_dups import near_vectors
@@ -78,4 +79,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets)}
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(read_table(spark, sf_dir, "embeddings")).drop("measured")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets, op13_clustering)}
