@@ -42,6 +42,34 @@ c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 """
 
+_RULES = {"short": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_words", "symbols": "100 * n_symbols > 20 * word_chars", "lines": "100 * n_dup_lines > 30 * n_lines", "letters": "word_chars < 2 * n_words"}
+
+
+def _op12() -> str:
+    """Windows counted by joins, and the beta prior of each rule in turn."""
+    space = r"[^\x20\x09-\x0D]+"
+    rates = [
+        f"""SELECT source, '{r}' AS rule, CASE WHEN alike > 0 THEN (f + mean * w) / (n + w) ELSE mean END AS rate
+        FROM (SELECT *, greatest(1 / alike - 1, 2) AS w FROM (SELECT *, (ss - nn * mean * mean - mean * (1 - mean) * (k - 1)) / nullif(greatest(mean * (1 - mean) * (nn - n2 / nn - (k - 1)), 0), 0) AS alike
+        FROM (SELECT source, f_{r} AS f, n, count(*) OVER () AS k, sum(n) OVER () AS nn, sum(n * n) OVER () AS n2, sum(f_{r}) OVER () / sum(n) OVER () AS mean, sum(CAST(f_{r} AS DOUBLE) * f_{r} / n) OVER () AS ss FROM h)))"""
+        for r in _RULES
+    ]
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT row, doc_id, source, t, regexp_extract_all(t, '{space}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS l FROM d),
+g AS (SELECT row, k, array_to_string(w[k : k + 4], ' ') AS gram FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS k FROM w)),
+p AS (SELECT row, count(DISTINCT spot) AS n FROM (SELECT row, unnest(range(k, k + 5)) AS spot FROM (SELECT row, k, count(*) OVER (PARTITION BY row, gram) AS twice FROM g) WHERE twice > 1) GROUP BY row),
+c AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN p USING (row)),
+h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER ({rule}) AS f_{r}" for r, rule in _RULES.items())} FROM c WHERE source IS NOT NULL GROUP BY source),
+b AS (SELECT DISTINCT source FROM ({" UNION ALL ".join(rates)}) WHERE rate >= 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND b.source IS NULL AS kept
+FROM c LEFT JOIN b USING (source)
+"""
+
+
 def _op13(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
     """Every distance of every round, in integers."""
     far = "list_sum(list_transform(range(1, {0} + 1), lambda i: CAST(v.x[i] - c.x[i] AS HUGEINT) * (v.x[i] - c.x[i])))".format(dim)
@@ -66,4 +94,4 @@ FROM v JOIN a{rounds} USING (row) JOIN c{rounds} c ON c.cluster = n.c
 """
 
 
-ORACLE: dict[str, str] = {"op6_decontamination": _OP6, "op8_embedding_dups": _OP8, "op9_ngram_jaccard": _OP9, "op13_clustering": _op13()}
+ORACLE: dict[str, str] = {"op6_decontamination": _OP6, "op8_embedding_dups": _OP8, "op9_ngram_jaccard": _OP9, "op12_quality": _op12(), "op13_clustering": _op13()}

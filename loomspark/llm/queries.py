@@ -14,6 +14,7 @@ from .html_extract import extracted
 from .jaccard import near_duplicates
 from .licenses import license_scan
 from .packing import packed
+from .quality import judged
 from .secrets import counted, secret_spans, shown
 from .sharding import shard_by_bytes
 
@@ -79,8 +80,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(read_table(spark, sf_dir, "embeddings")).drop("measured")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets, op13_clustering)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets, op12_quality, op13_clustering)}
