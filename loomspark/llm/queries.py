@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, toxicity
 from .clustering import clustered
 from .common import read_table
+from .conversations import damaged, repair_report
 from .decontaminate import contamination
 from .embedding_dups import near_vectors
 from .html_extract import extracted
@@ -80,6 +81,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_report(damaged(turns), turns)
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -89,4 +95,4 @@ def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(read_table(spark, sf_dir, "embeddings")).drop("measured")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets, op12_quality, op13_clustering)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_html_extraction, op4_langid, op5_toxicity, op6_decontamination, op7_packing, op8_embedding_dups, op9_ngram_jaccard, op10_secrets, op11_conversations, op12_quality, op13_clustering)}
