@@ -13,7 +13,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .staging import staged
 
@@ -34,7 +33,7 @@ def _within(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, np.diff(np.append(starts, len(values))))
 
 
-def _local(keys: Sequence[str], sums: Sequence[str]):
+def _local(keys: Sequence[str], sums: Sequence[str], before: bool):
     """Sums of each key's rows so far within one range, batch after batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,43 +58,53 @@ def _local(keys: Sequence[str], sums: Sequence[str]):
                 if goes_on:
                     values[0] += carried[i]
                 local = _within(values, starts)
+                if before:
+                    earlier = np.append(carried[i] if goes_on else 0, local[:-1]).astype(values.dtype)
+                    earlier[starts[1:]] = 0
+                    added.append(pa.array(earlier))
+                else:
+                    added.append(pa.array(local))
                 carried[i] = local[-1]
-                added.append(pa.array(local))
             last = [batch.column(k)[n - 1] for k in keys]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), *added], [*batch.schema.names, "_range", *(f"_local_{s}" for s in sums)])
 
     return run
 
 
-def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
-    """rows with, under each name of sums, the sum of its values over the key's rows up to and with this one.
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column], before: bool = False) -> DataFrame:
+    """rows with, under each name of sums, the sum of its values over the key's rows up to and with this one (before: without it).
 
     Rows are dealt out in ranges of (keys, order), sorted and summed range by range, and written
     in that form; what a key has summed in earlier ranges is added to them. A range begins inside
     one key at most, so these offsets are no more than there are ranges, however many rows or keys
-    there are, and are sent to all tasks. Without keys the sums run over the whole table.
+    there are: they pass through the driver and are sent to all tasks. Without keys the sums run over the whole table.
     Rows that keys and order do not tell apart lie in one range: give an order that does. Values
     are longs or doubles, null counts as 0; keys may be null and are then one key.
     """
     names = list(sums)
-    valued = rows.withColumns({f"_value_{n}": sums[n] for n in names})
     values = [f"_value_{n}" for n in names]
+    valued = rows.withColumns(dict(zip(values, sums.values(), strict=True)))
     sort = [*(F.col(k).asc_nulls_first() for k in keys), *order]
     kinds = [T.DoubleType() if isinstance(valued.schema[v].dataType, (T.DoubleType, T.FloatType)) else T.LongType() for v in values]
     schema = T.StructType([*valued.schema.fields, T.StructField("_range", T.IntegerType()), *(T.StructField(f"_local_{v}", k) for v, k in zip(values, kinds, strict=True))])
     dealt = valued.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    local = staged(dealt.mapInArrow(_local(list(keys), values), schema))
+    local = staged(dealt.mapInArrow(_local(list(keys), values, before), schema))
+    split = local
     if keys:
-        spans = local.groupBy(*keys).agg(F.min("_range").alias("_from"), F.max("_range").alias("_to")).filter("_from < _to")
-        spans = spans.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
+        spans = local.groupBy(*keys).agg(F.min("_range").alias("_from"), F.max("_range").alias("_to")).filter("_from < _to").select(*[F.col(k).alias(f"_key_{k}") for k in keys])
         split = local.join(F.broadcast(spans), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]), "left_semi")  # fewer keys than ranges
-    else:
-        split = local
-    pieces = split.groupBy("_range", *keys).agg(*[F.sum(v).alias(v) for v in values])
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    offsets = pieces.select(F.col("_range").alias("_at"), *[F.col(k).alias(f"_key_{k}") for k in keys], *[F.sum(v).over(before).alias(f"_before_{v}") for v in values])
-    offsets = offsets.filter(" or ".join(f"_before_{v} is not null" for v in values))
+    pieces = split.groupBy("_range", *keys).agg(*[F.sum(F.coalesce(v, F.lit(0))).alias(v) for v in values]).collect()  # two for each range at most
+    total: dict[tuple, list] = {}
+    offsets = []
+    for r in sorted(pieces, key=lambda r: r["_range"]):
+        key = tuple(r[k] for k in keys)
+        if key in total:
+            offsets.append((r["_range"], *key, *total[key]))
+        total[key] = [a + r[v] for a, v in zip(total.get(key, [0] * len(values)), values, strict=True)]
+    if not offsets:
+        return local.select(*rows.columns, *[F.col(f"_local_{v}").alias(n) for n, v in zip(names, values, strict=True)])
+    shape = [T.StructField("_at", T.IntegerType()), *(T.StructField(f"_key_{k}", rows.schema[k].dataType) for k in keys), *(T.StructField(f"_before_{v}", k) for v, k in zip(values, kinds, strict=True))]
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col("_range") == F.col("_at"))
-    out = local.join(F.broadcast(offsets), on, "left")
+    out = local.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, T.StructType(shape))), on, "left")
     added = {n: F.col(f"_local_{v}") + F.coalesce(f"_before_{v}", F.lit(0)) for n, v in zip(names, values, strict=True)}
     return out.withColumns(added).select(*rows.columns, *names)

@@ -28,10 +28,13 @@ def test_running_sums(spark, keyed, hot):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         out = ordered.running(df, ["k"] if keyed else [], [F.col("n").asc()], {"total": F.col("v"), "spent": F.col("x")})
+        less = ordered.running(df, ["k"] if keyed else [], [F.col("n").asc()], {"total": F.col("v"), "spent": F.col("x")}, before=True)
+        assert "Window" not in less._jdf.queryExecution().executedPlan().toString()
+        earlier = sorted(((r.k, r.n, r.total + (r.v or 0), r.spent + (r.x or 0.0)) for r in less.collect()), key=str)
         got = sorted(((r.k, r.n, r.total, r.spent) for r in out.collect()), key=str)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert got == brute(rows, keyed)
+    assert got == earlier == brute(rows, keyed)
     assert out.columns == ["k", "n", "v", "x", "total", "spent"]
 
 
