@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import config as C
+from ..functions.ordered import running
 
 
 def real_runs(log: DataFrame) -> DataFrame:
@@ -86,9 +87,12 @@ def three_strikes(log: DataFrame, label: str = "sanity-floor-rejected", key: str
 
 
 def within_budget(rows: DataFrame, cap: float, *partition: str, cost: str = "cost", order: str = "ord") -> DataFrame:
-    """Rows that are reached before the costs of those before them sum to the cap."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("spent_before", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).filter(F.col("spent_before") < cap)
+    """Rows that are reached before the costs of those before them sum to the cap; without partition, over the whole run.
+
+    order tells rows apart. Costs are summed in ranges of the order, so neither a run nor a partition of it is one task's work.
+    """
+    spent = {"spent_before": F.col(cost).cast("double")}
+    return running(rows, list(partition), [F.col(order).asc()], spent, before=True).filter(F.col("spent_before") < cap)
 
 
 def score_changes(before: DataFrame, after: DataFrame, key: str = "benchmark_id") -> DataFrame:

@@ -269,6 +269,8 @@ SELECT run, sc AS score_mean, baseline_run, judge AS judge_composite, noise AS n
 y AS (SELECT start_ord AS benchmark_id, prompt, calls, tool_calls, output_tokens, '(ground truth)' AS response_text, tool_calls AS run_calls, output_tokens AS run_tokens, outcome IN ('completed', 'corrected') AS completed_cleanly, logged AS fired FROM p WHERE replayable),
 {_scored("y")} SELECT 'seed-0001' AS run_id, epoch_us(TIMESTAMP '{A.AS_OF}') AS ts_us, 'synthetic-baseline-seed' AS strategy, 'seed' AS decision, round(avg(score), 4) AS score_mean, round(median(score), 4) AS score_median, count(*) AS n_replayed FROM z HAVING count(*) > 0""",
     "budget_prefix": "WITH o AS (SELECT o_custkey, floor(o_totalprice) AS cost, coalesce(sum(floor(o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders) SELECT o_custkey, count(*) AS n_run, sum(cost) AS spent FROM o WHERE before < 500000 GROUP BY o_custkey",
+    "budget_run": """WITH o AS (SELECT o_orderpriority, o_orderkey, floor(o_totalprice) AS cost, coalesce(sum(floor(o_totalprice)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders)
+SELECT o_orderpriority, count(*) AS n_run, sum(cost) AS spent, max(o_orderkey) AS last_ord FROM o WHERE before < (SELECT floor(sum(cost) / 10) FROM o) GROUP BY o_orderpriority""",
     "replay_counts": "WITH o AS (SELECT o_orderpriority AS run, o_orderkey % 9 = 0 AS late, o_orderstatus <> 'O' AS done, o_orderkey % 4 AS n, floor(o_totalprice) AS cost FROM orders), a AS (SELECT run, count(*) AS attempted, count(*) FILTER (WHERE late) AS timed_out, count(*) FILTER (WHERE NOT late AND done) AS completed, count(*) FILTER (WHERE NOT late AND NOT done) AS failed, count(*) FILTER (WHERE n > 0) AS with_tools, round(sum(cost), 2) AS total_cost FROM o GROUP BY run) SELECT *, attempted > 0 AND completed = 0 AS invalid FROM a",
     "judge_normalize": f"WITH {_JUDGED} SELECT benchmark_id, {', '.join(f'CAST({d} AS BIGINT) AS {d}' for d in C.DIMENSIONS)}, judge_failed FROM j",
     "judge_dims": f"WITH {_JUDGED} SELECT dimension, round(avg((value - 1) / 4), 4) AS mean, count(value) AS n FROM v GROUP BY dimension",

@@ -227,6 +227,13 @@ def budget_prefix(spark, sf_dir):
     return history.within_budget(o, 500_000.0, "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_run"), F.sum("cost").alias("spent"))
 
 
+def budget_run(spark, sf_dir):
+    """orders as calls of one run, in the order of their keys: those that a budget of a tenth of all costs reaches."""
+    o = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), "o_orderpriority", F.floor("o_totalprice").cast("double").alias("cost"))
+    cap = o.agg(F.floor(F.sum("cost") / 10)).first()[0]
+    return history.within_budget(o, cap).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_run"), F.sum("cost").alias("spent"), F.max("ord").alias("last_ord"))
+
+
 def replay_counts(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders")
     runs = o.select(F.col("o_orderpriority").alias("run"), (F.col("o_orderkey") % 9 == 0).alias("timed_out"), (F.col("o_orderstatus") != "O").alias("completed"), (F.col("o_orderkey") % 4).alias("n_tool_calls"), F.floor("o_totalprice").cast("double").alias("cost"))
@@ -450,7 +457,7 @@ QUERIES = {
         segment_tasks, task_tool_histogram, task_files_distinct, last_nonzero_text, segment_turns, classify_tasks, correction_interval_match, eligible_filter,
         recency_age_days, stratified_suite, suite_breakdown, phrase_count, options_count, design_flag, prompt_flags, cost_and_alignment, score_tasks, score_run,
         missing_responses, unknown_responses, baseline_echo, prompt_normalize, keyword_extract, laplace_score, label_exact, label_contains, label_union,
-        resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, strategy_stats,
+        resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, strategy_stats,
         strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, deadletter_block, recent_runs, three_strikes, shared_root_cause,
         top_improvements, top_regressions, guard_paths, guard_shrink, json_extract_props, parse_model_output, project_totals, find_run,
         run_ids, suite_readiness, proposals_listed, weekly_kept, status_row, report_banner, guidance_row, feedback, suite_entries,
