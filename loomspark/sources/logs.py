@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import snapshots
 
 #: The fields of the history tables.
 EXPERIMENT_LOG = (
@@ -169,15 +170,16 @@ def proposals(texts: DataFrame) -> DataFrame:
 
 
 def write_snapshot(rows: DataFrame, path: str, as_of: str) -> None:
-    """Rows as the snapshot of a day; a snapshot of the same day is replaced."""
-    rows.withColumn("as_of_date", F.lit(as_of)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of_date").parquet(path)
+    """Rows as the snapshot of a day, in place of one of the same day; readers see all of it or none."""
+    snapshots.commit(rows, path, as_of)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot."""
-    rows = spark.read.parquet(path)
-    latest = rows.agg(F.max("as_of_date")).first()[0]
-    return rows.filter(F.col("as_of_date") == latest).drop("as_of_date")
+    """The newest snapshot, by its day."""
+    days = snapshots.parts(spark, path)
+    if not days:
+        raise FileNotFoundError(f"no snapshot in {path}")
+    return snapshots.read(spark, path, max(days))
 
 
 def append(rows: DataFrame, path: str) -> None:
