@@ -61,11 +61,15 @@ def task_rows(messages: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(mine("file"))).alias("files_changed"),
         F.transform(F.array_sort(F.collect_list(F.when(inside & F.col("tool").isNotNull(), F.struct(_time(messages).alias("at"), "ord", "tool")))), lambda x: x["tool"]).alias("calls"),
     )
+    return task_columns(grouped)
+
+
+def task_columns(tasks: DataFrame) -> DataFrame:
+    """tasks with what follows from their other columns: tools, end_ts (the next prompt's time, else the last answer's), duration_sec, task_id, prompt_chars."""
     distinct = F.array_sort(F.array_distinct("calls"))
-    end = F.coalesce("next_ts", "last_ts", "start_ts")
     return (
-        grouped.withColumn("tools", F.map_from_arrays(distinct, F.transform(distinct, lambda t: F.size(F.filter("calls", lambda u: u == t)).cast("long"))))
-        .withColumn("end_ts", end)
+        tasks.withColumn("tools", F.map_from_arrays(distinct, F.transform(distinct, lambda t: F.size(F.filter("calls", lambda u: u == t)).cast("long"))))
+        .withColumn("end_ts", F.coalesce("next_ts", "last_ts", "start_ts"))
         .withColumn("duration_sec", seconds(micros(F.col("start_ts"), F.col("end_ts"))))
         .withColumn("task_id", F.format_string("%s-%03d", F.left("session_id", F.lit(8)), F.col("seg") - 1))
         .withColumn("prompt_chars", F.length("prompt"))
