@@ -65,6 +65,29 @@ def decided(runs: DataFrame, s: C.Settings = C.DEFAULTS) -> DataFrame:
     return out.withColumn("failed", F.array_join("_failed", ",")).withColumn("decision", decision).drop("_failed")
 
 
+def score_inputs(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """run, score_mean and reason (null where the score can be decided on) for every run of wanted.
+
+    wanted has run and present, whether the run's folder is there; documents has run and value, the text of its scores. A run
+    without a folder, without scores that can be read as an object, without the score, or with one that is no number (of no
+    replayable task, say) has a reason and no score. true and false are the numbers 1 and 0.
+    """
+    v = F.try_parse_json("value")
+    held = documents.groupBy("run").agg(F.max("value").alias("value")).select("run", v.alias("v"))
+    score = F.try_variant_get("v", "$.score_mean", "variant")
+    kind = F.schema_of_variant(score)
+    number = F.when(kind == "BOOLEAN", F.try_variant_get("v", "$.score_mean", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$.score_mean", "double"))
+    keys = F.schema_of_variant("v")
+    reason = (
+        F.when(~F.coalesce("present", F.lit(False)), "run folder missing")
+        .when(F.col("v").isNull() | ~F.coalesce(keys.startswith("OBJECT"), F.lit(False)), "scores missing")
+        .when(score.isNull(), "scores without score_mean")
+        .when(number.isNull(), F.concat(F.lit("score_mean is "), F.when(F.is_variant_null(score), "null").otherwise("no number"), F.lit(", likely of no replayable task")))
+    )
+    found = wanted.join(held, "run", "left")
+    return found.select("run", F.when(reason.isNull(), number).alias("score_mean"), reason.alias("reason"))
+
+
 def experiments(scores: DataFrame, judgments: DataFrame, noise: DataFrame, corrections: DataFrame, log: DataFrame, s: C.Settings = C.DEFAULTS) -> DataFrame:
     """The decision on every scored run, against the latest baseline of the log.
 

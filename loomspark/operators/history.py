@@ -114,24 +114,75 @@ def find_run(log: DataFrame, run_id: Column | str) -> DataFrame:
 
 
 def disapproval_status(run: DataFrame) -> DataFrame:
-    """Whether a run can be taken back: it was kept and names its commit."""
-    status = F.when(~F.coalesce(F.col("decision").isin(*C.KEPT, "user-approved"), F.lit(False)), "not-kept").when(F.coalesce("new_commit", F.lit("")) == "", "no-commit").otherwise("ok")
+    """Whether a run can be taken back: it was kept, by the loop and not by the user's approval, and names its commit."""
+    status = F.when(~F.coalesce(F.col("decision").isin(*C.KEPT), F.lit(False)), "not-kept").when(F.coalesce("new_commit", F.lit("")) == "", "no-commit").otherwise("ok")
     return run.withColumn("status", status)
 
 
-def feedback_rows(actions: DataFrame) -> dict[str, DataFrame]:
-    """Rows that user actions (run_id, action, strategy, target_file, reason, project, prompt, ts) append to each table.
+def feedback_status(actions: DataFrame, proposals: DataFrame, log: DataFrame) -> DataFrame:
+    """actions (run_id, action, ...) with what they act on as `on`, and status: ok, no-proposal, not-found, not-kept or no-commit.
 
-    An approval appends to the log; a rejection or disapproval also to corrections and dead letters.
+    An approval or rejection needs the run's proposal, a disapproval its last row in the log, kept and with a commit.
     """
-    label = F.create_map(*[F.lit(x) for x in ("approve", "user-approved", "reject", "user-rejected", "disapprove", "user-reverted")])
-    name = F.create_map(*[F.lit(x) for x in ("approve", "user-approval", "reject", "user-rejection", "disapprove", "user-disapproval")])
-    refused = actions.filter(F.col("action").isin("reject", "disapprove"))
+    fields = ("strategy", "target_file", "change_summary", "score_mean", "baseline_commit", "path")
+    proposed = proposals.groupBy("run_id").agg(F.first(F.struct(*[F.col(f) if f in proposals.columns else F.lit(None).cast("string").alias(f) for f in fields]), ignorenulls=True).alias("p"))
+    runs = log.join(actions.filter("action = 'disapprove'").select("run_id").distinct(), "run_id", "left_semi")
+    last = runs.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in runs.columns if c != "run_id"]), "ord").alias("r"))
+    kept = disapproval_status(last.select("run_id", "r.*")).select("run_id", F.col("status").alias("_kept"), F.struct("strategy", "target_file", "notes", "score_mean", "new_commit").alias("r"))
+    found = actions.join(proposed, "run_id", "left").join(kept, "run_id", "left")
+    back = F.col("action") == "disapprove"
+    status = F.when(back, F.coalesce("_kept", F.lit("not-found"))).otherwise(F.when(F.col("p").isNull(), "no-proposal").otherwise("ok"))
+    pick = lambda name, p, r: F.when(back, F.col(r) if r else None).otherwise(F.col(p) if p else None).alias(name)
+    on = F.struct(
+        pick("strategy", "p.strategy", "r.strategy"), pick("target_file", "p.target_file", "r.target_file"), pick("did", "p.change_summary", "r.notes"),
+        pick("score", "p.score_mean", "r.score_mean"), pick("baseline", "p.baseline_commit", "r.new_commit"), pick("path", "p.path", None),
+    )
+    return found.withColumns({"on": on, "status": status}).drop("p", "r", "_kept")
+
+
+def feedback_rows(actions: DataFrame, proposals: DataFrame, log: DataFrame, title: str = "RUN") -> dict[str, DataFrame]:
+    """Rows that the user's actions append to each table, and `refused`: those that cannot be carried out, with their status.
+
+    actions has run_id, action (approve, reject, disapprove), reason, ts, commit (the head after it) and revert_mode. A
+    row of the log is named after the run and what was done to it, so that the run itself is still found by its own
+    name. Approvals append to the log, the others also to corrections (which corrections_score can use) and dead letters.
+    title is the loop's name: it begins a correction's prompt and, in small letters, its root cause.
+    """
+    checked = feedback_status(actions, proposals, log)
+    ok = checked.filter("status = 'ok'")
+    act = F.col("action")
+    by = lambda a, r, d: F.when(act == "approve", a).when(act == "reject", r).otherwise(d)
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    strategy, target, run, reason, mode = F.col("on.strategy"), F.col("on.target_file"), F.col("run_id"), said(F.col("reason")), said(F.col("revert_mode"))
+    null = lambda kind: F.lit(None).cast(kind)
+    # The wording of rows that later runs read.
+    notes = by(
+        F.concat(F.lit("Manually approved from proposal at "), said(F.col("on.path"))),
+        F.concat(F.lit("Manually rejected from observation-mode proposal. reason="), reason),
+        F.concat(F.lit("Disapproved by user. revert_mode="), mode, F.lit(". reason="), reason),
+    )
+    prompt = F.concat(F.lit(f"{title} "), run, F.lit(": "), said(strategy), F.lit(" on "), said(target))
+    supposed = F.concat(F.lit("avoid this change; do not retry the same (strategy="), said(strategy), F.lit(", target="), said(target), F.lit(") pair"))
+    pair = F.concat(F.lit("Dead-letter (strategy="), said(strategy), F.lit(", target_file="), said(target), F.lit("). "))
+    rule = F.when(act == "reject", F.concat(pair, F.lit("The reason: "), reason)).otherwise(F.concat(pair, F.lit(f"Future /{title.lower()} runs MUST NOT propose the same pair. The reason the user vetoed: "), reason))
+    refused = ok.filter("action <> 'approve'")
     return {
-        "experiment_log": actions.select("run_id", "ts", F.element_at(name, F.col("action")).alias("strategy"), "target_file", F.element_at(label, F.col("action")).alias("decision"), F.col("reason").alias("notes")),
-        "corrections": refused.select("ts", "project", "prompt", F.concat(F.lit("proposed "), "strategy", F.lit(" on "), "target_file").alias("what_i_did"), F.col("reason").alias("what_you_said")),
-        "dead_letter": refused.select("run_id", "strategy", "target_file", "reason", "ts"),
-    }
+        "experiment_log": ok.select(
+            F.concat(run, by(F.lit("-approved"), F.lit("-rejected"), F.lit("-disapproved"))).alias("run_id"), "ts", by(F.lit("user-approval"), F.lit("user-rejection"), F.lit("user-disapproval")).alias("strategy"), target.alias("target_file"),
+            F.col("on.baseline").alias("baseline_commit"), F.when(act != "reject", F.col("commit")).alias("new_commit"), F.when(act == "disapprove", F.col("on.score")).alias("baseline_score"),
+            F.when(act == "approve", F.col("on.score")).alias("score_mean"), null("double").alias("delta"), by(F.lit("user-approved"), F.lit("user-rejected"), F.lit("user-reverted")).alias("decision"),
+            F.lit(0).cast("long").alias("n_replayed"), F.lit(0.0).alias("budget_used_usd"), notes.alias("notes"),
+        ),
+        "corrections": refused.select(
+            "ts", F.lit("workspace").alias("project"), prompt.alias("prompt"), F.coalesce(F.nullif(F.col("on.did"), F.lit("")), strategy).alias("what_i_did"), F.col("reason").alias("what_you_said"), supposed.alias("supposed_to"),
+            by(null("string"), F.lit(f"{title.lower()}-rejected-in-observation"), F.lit(f"{title.lower()}-disapproved")).alias("root_cause"), rule.alias("proposed_rule"),
+        ),
+        "dead_letter": refused.select(
+            "run_id", strategy.alias("strategy"), target.alias("target_file"), F.when(act == "disapprove", F.col("on.baseline")).alias("reverted_commit"),
+            F.when(act == "reject", "observation-rejected").otherwise(F.col("revert_mode")).alias("revert_mode"), "reason", "ts",
+        ),
+        "refused": checked.filter("status <> 'ok'").select("run_id", "action", "status"),
+    }
 
 
 def unread_report(reports: DataFrame, markers: DataFrame) -> DataFrame:

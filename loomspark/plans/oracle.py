@@ -206,6 +206,20 @@ a5 AS (SELECT {_KEY}, recency, task_type, project, duration, replayable, picked_
   UNION ALL SELECT {_KEY}, recency, task_type, project, duration, replayable, 'topup', 9, place FROM a4 WHERE place <= 40),
 a6 AS (SELECT *, row_number() OVER (ORDER BY rank, spot) AS pos FROM a5)"""
 
+_FEEDBACK = f"""
+WITH {_LOG},
+k AS (
+  SELECT event_id AS n, 'run-' || event_id AS run, CASE event_type WHEN 'signup' THEN 'a' WHEN 'error' THEN 'r' ELSE 'd' END AS act, props AS reason, e.ts, CASE event_id % 2 WHEN 0 THEN 'reset' ELSE 'revert' END AS mode, l.decision,
+    CASE WHEN event_type <> 'purchase' THEN event_id % 9 <> 0 ELSE l.decision IN {_in(C.KEPT)} AND event_id % 8 <> 0 END AS ok,
+    CASE WHEN event_type = 'purchase' THEN l.strategy WHEN event_id % 5 <> 0 THEN {_pick(A.STRATEGY_NAMES, "user_id")} END AS s,
+    CASE WHEN event_type = 'purchase' THEN l.target_file ELSE 'm' || (event_id % 11) END AS target,
+    CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'note ' || event_id END WHEN event_id % 3 = 1 THEN 'summary ' || event_id END AS did,
+    CASE WHEN event_type = 'purchase' THEN l.score_mean ELSE (event_id % 50) / CAST(100 AS DOUBLE) END AS score,
+    CASE WHEN event_type = 'purchase' THEN 'c' ELSE 'b' END || event_id AS before
+  FROM events e JOIN l ON l.ord = event_id WHERE event_type IN ('signup', 'error', 'purchase')),
+good AS (SELECT * FROM k WHERE ok)
+"""
+
 ORACLE = {
     "segment_tasks": f"WITH {_MESSAGES} SELECT left(session_id, 8) || '-' || CASE WHEN seg - 1 < 1000 THEN lpad(CAST(seg - 1 AS VARCHAR), 3, '0') ELSE CAST(seg - 1 AS VARCHAR) END AS task_id, {_KEY}, project, epoch_us(start_ts) AS start_us, epoch_us(end_ts) AS end_us, duration AS duration_sec, prompt, length(prompt) AS prompt_chars, tool_calls, output_tokens FROM t",
     "task_tool_histogram": f"WITH {_MESSAGES} SELECT {_KEY}, concat_ws(',', CASE WHEN n_bash > 0 THEN 'Bash=' || n_bash END, CASE WHEN n_edit > 0 THEN 'Edit=' || n_edit END, CASE WHEN n_read > 0 THEN 'Read=' || n_read END) AS tools FROM t",
@@ -277,6 +291,13 @@ SELECT o_orderpriority, count(*) AS n_run, sum(cost) AS spent, max(o_orderkey) A
     "judge_totals": f"WITH {_JUDGED} SELECT (SELECT count(*) FROM j WHERE NOT judge_failed) AS n_judged, (SELECT count(*) FROM j WHERE judge_failed) AS n_failed, (SELECT round(sum(cost_usd), 4) FROM j) AS total_cost, (SELECT round(avg((value - 1) / 4), 4) FROM v) AS judge_composite",
     "judge_prompts": f"WITH {_TEXTS}, y AS (SELECT doc_id, {_PROMPT} AS pr FROM x) SELECT doc_id, length(pr) AS n_chars, md5(pr) AS prompt_md5 FROM y",
     "baseline_latest": f"WITH {_LOG} SELECT run_id AS baseline_run, score_mean AS baseline_score FROM l WHERE decision IN {_in(C.KEPT)} ORDER BY ord DESC LIMIT 1",
+    "decide_inputs": f"""WITH d AS (SELECT event_id AS n, CASE WHEN event_id % 13 < 6 THEN '{{"n_scored": 3, "score_mean": ' || CAST((event_id % 100) / CAST(100 AS DOUBLE) AS VARCHAR) || '}}'
+  ELSE {_pick(("", "not json {{", "{{}}", '{{"score_mean": null}}', '{{"score_mean": "0.9"}}', '{{"score_mean": true}}', "[1]"), "event_id")} END AS value FROM events),
+k AS (SELECT n, CASE WHEN value <> '' AND json_valid(value) AND json_type(value) = 'OBJECT' THEN CAST(value AS JSON) END AS j FROM d),
+t AS (SELECT n, j, json_type(j, '$.score_mean') AS kind FROM k),
+r AS (SELECT n, j, kind, CASE WHEN n % 11 = 0 THEN 'run folder missing' WHEN j IS NULL THEN 'scores missing' WHEN kind IS NULL THEN 'scores without score_mean'
+  WHEN kind = 'NULL' THEN 'score_mean is null, likely of no replayable task' WHEN kind = 'VARCHAR' THEN 'score_mean is no number, likely of no replayable task' END AS reason FROM t)
+SELECT n AS run, CASE WHEN reason IS NULL THEN CASE WHEN kind = 'BOOLEAN' THEN CAST(json_extract_string(j, '$.score_mean') = 'true' AS DOUBLE) ELSE CAST(json_extract_string(j, '$.score_mean') AS DOUBLE) END END AS score_mean, reason FROM r""".replace("{{", "{").replace("}}", "}"),
     "decide_ladder": """WITH i AS (
   SELECT event_id AS run, CASE WHEN event_id % 19 <> 0 THEN CAST(0.5 AS DOUBLE) + (CAST(floor(value) AS BIGINT) % 50) / CAST(100 AS DOUBLE) END AS sc, CASE WHEN event_id % 6 <> 0 THEN CAST(0.5 AS DOUBLE) + (event_id % 40) / CAST(100 AS DOUBLE) END AS base,
     CASE WHEN event_id % 4 <> 0 THEN (event_id % 10) / CAST(10 AS DOUBLE) END AS judge, event_id % 3 AS jf, CASE WHEN event_id % 5 <> 0 THEN (event_id % 8) / CAST(100 AS DOUBLE) END AS noise,
@@ -319,10 +340,20 @@ FROM (SELECT 1) LEFT JOIN (SELECT * FROM l WHERE decision IN {_in(C.KEPT)} ORDER
 SELECT name, run_id || ', ' || decision || ', ' || strategy || CASE WHEN delta IS NULL THEN '' ELSE printf(' (%+.3f)', delta) END AS last_run FROM d LEFT JOIN k ON true WHERE name IS NOT NULL AND NOT name < '2024-01-10'""",
     "guidance_row": f"""WITH {_LOG}, {_STATS}, k AS (SELECT strategy, coalesce(recommendation, 'untried') AS r FROM {_DECLARED} FULL JOIN (SELECT * FROM u WHERE strategy IN ('rule-rewrite', 'memory-add', 'user-approval')) USING (strategy))
 SELECT {', '.join(f"coalesce(string_agg(strategy, ', ' ORDER BY strategy) FILTER (WHERE r = {_s(x)}), '') AS {x}" for x in ("promising", "untried", "avoid"))} FROM k""",
-    "feedback": f"""WITH k AS (SELECT CASE event_type WHEN 'signup' THEN 'approv' WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'disapprov' END AS act, {_pick(A.STRATEGY_NAMES, "user_id")} AS s, event_id % 11 AS t FROM events),
-o AS (SELECT 'experiment_log' AS "table", CASE act WHEN 'approv' THEN 'user-approved user-approval' WHEN 'reject' THEN 'user-rejected user-rejection' ELSE 'user-reverted user-disapproval' END AS value FROM k WHERE act IS NOT NULL
-  UNION ALL SELECT 'corrections', 'proposed ' || s || ' on m' || t FROM k WHERE act IN ('reject', 'disapprov') UNION ALL SELECT 'dead_letter', s FROM k WHERE act IN ('reject', 'disapprov'))
-SELECT "table", value, count(*) AS n FROM o GROUP BY 1, 2""",
+    "feedback": f"""{_FEEDBACK}
+SELECT 'experiment_log' AS "table", run || CASE act WHEN 'a' THEN '-approved' WHEN 'r' THEN '-rejected' ELSE '-disapproved' END AS run_id, epoch_us(ts) AS ts_us, CASE act WHEN 'a' THEN 'user-approved' WHEN 'r' THEN 'user-rejected' ELSE 'user-reverted' END AS decision,
+  CASE act WHEN 'a' THEN 'user-approval' WHEN 'r' THEN 'user-rejection' ELSE 'user-disapproval' END AS strategy, target AS target_file, before AS commit_before, CASE WHEN act <> 'r' THEN 'h' || n END AS commit_after,
+  CASE WHEN act = 'd' THEN score END AS score_before, CASE WHEN act = 'a' THEN score END AS score_after,
+  CASE act WHEN 'a' THEN 'Manually approved from proposal at proposed/' || n || '.md' WHEN 'r' THEN 'Manually rejected from observation-mode proposal. reason=' || reason ELSE 'Disapproved by user. revert_mode=' || mode || '. reason=' || reason END AS text
+FROM good
+UNION ALL SELECT 'corrections', NULL, epoch_us(ts), NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  concat('workspace|LOOP ', run, ': ', coalesce(s, 'None'), ' on ', target, '|', coalesce(nullif(did, ''), s, '~'), '|', reason, '|avoid this change; do not retry the same (strategy=', coalesce(s, 'None'), ', target=', target, ') pair|',
+    CASE act WHEN 'r' THEN 'loop-rejected-in-observation' ELSE 'loop-disapproved' END, '|Dead-letter (strategy=', coalesce(s, 'None'), ', target_file=', target, '). ',
+    CASE act WHEN 'r' THEN 'The reason: ' ELSE 'Future /loop runs MUST NOT propose the same pair. The reason the user vetoed: ' END, reason)
+FROM good WHERE act <> 'a'
+UNION ALL SELECT 'dead_letter', run, epoch_us(ts), NULL, s, target, CASE WHEN act = 'd' THEN before END, NULL, NULL, NULL, concat(CASE act WHEN 'r' THEN 'observation-rejected' ELSE mode END, '|', reason) FROM good WHERE act <> 'a'""",
+    "feedback_refused": f"""{_FEEDBACK} SELECT run AS run_id, CASE act WHEN 'a' THEN 'approve' WHEN 'r' THEN 'reject' ELSE 'disapprove' END AS action,
+CASE WHEN act <> 'd' THEN 'no-proposal' WHEN decision NOT IN {_in(C.KEPT)} THEN 'not-kept' ELSE 'no-commit' END AS status FROM k WHERE NOT ok""",
     "suite_entries": f"""{_SUITE}
 SELECT left(session_id, 8) || '-' || CASE WHEN seg - 1 < 1000 THEN lpad(CAST(seg - 1 AS VARCHAR), 3, '0') ELSE CAST(seg - 1 AS VARCHAR) END AS benchmark_id, session_id, p.prompt, p.project, p.task_type, p.difficulty, p.replayable, epoch_us(p.start_ts) AS first_us,
   p.tool_calls, concat_ws(',', CASE WHEN n_bash > 0 THEN 'Bash=' || n_bash END, CASE WHEN n_edit > 0 THEN 'Edit=' || n_edit END, CASE WHEN n_read > 0 THEN 'Read=' || n_read END) AS tools, coalesce(len(p.files), 0) AS n_files, p.duration AS duration_sec, p.output_tokens, p.outcome, p.logged AS correction_logged

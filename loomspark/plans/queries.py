@@ -292,6 +292,20 @@ def decide_ladder(spark, sf_dir):
     return decide.decided(runs).select("run", F.round("delta", 6).alias("delta"), "failed", "decision")
 
 
+def _score_documents(spark, sf_dir):
+    """events as runs with a folder (but one in eleven) and a document of scores, which takes another shape by number."""
+    n = F.col("event_id")
+    score = ((n % 100) / 100).cast("string")
+    value = A.pick(("", "not json {", "{}", '{"score_mean": null}', '{"score_mean": "0.9"}', '{"score_mean": true}', "[1]"), n)
+    value = F.when(n % 13 < 6, F.concat(F.lit('{"n_scored": 3, "score_mean": '), score, F.lit("}"))).otherwise(value)
+    e = A.table(spark, sf_dir, "events")
+    return e.select(n.alias("run"), (n % 11 != 0).alias("present")), e.filter(value != "").select(n.alias("run"), value.alias("value"))
+
+
+def decide_inputs(spark, sf_dir):
+    return decide.score_inputs(*_score_documents(spark, sf_dir))
+
+
 def strategy_stats(spark, sf_dir):
     return history.strategy_stats(A.run_log(spark, sf_dir)).select("strategy", "tried", "kept", "lost", _us("last_tried").alias("last_tried_us"), _us("last_kept").alias("last_kept_us"), "success_rate", "recommendation")
 
@@ -425,17 +439,36 @@ def guidance_row(spark, sf_dir):
     return history.guidance(history.with_untried(history.strategy_stats(log)))
 
 
-def feedback(spark, sf_dir):
-    """events as actions of the user on proposals: how many rows each table gets, and their label or strategy."""
+def _feedback(spark, sf_dir):
+    """events as actions of the user: sign-ups approve and errors reject proposals (one in nine has none), purchases take runs of the log back."""
+    n = F.col("event_id")
     e = A.table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "signup", "approve").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "purchase", "disapprove")
-    target = F.concat(F.lit("m"), (F.col("event_id") % 11).cast("string"))
-    actions = e.select(F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"), kind.alias("action"), A.pick(A.STRATEGY_NAMES, F.col("user_id")).alias("strategy"), target.alias("target_file"), F.col("props").alias("reason"), F.lit("p").alias("project"), F.lit("q").alias("prompt"), "ts").filter("action is not null")
-    tables = history.feedback_rows(actions)
-    rows = tables["experiment_log"].select(F.lit("experiment_log").alias("table"), F.concat_ws(" ", "decision", "strategy").alias("value"))
-    rows = rows.unionByName(tables["corrections"].select(F.lit("corrections").alias("table"), F.col("what_i_did").alias("value")))
-    rows = rows.unionByName(tables["dead_letter"].select(F.lit("dead_letter").alias("table"), F.col("strategy").alias("value")))
-    return rows.groupBy("table", "value").agg(F.count(F.lit(1)).alias("n"))
+    run = F.concat(F.lit("run-"), n.cast("string"))
+    actions = e.select(run.alias("run_id"), kind.alias("action"), F.col("props").alias("reason"), "ts", F.concat(F.lit("h"), n.cast("string")).alias("commit"), A.pick(("reset", "revert"), n).alias("revert_mode")).filter("action is not null")
+    proposals = e.filter("event_id % 9 <> 0").select(
+        run.alias("run_id"), F.when(n % 5 != 0, A.pick(A.STRATEGY_NAMES, F.col("user_id"))).alias("strategy"), F.concat(F.lit("m"), (n % 11).cast("string")).alias("target_file"),
+        F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit("summary "), n.cast("string"))).alias("change_summary"), ((n % 50) / 100).alias("score_mean"),
+        F.concat(F.lit("b"), n.cast("string")).alias("baseline_commit"), F.concat(F.lit("proposed/"), n.cast("string"), F.lit(".md")).alias("path"),
+    )
+    log = A.run_log(spark, sf_dir).withColumns({"notes": F.when(F.col("ord") % 2 == 0, F.concat(F.lit("note "), F.col("ord").cast("string"))), "new_commit": F.when(F.col("ord") % 8 != 0, F.col("new_commit"))})
+    return history.feedback_rows(actions, proposals, log, "LOOP")
+
+
+def feedback(spark, sf_dir):
+    """Every field of every row that the actions append."""
+    tables = _feedback(spark, sf_dir)
+    text = lambda *columns: F.concat_ws("|", *[F.coalesce(c, F.lit("~")) for c in columns]).alias("text")
+    none = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+    log = tables["experiment_log"].select(F.lit("experiment_log").alias("table"), "run_id", _us("ts").alias("ts_us"), "decision", "strategy", "target_file", F.col("baseline_commit").alias("commit_before"), F.col("new_commit").alias("commit_after"), F.col("baseline_score").alias("score_before"), F.col("score_mean").alias("score_after"), text("notes"))
+    corrections = tables["corrections"].select(F.lit("corrections").alias("table"), none("run_id"), _us("ts").alias("ts_us"), none("decision"), none("strategy"), none("target_file"), none("commit_before"), none("commit_after"), none("score_before", "double"), none("score_after", "double"), text("project", "prompt", "what_i_did", "what_you_said", "supposed_to", "root_cause", "proposed_rule"))
+    dead = tables["dead_letter"].select(F.lit("dead_letter").alias("table"), "run_id", _us("ts").alias("ts_us"), none("decision"), "strategy", "target_file", F.col("reverted_commit").alias("commit_before"), none("commit_after"), none("score_before", "double"), none("score_after", "double"), text("revert_mode", "reason"))
+    return log.unionByName(corrections).unionByName(dead)
+
+
+def feedback_refused(spark, sf_dir):
+    """The actions that cannot be carried out, and why."""
+    return _feedback(spark, sf_dir)["refused"]
 
 
 def suite_entries(spark, sf_dir):
@@ -457,9 +490,9 @@ QUERIES = {
         segment_tasks, task_tool_histogram, task_files_distinct, last_nonzero_text, segment_turns, classify_tasks, correction_interval_match, eligible_filter,
         recency_age_days, stratified_suite, suite_breakdown, phrase_count, options_count, design_flag, prompt_flags, cost_and_alignment, score_tasks, score_run,
         missing_responses, unknown_responses, baseline_echo, prompt_normalize, keyword_extract, laplace_score, label_exact, label_contains, label_union,
-        resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, strategy_stats,
+        resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, decide_inputs, strategy_stats,
         strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, deadletter_block, recent_runs, three_strikes, shared_root_cause,
         top_improvements, top_regressions, guard_paths, guard_shrink, json_extract_props, parse_model_output, project_totals, find_run,
-        run_ids, suite_readiness, proposals_listed, weekly_kept, status_row, report_banner, guidance_row, feedback, suite_entries,
+        run_ids, suite_readiness, proposals_listed, weekly_kept, status_row, report_banner, guidance_row, feedback, feedback_refused, suite_entries,
     )
 }

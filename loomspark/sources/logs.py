@@ -14,8 +14,8 @@ EXPERIMENT_LOG = (
     "run_id string, ts string, strategy string, target_file string, baseline_commit string, new_commit string, baseline_score double, score_mean double, score_median double, "
     "delta double, decision string, n_replayed long, budget_used_usd double, notes string"
 )
-DEAD_LETTER = "run_id string, ts string, strategy string, target_file string, reason string"
-CORRECTIONS = "ts string, project string, prompt string, root_cause string, supposed_to string, what_i_did string, what_you_said string"
+DEAD_LETTER = "run_id string, ts string, strategy string, target_file string, reverted_commit string, revert_mode string, reason string"
+CORRECTIONS = "ts string, project string, prompt string, root_cause string, supposed_to string, what_i_did string, what_you_said string, proposed_rule string"
 
 
 def _text(spark: SparkSession, path: str | list[str], wholetext: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,10 +213,33 @@ def test_keyed_and_snapshots(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == 2
 
 
-def test_feedback_and_surface(spark):
-    actions = spark.sql("select 'r1' run_id, 'approve' action, 's' strategy, 't' target_file, 'ok' reason, 'p' project, 'q' prompt, timestamp'2026-01-01' ts union all select 'r2', 'reject', 's', 't', 'no', 'p', 'q', timestamp'2026-01-01'")
-    rows = history.feedback_rows(actions)
-    assert {k: v.count() for k, v in rows.items()} == {"experiment_log": 2, "corrections": 1, "dead_letter": 1}
+def test_feedback(spark):
+    """What is appended can be read again: by run, and by the scoring of corrections."""
+    shape = "run_id string, action string, reason string, ts timestamp, commit string, revert_mode string"
+    ts = datetime(2026, 1, 1)
+    actions = spark.createDataFrame([("r1", "approve", "ok", ts, "h1", None), ("r2", "reject", "too long", ts, "h2", None), ("r3", "disapprove", "worse", ts, "h3", "reset"), ("r4", "disapprove", "x", ts, "h", None), ("r5", "reject", "x", ts, "h", None), ("r6", "disapprove", "x", ts, "h", None), ("r7", "disapprove", "x", ts, "h", None)], shape)
+    proposals = spark.createDataFrame([("r1", "s", "t", "sum", 0.7, "b1", "p/r1.md"), ("r2", "s2", "t2", "", None, "b2", "p/r2.md")], "run_id string, strategy string, target_file string, change_summary string, score_mean double, baseline_commit string, path string")
+    log = spark.createDataFrame([("r3", 1, "reverted", "s3", "t3", None, None, 0.1), ("r3", 2, "kept", "s3", "t3", "did it", "c3", 0.8), ("r4", 3, "user-approved", "s", "t", None, "c4", 0.8), ("r7", 4, "kept", "s", "t", None, None, 0.8)], "run_id string, ord long, decision string, strategy string, target_file string, notes string, new_commit string, score_mean double")
+    rows = history.feedback_rows(actions, proposals, log, "LOOP")
+    assert sorted(tuple(r) for r in rows["refused"].collect()) == [("r4", "disapprove", "not-kept"), ("r5", "reject", "no-proposal"), ("r6", "disapprove", "not-found"), ("r7", "disapprove", "no-commit")]
+    by = {r.run_id: r for r in rows["experiment_log"].collect()}
+    assert set(by) == {"r1-approved", "r2-rejected", "r3-disapproved"}
+    a, d = by["r1-approved"], by["r3-disapproved"]
+    assert (a.score_mean, a.baseline_commit, a.new_commit, a.decision, a.notes) == (0.7, "b1", "h1", "user-approved", "Manually approved from proposal at p/r1.md")
+    assert (d.baseline_score, d.baseline_commit, d.new_commit, d.score_mean, d.strategy) == (0.8, "c3", "h3", None, "user-disapproval")
+    assert by["r2-rejected"].new_commit is None
+    c = {r.root_cause: r for r in rows["corrections"].collect()}
+    assert c["loop-disapproved"].prompt == "LOOP r3: s3 on t3" and c["loop-disapproved"].what_i_did == "did it"
+    assert c["loop-rejected-in-observation"].what_i_did == "s2" and c["loop-rejected-in-observation"].proposed_rule.endswith("The reason: too long")
+    dead = {r.run_id: (r.strategy, r.reverted_commit, r.revert_mode) for r in rows["dead_letter"].collect()}
+    assert dead == {"r2": ("s2", None, "observation-rejected"), "r3": ("s3", "c3", "reset")}
+    whole = log.unionByName(rows["experiment_log"].withColumn("ord", F.lit(9).cast("long")), allowMissingColumns=True)
+    assert history.find_run(whole, "r3").first().decision == "kept"  # the run itself, not what was said of it
+    scores = labels.correction_scores(spark.createDataFrame([("b", "loop R3:  s3 on t3", True)], "benchmark_id string, prompt string, replayable boolean"), rows["corrections"].withColumn("ord", F.monotonically_increasing_id()), spark.createDataFrame([("b", "avoid this change")], "benchmark_id string, response_text string"))
+    assert scores.count() == 1
+
+
+def test_surface(spark):
     reports = spark.createDataFrame([("2026-01-01.md",), ("2026-01-02.md",), ("weekly-2026-01-03.md",)], "name string")
     none = spark.createDataFrame([], "name string")
     assert history.unread_report(reports, none).first().name == "2026-01-02.md"
