@@ -107,3 +107,20 @@ def task_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "events").filter("event_type = 'error'")
     return rows.select(n.alias("ord"), prompt.alias("prompt"), F.concat(F.lit("cause-"), (n % 9).cast("string")).alias("root_cause"), pick(SUPPOSED, n).alias("supposed_to"), pick(DONE, n).alias("what_i_did"))
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """documents as files: commit b<2n> has document n, and c<2n>, its child, the document with lines moved, repeated, dropped and added.
+
+    One in six has no version in the child, and one in six none in the parent. Also the commits with their parents.
+    """
+    n = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.split("text", "\n")
+    turned = F.when(n % 3 == 0, F.concat(F.slice(lines, 2, F.size(lines)), F.slice(lines, 1, 1))).otherwise(lines)
+    edited = F.flatten(F.transform(turned, lambda x, i: F.when(i % 4 == 3, F.array().cast("array<string>")).when(i % 5 == 2, F.array(x, x)).otherwise(F.array(x))))
+    path = F.concat(F.lit("d"), n.cast("string"), F.lit(".md")).alias("path")
+    named = lambda c: F.concat(F.lit(c), (n * 2).cast("string"))
+    old = docs.filter("doc_id % 6 <> 1").select(named("b").alias("commit"), path, "text")
+    new = docs.filter("doc_id % 6 <> 2").select(named("c").alias("commit"), path, F.array_join(F.concat(edited, F.array(F.lit("added line"))), "\n").alias("text"))
+    return old.unionByName(new), docs.select(named("c").alias("commit"), named("b").alias("parent"))

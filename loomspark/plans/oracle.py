@@ -206,6 +206,21 @@ a5 AS (SELECT {_KEY}, recency, task_type, project, duration, replayable, picked_
   UNION ALL SELECT {_KEY}, recency, task_type, project, duration, replayable, 'topup', 9, place FROM a4 WHERE place <= 40),
 a6 AS (SELECT *, row_number() OVER (ORDER BY rank, spot) AS pos FROM a5)"""
 
+# The longest common run of lines by its table, row by row.
+_DIFF = """
+f0 AS (SELECT doc_id AS n, coalesce(text, '') AS old, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+f1 AS (SELECT n, old, CASE WHEN n % 3 = 0 THEN list_concat(l[2:], l[1:1]) ELSE l END AS l FROM f0),
+f2 AS (SELECT n, old, array_to_string(list_append(flatten(list_transform(l, lambda x, i: CASE WHEN i % 4 = 0 THEN [] WHEN (i - 1) % 5 = 2 THEN [x, x] ELSE [x] END)), 'added line'), chr(10)) AS new FROM f1),
+f3 AS (SELECT n, 'd' || n || '.md' AS path, CASE WHEN n % 6 <> 1 THEN old END AS old, CASE WHEN n % 6 <> 2 THEN new END AS new FROM f2),
+f4 AS (SELECT *, string_split(old, chr(10)) AS ol, string_split(new, chr(10)) AS nl FROM f3 WHERE old IS DISTINCT FROM new),
+f AS MATERIALIZED (SELECT n, path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'deleted' ELSE 'changed' END AS change, coalesce(CASE WHEN ol[-1] = '' THEN ol[:-2] ELSE ol END, []) AS o, coalesce(CASE WHEN nl[-1] = '' THEN nl[:-2] ELSE nl END, []) AS w FROM f4),
+y AS (
+  SELECT n, 0 AS i, list_transform(o, lambda q: 0) AS row FROM f
+  UNION ALL
+  SELECT y.n, y.i + 1, list_transform(range(1, len(o) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k], CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END + CAST(o[k] = w[y.i + 1] AS INT)))))
+  FROM y JOIN f USING (n) WHERE y.i < len(w)),
+x AS (SELECT n, path, change, CAST(len(w) - coalesce(row[-1], 0) AS BIGINT) AS added, CAST(len(o) - coalesce(row[-1], 0) AS BIGINT) AS removed FROM f JOIN y USING (n) WHERE y.i = len(w))
+"""
 _FEEDBACK = f"""
 WITH {_LOG},
 k AS (
@@ -358,5 +373,8 @@ CASE WHEN act <> 'd' THEN 'no-proposal' WHEN decision NOT IN {_in(C.KEPT)} THEN
 SELECT left(session_id, 8) || '-' || CASE WHEN seg - 1 < 1000 THEN lpad(CAST(seg - 1 AS VARCHAR), 3, '0') ELSE CAST(seg - 1 AS VARCHAR) END AS benchmark_id, session_id, p.prompt, p.project, p.task_type, p.difficulty, p.replayable, epoch_us(p.start_ts) AS first_us,
   p.tool_calls, concat_ws(',', CASE WHEN n_bash > 0 THEN 'Bash=' || n_bash END, CASE WHEN n_edit > 0 THEN 'Edit=' || n_edit END, CASE WHEN n_read > 0 THEN 'Read=' || n_read END) AS tools, coalesce(len(p.files), 0) AS n_files, p.duration AS duration_sec, p.output_tokens, p.outcome, p.logged AS correction_logged
 FROM (SELECT {_KEY} FROM a6 WHERE pos <= 40) JOIN p USING ({_KEY})""",
-    "weekly_kept": f"WITH {_LOG} SELECT w.run_id, 'c' || w.ord AS new_commit, e.event_type || ' changed' AS summary FROM w LEFT JOIN events e ON e.event_id = w.ord AND e.event_id % 2 = 0 WHERE w.decision IN {_in(C.KEPT)}",
+    "diffstat": f"WITH RECURSIVE {_DIFF} SELECT 'c' || 2 * n AS \"commit\", path, change, added, removed FROM x",
+    "weekly_kept": f"""WITH RECURSIVE {_LOG}, {_DIFF}
+SELECT w.run_id, 'c' || w.ord AS new_commit, x.path || ' | ' || (added + removed) || ' +' || added || ' -' || removed || chr(10) || '1 changed, ' || added || ' added, ' || removed || ' removed' AS summary
+FROM w LEFT JOIN x ON 2 * x.n = w.ord WHERE w.decision IN {_in(C.KEPT)}""",
 }

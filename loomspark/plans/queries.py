@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.staging import staged
+from ..operators import diffstat as diff
 from ..operators import decide, guard, history, judge, labels, replay, score, segment, suite
 from . import adapters as A
 
@@ -477,10 +478,15 @@ def suite_entries(spark, sf_dir):
     return e.select("benchmark_id", "session_id", "prompt", "project", "task_type", "difficulty", "replayable", _us("first_message_at").alias("first_us"), F.col(f"{g}.tool_calls").alias("tool_calls"), X.shown_counts(F.col(f"{g}.tools")).alias("tools"), F.col(f"{g}.files_changed_count").cast("long").alias("n_files"), F.col(f"{g}.duration_sec").alias("duration_sec"), F.col(f"{g}.output_tokens").alias("output_tokens"), F.col(f"{g}.outcome").alias("outcome"), F.col(f"{g}.correction_logged").alias("correction_logged"))
 
 
+def diffstat(spark, sf_dir):
+    """Lines that each commit adds to and removes from each file."""
+    return diff.diffstat(*A.versions(spark, sf_dir))
+
+
 def weekly_kept(spark, sf_dir):
-    """Kept runs of the period with the summary of their change, where there is one."""
+    """Kept runs of the period with the summary of their commit's changes, where it has any."""
     kept = _week(spark, sf_dir).filter(F.col("decision").isin("kept", "first-real-baseline"))
-    diffs = A.table(spark, sf_dir, "events").filter("event_id % 2 = 0").select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("new_commit"), F.concat(F.col("event_type"), F.lit(" changed")).alias("summary"))
+    diffs = diff.summaries(diff.diffstat(*A.versions(spark, sf_dir))).withColumnRenamed("commit", "new_commit")
     return kept.join(diffs, "new_commit", "left").select("run_id", "new_commit", "summary")
 
 
@@ -493,6 +499,6 @@ QUERIES = {
         resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, decide_inputs, strategy_stats,
         strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, deadletter_block, recent_runs, three_strikes, shared_root_cause,
         top_improvements, top_regressions, guard_paths, guard_shrink, json_extract_props, parse_model_output, project_totals, find_run,
-        run_ids, suite_readiness, proposals_listed, weekly_kept, status_row, report_banner, guidance_row, feedback, feedback_refused, suite_entries,
+        run_ids, suite_readiness, proposals_listed, diffstat, weekly_kept, status_row, report_banner, guidance_row, feedback, feedback_refused, suite_entries,
     )
 }
