@@ -194,3 +194,35 @@ def write_responses(rows: DataFrame, path: str, run_id: str) -> None:
 def last_row(rows: DataFrame, order: str = "ord") -> DataFrame:
     """The last row of a log."""
     return rows.orderBy(F.desc(order)).limit(1)
+
+
+def last_line(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
+    """The last line of one log that is not blank, as `line`; no row where there is none, or no file.
+
+    Blocks are read from the end backward, twice as many each time, until they hold a line end
+    before that line: what is read is in proportion to the line and the blanks after it, not to the log.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    line = None
+    if fs.exists(at):
+        end = fs.getFileStatus(at).getLen()
+        stream = fs.open(at)
+        try:
+            size = block
+            while line is None:
+                start = max(0, end - size)
+                stream.seek(start)
+                kept = bytes(stream.readNBytes(min(size, end))).rstrip()
+                if start == 0 or b"\n" in kept:
+                    line = kept.rsplit(b"\n", 1)[-1].strip().decode(errors="replace")
+                size *= 2
+        finally:
+            stream.close()
+    return spark.createDataFrame([(line,)] if line else [], "line string")
+
+
+def last_logged(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The last line of one log as a row of its schema; no row where it cannot be read."""
+    parsed = last_line(spark, path).select(F.try_parse_json("line").alias("v"), F.from_json("line", schema).alias("row"))
+    return parsed.filter("v is not null and row is not null").select("row.*")
