@@ -378,3 +378,10 @@ FROM (SELECT {_KEY} FROM a6 WHERE pos <= 40) JOIN p USING ({_KEY})""",
 SELECT w.run_id, 'c' || w.ord AS new_commit, x.path || ' | ' || (added + removed) || ' +' || added || ' -' || removed || chr(10) || '1 changed, ' || added || ' added, ' || removed || ' removed' AS summary
 FROM w LEFT JOIN x ON 2 * x.n = w.ord WHERE w.decision IN {_in(C.KEPT)}""",
 }
+ORACLE |= {
+    "sql_functions": ORACLE["cost_and_alignment"],
+    "phrase_count_listed": ORACLE["phrase_count"],
+    # printf goes by the exact binary value, round does not
+    "exact_rounding": """WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 4000 AS DOUBLE) / 800 + CAST(l_linenumber AS DOUBLE) / 1000 AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', x) AS DOUBLE) AS two, CAST(printf('%.3f', x / 3) AS DOUBLE) AS three, CAST(printf('%.1f', x * -7) AS DOUBLE) AS one FROM v""",
+}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parameters
 from ..functions import text as X
+from ..functions.rounding import round_exact
 from ..functions.staging import staged
 from ..operators import diffstat as diff
 from ..operators import decide, guard, history, judge, labels, replay, score, segment, suite
@@ -103,6 +105,26 @@ def cost_and_alignment(spark, sf_dir):
     return o.groupBy(run.alias("run"), truth.alias("truth")).agg(F.count(F.lit(1)).alias("n")).select("run", "truth", "n", F.round(X.cost_ratio(F.col("run"), F.col("truth")), 4).alias("cost"), F.round(X.tool_alignment(F.col("run"), F.col("truth")), 4).alias("alignment"))
 
 
+def sql_functions(spark, sf_dir):
+    """The two ratios by functions of SQL, over the lines of orders."""
+    parameters.register(spark)
+    o = A.table(spark, sf_dir, "lineitem")
+    pairs = o.select((F.col("l_quantity").cast("long") % 12).alias("run"), (F.col("l_linenumber").cast("long") - 1).alias("truth"))
+    counted = pairs.groupBy("run", "truth").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("run", "truth", "n", F.expr("round(cost_ratio(run, truth), 4)").alias("cost"), F.expr("round(tool_alignment(run, truth), 4)").alias("alignment"))
+
+
+def phrase_count_listed(spark, sf_dir):
+    """phrase_count with its phrases joined in from a table."""
+    return parameters.with_phrase_count(A.texts(spark, sf_dir).select("doc_id", "text"), parameters.default_lists(spark)["phrases"]).select("doc_id", "n_phrases")
+
+
+def exact_rounding(spark, sf_dir):
+    """Ratios that lie at or beside a half, rounded by their exact binary value."""
+    x = (F.col("l_partkey") % 4000).cast("double") / 800 + F.col("l_linenumber") / 1000
+    return A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", round_exact(x, 2).alias("two"), round_exact(x / 3, 3).alias("three"), round_exact(x * -7, 1).alias("one"))
+
+
 def _pairs(spark, sf_dir):
     t = _enriched(spark, sf_dir)
     docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -494,7 +516,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         segment_tasks, task_tool_histogram, task_files_distinct, last_nonzero_text, segment_turns, classify_tasks, correction_interval_match, eligible_filter,
-        recency_age_days, stratified_suite, suite_breakdown, phrase_count, options_count, design_flag, prompt_flags, cost_and_alignment, score_tasks, score_run,
+        recency_age_days, stratified_suite, suite_breakdown, phrase_count, options_count, design_flag, prompt_flags, cost_and_alignment, sql_functions, phrase_count_listed, exact_rounding, score_tasks, score_run,
         missing_responses, unknown_responses, baseline_echo, prompt_normalize, keyword_extract, laplace_score, label_exact, label_contains, label_union,
         resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, decide_inputs, strategy_stats,
         strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, deadletter_block, recent_runs, three_strikes, shared_root_cause,
