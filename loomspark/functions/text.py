@@ -44,7 +44,7 @@ def is_design(prompt: Column) -> Column:
 def normalize_prompt(text: Column) -> Column:
     """Tags and runs of white space as one space, trimmed, lower case; null as empty."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
-    return F.lower(strip(F.regexp_replace(bare, r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(bare, r"(?U)[\s&&[^ ]]\s*| \s+", " ")))  # all but single spaces
 
 
 def keywords(text: Column, least: int = 4) -> Column:

@@ -369,3 +369,23 @@ def test_calls_end_by_time_and_budget(spark):
     many = spark.range(20).select(F.col("id").cast("string").alias("benchmark_id"), F.lit("ok").alias("judge_prompt"))
     done = judge.ask(many, client, budget=4.0, tasks=2).collect()
     assert sum(r.cost_usd for r in done) == 4.0 and sum(r.error == "budget spent" for r in done) == 16
+
+
+def test_a_run_that_all_texts_share_makes_no_pairs(spark, monkeypatch):
+    """All prompts hold the same long words; what tells them apart is looked up."""
+    shared = "extraordinarily internationalized misunderstandings notwithstanding counterrevolutionaries"
+    corrections = [(i, f"c{i} unique{i} w{i} {shared} e{i} z{i} end") for i in range(300)]
+    benchmark = [(f"b{i}", f"before c{i} unique{i} w{i} {shared} e{i} z{i} end after") for i in range(0, 300, 2)] + [(f"n{i}", f"other x{i} {shared} y{i} none{i}") for i in range(100)]
+    benchmark += [("few", "unique7 w7"), ("part", "nique9 w9 ext"), ("same1", "unique11"), ("same2", "Unique11")]
+    made = []
+    real = labels.staged
+    monkeypatch.setattr(labels, "staged", lambda df: made.append(real(df)) or made[-1])
+    out = labels.contained(spark.createDataFrame(benchmark, "benchmark_id string, prompt string"), spark.createDataFrame(corrections, "ord long, prompt string"))
+    got = {r.benchmark_id: r.key_ord for r in out.collect()}
+    want = {}
+    for b, p in benchmark:
+        hits = [n for n, c in corrections if c in p.lower() or p.lower() in c]
+        if hits:
+            want[b] = min(hits)
+    assert got == want and len(want) > 150
+    assert max(t.count() for t in made) < 300 * 20  # in proportion to the texts' words, not to their pairs
