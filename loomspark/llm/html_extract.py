@@ -9,9 +9,11 @@ separates content from boilerplate.
 
 A block's own cost is of the order of its edges, so most short lines of an article, and
 sentences of a sidebar, get their label through the cut. What a container says is certain (its
-capacity exceeds all its edges) or doubtful (a form, an article of an unlikely name): a doubtful
-one gives way when the texts in it weigh more. One of content by its name alone holds its
-blocks by weaker edges, so that lists of links in it may leave.
+capacity exceeds all its edges) by its element, or by a name that says nothing else (`sidebar`,
+`site-footer`), or doubtful: a form, an article of an unlikely name, a name of several words of which
+one is boilerplate's (`legal-news`). A doubtful one gives way when the texts in it weigh more. A name says
+nothing where it tells what a container has, or of another name that is content's. One of
+content by its name alone holds its blocks by weaker edges, so that lists of links in it may leave.
 """
 
 from __future__ import annotations
@@ -60,6 +62,12 @@ BAD_NAMES = frozenset(
 )
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
 GOOD_NAMES = frozenset("article content entry post story main articlebody".split())
+#: Words of a name that tell its place or shape, and words that make it tell of a state or a part of the container.
+SHAPE_NAMES = frozenset(
+    "site page global top bottom left right upper lower inner outer wrap wrapper container holder box block section area region zone row col column list item items link links "
+    "bar slot panel button buttons icon icons posts articles stories body group unit module primary secondary tertiary main js widget".split()
+)
+STATE_NAMES = frozenset("has is with no not without enabled disabled open closed show shown active supports can allow".split())
 TAG_HINT = {"p": 0.4, "li": 0.4, "blockquote": 0.4, "pre": 0.4, "h1": 0.8, "h2": 0.8, "h3": 0.8}
 #: Capacities of edges: between neighbours, in one parent, to a container, and to one of content by its name alone.
 ADJACENT, SAME_PARENT, HELD, LEANING = 1.0, 0.5, 5.0, 1.5
@@ -69,6 +77,29 @@ DOUBTFUL = 9.0
 CONTENT, NAMED_CONTENT, BOILERPLATE, DOUBTED = "content", "named content", "boilerplate", "doubted"
 
 
+#: Of an article or main part: by its name it is boilerplate.
+UNLIKELY = "unlikely"
+
+
+def _words_of(name: str) -> set[str]:
+    return {part.lower() for part in _PARTS.findall(name)}
+
+
+def said_by(name: str) -> tuple[str | None, bool]:
+    """What one name says: BOILERPLATE, DOUBTED or nothing, and whether it is of content."""
+    words = _words_of(name)
+    if words & STATE_NAMES:
+        return None, False
+    if words == {"hidden"}:
+        return (BOILERPLATE if name.lower() == "hidden" else None), False
+    bad, good = words & BAD_NAMES - {"hidden"}, words & GOOD_NAMES
+    if not bad:
+        return None, bool(good)
+    if words <= BAD_NAMES | SHAPE_NAMES or bad & COMMENT_NAMES and words <= BAD_NAMES | SHAPE_NAMES | GOOD_NAMES:
+        return BOILERPLATE, False
+    return DOUBTED, False
+
+
 @dataclass
 class Block:
     text: str
@@ -178,8 +209,7 @@ class _Page:
             return
         if tag == "a":
             self.link = 1
-        names = self._named(attributes) if attributes and tag not in ("html", "body") else frozenset()
-        bad = bool(names & BAD_NAMES)
+        bad, good = self._named(attributes, tag) if attributes and tag not in ("html", "body") else (None, False)
         if tag in BLOCK or bad:
             self._flush()
             if tag in CLOSES:
@@ -187,40 +217,46 @@ class _Page:
             elif tag in BLOCK:
                 self._imply({"p"}, set())
             if tag not in VOID and not attributes.endswith("/>"):
-                self._push(tag, names, bad)
+                self._push(tag, bad, good)
 
-    def _push(self, tag: str, names: frozenset[str], bad: bool) -> None:
+    def _push(self, tag: str, bad: str | None, good: bool) -> None:
         self.seen += 1
         around = self.stack[-1] if self.stack else Element("", 0)
         new = Element(tag, self.seen, around.bad, around.certain, around.good)
         in_good = around.good and self.says[around.good] == CONTENT
-        certain = tag in BAD_TAGS and not (tag == "header" and in_good) or bad and (tag not in GOOD_TAGS or bool(names & COMMENT_NAMES))
         if not around.certain:
-            if certain:
+            if bad == BOILERPLATE or tag in BAD_TAGS and not (tag == "header" and in_good):
                 new.bad, new.certain, self.says[self.seen] = self.seen, True, BOILERPLATE
             elif not around.bad and (bad or tag in DOUBTFUL_TAGS):
                 new.bad, self.says[self.seen] = self.seen, DOUBTED
             elif tag in GOOD_TAGS:
                 new.good, self.says[self.seen] = self.seen, CONTENT
-            elif names & GOOD_NAMES and not around.good:
+            elif good and not around.good:
                 new.good, self.says[self.seen] = self.seen, NAMED_CONTENT
         self.stack.append(new)
 
-    def _named(self, attributes: str) -> frozenset[str]:
-        """The words of an opening tag's names, and `hidden` if it is not shown."""
-        out = set()
+    def _named(self, attributes: str, tag: str) -> tuple[str | None, bool]:
+        """What an opening tag's names and visibility say: BOILERPLATE, DOUBTED or nothing, and whether one is of content."""
+        found, good = set(), False
         for m in _PAIRS.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                out.add("hidden")
+                found.add(BOILERPLATE)
             elif name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    out.add("hidden")
+                    found.add(BOILERPLATE)
             elif name in ("class", "id", "role", "aria-label"):
-                for token in value.split():
-                    parts = {part.lower() for part in _PARTS.findall(token)}
-                    out |= parts - {"hidden"} if token.lower() != "hidden" else parts
-        return frozenset(out)
+                for token in [value] if name == "aria-label" else value.split():  # a label is one name
+                    bad, content = said_by(token)
+                    good |= content
+                    if bad == BOILERPLATE and tag in GOOD_TAGS and not _words_of(token) & COMMENT_NAMES:
+                        bad = UNLIKELY
+                    found.add(bad)
+        if BOILERPLATE in found:
+            return BOILERPLATE, good
+        if UNLIKELY in found:
+            return DOUBTED, good
+        return DOUBTED if DOUBTED in found and not good and tag not in GOOD_TAGS else None, good
 
     def _imply(self, closed: set[str], scope: set[str]) -> None:
         for at in range(len(self.stack) - 1, -1, -1):
