@@ -48,21 +48,20 @@ class SuffixAutomaton:
             last = 0
             for word in words:
                 last = self._extend(last, word)
-        marks: dict[tuple[int, int], set[str]] = {}
+        marks: dict[int, dict[int, set[str]]] = {}
         for name, words in items:
             size = min(window, len(words))
             state = matched = 0
             for word in words:
                 state, matched = self.step(state, matched, word)
                 if matched >= size:
-                    marks.setdefault((self._suffix(state, size), size), set()).add(name)
-        sizes = sorted({size for _, size in marks})
-        #: state -> (window size, items) for each window that ends there
-        self.ends: dict[int, list[tuple[int, list[str]]]] = {}
-        for state in range(1, len(self.next)):
-            found = [(size, sorted(marks[key])) for size in sizes if size <= self.length[state] and (key := (self._suffix(state, size), size)) in marks]
-            if found:
-                self.ends[state] = found
+                    marks.setdefault(self._suffix(state, size), {}).setdefault(size, set()).add(name)
+        #: state -> (window size, items) for the windows whose own state it is: one entry for each window of an item
+        self.ends: dict[int, list[tuple[int, list[str]]]] = {state: [(size, sorted(names)) for size, names in sorted(own.items())] for state, own in marks.items()}
+        #: the nearest state with windows on the way of suffix links, itself included; 0: there is none
+        self.marked = [0] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):  # a link leads to a shorter one
+            self.marked[state] = state if state in self.ends else self.marked[self.link[state]]
 
     def _suffix(self, state: int, size: int) -> int:
         while self.length[self.link[state]] >= size:
@@ -107,7 +106,7 @@ class SuffixAutomaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Hit runs of word positions [start, end) in order and disjoint, and the items found."""
-        moves, link, length, ends = self.next, self.link, self.length, self.ends
+        moves, link, length, ends, marked = self.next, self.link, self.length, self.ends, self.marked
         root = moves[0]
         runs: list[list[int]] = []
         found: set[str] = set()
@@ -125,8 +124,9 @@ class SuffixAutomaton:
             state = to
             here = moves[to]
             matched += 1
-            if state in ends:
-                for size, names in ends[state]:
+            mark = marked[state]
+            while mark:  # at most one for each size of a window
+                for size, names in ends[mark]:
                     if size <= matched:
                         found.update(names)
                         start = at + 1 - size
@@ -136,6 +136,7 @@ class SuffixAutomaton:
                             runs[-1][1] = at + 1
                         else:
                             runs.append([start, at + 1])
+                mark = marked[link[mark]]
         return runs, found
 
 
