@@ -1,7 +1,8 @@
 """Licences of files: notices in the text, or the nearest licensed directory above. DataFrame expressions only.
 
-Every run of consecutive lines of a text is compared with the notices of known licences by the
+Every run of consecutive lines of a text, up to RUN_TIMES a notice's words, is compared with the notices of known licences by the
 cosine of sparse TF-IDF vectors; runs that an upper bound of the cosine rules out are not scored.
+Time is in proportion to a text's lines.
 The vocabulary is that of the notices; document frequencies are counted over all texts. A file without a notice of its own takes the licence of the nearest directory above
 it that holds a licence file; directories find that by joins on their paths.
 """
@@ -46,6 +47,8 @@ NOTICES = (
 STOP = frozenset("a all and any are as be by can except following for form forms have has in is it its may met not of or that the this to under up use with you".split())
 #: A run of lines is a notice from this cosine on; a file is a licence file if its name says so or notices are this much of its words.
 MIN_COSINE, MIN_COVERAGE = 0.6, 0.5
+#: A run of several lines is compared with notices that have a fourth of its words or more.
+RUN_TIMES = 4
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 _TERM = re.compile(r"[a-z]+[0-9]*|[0-9]+")
 
@@ -136,33 +139,57 @@ def _measured(words: Column, weights: dict[str, float], other: float) -> Column:
     return let(words, summed)
 
 
-def _runs(lines: Column, min_cosine: float) -> Column:
-    """(first, last) of all runs of lines that may reach min_cosine with a notice.
+def _run_words() -> list[int]:
+    """For each notice the words (without those that tell nothing) that a run compared with it has at most."""
+    return [RUN_TIMES * len(terms_of(notice)) for _, notice in NOTICES]
+
+
+def _lasts(lines: Column, first: Column, min_cosine: float) -> Column:
+    """The last lines of all runs from line first on that may reach min_cosine with a notice.
 
     A run's product with a notice is the sum of its lines', and its square at least the sum of theirs,
     as no weight is negative: the quotient bounds the cosine from above. A run whose first or
     last line has no word of the notice is left out, for without that line it is at least as near.
+    A line has a word at least, so a run ends within as many lines as it may have words.
     """
     least = (min_cosine - SLACK) ** 2
+    most = F.array(*map(F.lit, _run_words()))
 
-    def ends(first: Column, v: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"), first.alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("found"))
+    def ends(v: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"), F.lit(0).alias("n"), first.alias("at"), F.array().cast("array<int>").alias("found"))
 
         def longer(acc: Column, line: Column) -> Column:
-            dot, square = acc["dot"] + F.get(line["dots"], v), acc["square"] + line["square"]
-            fits = (F.get(line["dots"], v) > 0) & (dot * dot >= square * F.lit(least))
-            found = F.when(fits, F.concat(acc["found"], F.array(F.struct(first.alias("first"), acc["at"].alias("last"))))).otherwise(acc["found"])
-            return F.struct(dot.alias("dot"), square.alias("square"), (acc["at"] + 1).alias("at"), found.alias("found"))
+            dot, square, n = acc["dot"] + F.get(line["dots"], v), acc["square"] + line["square"], acc["n"] + F.size(line["words"])
+            fits = (F.get(line["dots"], v) > 0) & (dot * dot >= square * F.lit(least)) & ((n <= F.get(most, v)) | (acc["at"] == first))
+            found = F.when(fits, F.concat(acc["found"], F.array(acc["at"]))).otherwise(acc["found"])
+            return F.struct(dot.alias("dot"), square.alias("square"), n.alias("n"), (acc["at"] + 1).alias("at"), found.alias("found"))
+
+        return F.aggregate(F.slice(lines, first, F.get(most, v)), start, longer, lambda acc: acc["found"])
+
+    dots = F.element_at(lines, first)["dots"]
+    held = F.filter(F.sequence(F.lit(0), F.lit(len(NOTICES) - 1)), lambda v: F.get(dots, v) > 0)
+    return F.array_distinct(F.flatten(F.transform(held, ends)))
+
+
+def _covered(lines: Column, hits: Column) -> Column:
+    """Words in lines that are notices alone, or in runs that no run they overlap is nearer than.
+
+    hits has for each line the runs that start with it. Runs overlap where they share a line, so a run is the
+    nearest if it is that on each of its lines; only runs that start within a run's length above reach a line.
+    """
+    reach = max(_run_words())
+    of_lines = F.sequence(F.lit(1), F.size(lines))
 
-        return F.aggregate(F.slice(lines, first, F.size(lines)), start, longer, lambda acc: acc["found"])
+    def above(runs: Column, i: Column) -> Column:
+        """The runs that hold line i."""
+        first = F.greatest(i - reach + 1, F.lit(1))
+        return F.filter(F.flatten(F.slice(runs, first, i - first + 1)), lambda x: x["last"] >= i)
 
-    def of(first: Column) -> Column:
-        dots = F.element_at(lines, first)["dots"]
-        held = F.filter(F.sequence(F.lit(0), F.lit(len(NOTICES) - 1)), lambda v: F.get(dots, v) > 0)
-        return F.flatten(F.transform(held, lambda v: ends(first, v)))
+    def nearest(near: Column) -> Column:
+        own = F.transform(hits, lambda runs, i: F.filter(runs, lambda x: (x["last"] == i + 1) | (F.array_min(F.slice(near, i + 1, x["last"] - i)) >= x["best"]["minus"])))
+        return let(own, lambda own: F.aggregate(F.transform(of_lines, lambda i: F.when(F.size(above(own, i)) > 0, F.size(F.element_at(lines, i)["words"])).otherwise(0)), F.lit(0), lambda acc, n: acc + n))
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: i > 0)
-    return F.array_distinct(F.flatten(F.transform(starts, of)))
+    return let(F.transform(of_lines, lambda i: F.coalesce(F.array_min(F.transform(above(hits, i), lambda x: x["best"]["minus"])), F.lit(0.0))), nearest)
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", min_cosine: float = MIN_COSINE, keep: list[str] | None = None) -> DataFrame:
@@ -184,23 +211,20 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     lines = F.when(F.lower(text).rlike(anchor), F.transform(split, lambda words: _measured(words, weights, other)))
 
     def scored(lines: Column) -> Column:
-        def run(r: Column) -> Column:
-            words = F.flatten(F.transform(F.slice(lines, r["first"], r["last"] - r["first"] + 1), lambda line: line["words"]))
-            return F.struct(_best(words, weights, other).alias("best"), r["first"].alias("first"), r["last"].alias("last"))
+        def run(first: Column, last: Column) -> Column:
+            words = F.flatten(F.transform(F.slice(lines, first, last - first + 1), lambda line: line["words"]))
+            return F.struct(last.alias("last"), _best(words, weights, other).alias("best"))
 
-        return let(F.filter(F.transform(_runs(lines, min_cosine), run), lambda x: x["best"]["minus"] <= -min_cosine), lambda hits: F.struct(hits.alias("hits"), covered(lines, hits).alias("n")))
+        def starting(first: Column) -> Column:
+            return F.filter(F.transform(_lasts(lines, first, min_cosine), lambda last: run(first, last)), lambda x: x["best"]["minus"] <= -min_cosine)
 
-    def covered(lines: Column, hits: Column) -> Column:
-        """Words in lines that are notices alone, or in runs that no run they overlap is nearer than."""
-        nearer = lambda x, y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & (y["best"]["minus"] < x["best"]["minus"])
-        counted = F.filter(hits, lambda x: (x["first"] == x["last"]) | ~F.exists(hits, lambda y: nearer(x, y)))
-        sizes = F.transform(lines, lambda line, i: F.when(F.exists(counted, lambda x: (x["first"] <= i + 1) & (i + 1 <= x["last"])), F.size(line["words"])).otherwise(0))
-        return F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
+        hits = F.when(F.size(lines) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), starting))
+        return let(hits, lambda hits: F.struct(F.array_min(F.transform(F.flatten(hits), lambda x: x["best"])).alias("best"), F.when(F.size(lines) > 0, _covered(lines, hits)).otherwise(0).alias("n")))
 
     found = F.when(lines.isNotNull(), let(lines, scored))
     base = files.select(*kept, files[path_col].alias("_loomspark_path"), found.alias("_loomspark_found"), text.alias("_loomspark_whole"))
     base = base.withColumns({
-        "_loomspark_best": F.array_min(F.transform("_loomspark_found.hits", lambda x: x["best"])),
+        "_loomspark_best": F.col("_loomspark_found.best"),
         "_loomspark_cover": F.when(F.col("_loomspark_found.n") > 0, F.col("_loomspark_found.n") / F.greatest(F.size(_words(F.col("_loomspark_whole"))), F.lit(1))).otherwise(F.lit(0.0)),
         "_loomspark_dir": F.regexp_extract("_loomspark_path", r"^(.*)/[^/]*$", 1),
         "_loomspark_name": F.regexp_extract("_loomspark_path", r"([^/]*)$", 1),
