@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import deleted, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def components(links: DataFrame) -> DataFrame:
         large = staged(_distinct(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))))
         own = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(own, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = staged(_distinct(small.unionByName(own.select("hi", F.col("m").alias("lo")))))
+        before, edges = edges, staged(_distinct(small.unionByName(own.select("hi", F.col("m").alias("lo")))))
+        for done in (before, large):  # the next table holds all that they did
+            deleted(done)
 
 
 def _distinct(edges: DataFrame) -> DataFrame:

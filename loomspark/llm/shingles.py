@@ -10,23 +10,10 @@ SIZE = 5
 _BYTE = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)), np.uint8)
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _RANDOM = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(SIZE)], np.uint64)
 #: Bytes of text hashed at once.
 CHUNK = 1 << 18
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,9 +27,12 @@ def _hashed(texts: list[bytes]) -> list[np.ndarray]:
     inside = ~_SPACE[buffer]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the buffer starts and ends outside words
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(buffer))
-    total = np.cumsum(_RANDOM[_BYTE[buffer]] * up)
-    words = mix((total[ends - 1] - total[starts - 1]) * down[starts])
+    # each byte is mixed with its place in its word before bytes are added: sums of such terms follow no rule of arithmetic
+    begun = np.zeros(len(buffer), np.int64)
+    begun[starts] = np.diff(starts, prepend=0)
+    place = (np.arange(len(buffer)) - np.cumsum(begun)).astype(np.uint64)
+    total = np.cumsum(mix(_RANDOM[_BYTE[buffer]] + place * _STEP))
+    words = mix(total[ends - 1] - total[starts - 1])
     bounds = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
     n = len(words) - SIZE + 1
     whole = np.zeros(max(n, 0), np.uint64)

@@ -42,3 +42,19 @@ def test_windows_of_all_sizes_on_one_way():
         hit, names = plain(items, words, 4)
         assert {i for a, b in runs for i in range(a, b)} == hit and found == names
         assert all(x[1] < y[0] for x, y in zip(runs, runs[1:], strict=False))
+
+
+def test_words_of_a_rule_have_hashes_of_their_own():
+    """Thue-Morse words and their complements, which polynomials modulo a power of two do not tell apart."""
+    from loomspark.llm.shingles import shingle_sets
+
+    word = "a"
+    for _ in range(13):
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        one, two = shingle_sets([word.encode(), other.encode()])
+        assert one.tolist() != two.tolist()
+    words = [f"{'x' * i}y{'x' * (40 - i)}".encode() for i in range(41)]
+    assert len({s.tolist()[0] for s in shingle_sets(words)}) == 41
+    same = list(shingle_sets([b"One two  three four five", b"x y\none TWO three four five", b"one two three four five"]))
+    assert same[0].tolist() == same[2].tolist() and same[0][0] in same[1]
