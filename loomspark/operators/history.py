@@ -74,6 +74,18 @@ def period_strategies(runs: DataFrame) -> DataFrame:
     return runs.filter("strategy is not null").groupBy("strategy").agg(F.count(F.lit(1)).alias("tried"), kept.alias("kept"), F.round(kept / F.count(F.lit(1)), 3).alias("rate"))
 
 
+def strategy_table(stats: DataFrame) -> DataFrame:
+    """Statistics in the order of the table that is shown: best rate first, then by name."""
+    return stats.orderBy(F.desc("success_rate"), "strategy")
+
+
+def period_table(runs: DataFrame, order: str = "ord") -> DataFrame:
+    """period_strategies in the order of a report: best rate first, of equal ones the one that ran first."""
+    first = runs.filter("strategy is not null").groupBy("strategy").agg(F.min(order).alias("_first"))
+    kept = F.col("kept") / F.col("tried")
+    return period_strategies(runs).join(first, "strategy").orderBy(F.desc(kept), "_first").drop("_first")
+
+
 def blocked(proposals: DataFrame, dead: DataFrame) -> DataFrame:
     """Proposals whose (strategy, target_file) is a dead letter."""
     return proposals.join(dead.select("strategy", "target_file").distinct(), ["strategy", "target_file"], "left_semi")
@@ -221,10 +233,11 @@ def guidance(stats: DataFrame) -> DataFrame:
     return stats.agg(*[named(kind) for kind in ("promising", "untried", "avoid")])  # as many names as there are strategies
 
 
-def weekly_report(log: DataFrame, since: Column, title: str = "Weekly report", diffs: DataFrame | None = None, dead: DataFrame | None = None, most: int = 1000) -> str:
+def weekly_report(log: DataFrame, since: Column, title: str = "Weekly report", diffs: DataFrame | None = None, dead: DataFrame | None = None, most: int = 1000, page: int = 0) -> str:
     """The report as markdown: counts, scores, strategies, kept changes, dead letters since then, and advice.
 
-    A document is read by people: of runs, changes and dead letters the last `most` by time are listed, and how many there are.
+    A document is read by people: runs, changes and dead letters come in pages of `most` rows, the latest on page 0, and each
+    list says how many pages it has. All pages together list all rows.
     """
     runs = real_runs(in_period(log, since))
     decisions = decision_counts(runs).orderBy(F.desc("n"), "decision").collect()
@@ -239,8 +252,11 @@ def weekly_report(log: DataFrame, since: Column, title: str = "Weekly report", d
 
     def listed_rows(rows: DataFrame, *columns: str) -> tuple[int, list]:
         total = rows.count()
-        last = rows.orderBy(F.desc("ts"), F.desc("ord")).limit(most) if "ord" in rows.columns else rows.orderBy(F.desc("ts")).limit(most)
-        return total, last.select(*columns).collect()[::-1]
+        order = [F.desc("ts"), *([F.desc("ord")] if "ord" in rows.columns else []), *sorted(set(columns) - {"ts", "ord"})]
+        return total, rows.select(*dict.fromkeys((*columns, "ts", *(["ord"] if "ord" in rows.columns else [])))).orderBy(*order).offset(page * most).limit(most).collect()[::-1]
+
+    def of_pages(total: int) -> str:
+        return f"{total}, page {page + 1} of {-(-total // most)}" if total > most else str(total)
 
     table("Decisions taken", ("decision", "runs"), [(r["decision"], r["n"]) for r in decisions])
     trend = score_trend(runs).first()
@@ -248,21 +264,21 @@ def weekly_report(log: DataFrame, since: Column, title: str = "Weekly report", d
         _, scored = listed_rows(runs.filter("score_mean is not null").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day", "score_mean", "decision", "strategy")
         lines += [f"Scores went from {trend['first_score']:.4f} to {trend['last_score']:.4f} ({trend['delta']:+.4f}); their median is {trend['median_score']:.4f}.", ""]
         table("Scored runs", ("day", "score", "decision", "strategy"), [(r["day"], f"{r['score_mean']:.4f}", r["decision"], r["strategy"]) for r in scored])
-    table("By strategy", ("strategy", "tried", "kept", "rate"), [(r["strategy"], r["tried"], r["kept"], f"{r['rate']:.0%}") for r in period_strategies(runs).orderBy(F.desc("rate"), "strategy").collect()])
+    table("By strategy", ("strategy", "tried", "kept", "rate"), [(r["strategy"], r["tried"], r["kept"], f"{r['rate']:.0%}") for r in (period_table(runs) if "ord" in runs.columns else period_table(runs, "ts")).collect()])
     kept = runs.filter(F.col("decision").isin(*C.KEPT))
     kept = kept.join(diffs, "new_commit", "left") if diffs is not None else kept.withColumn("summary", F.lit(None).cast("string"))
     if "target_file" not in kept.columns:
         kept = kept.withColumn("target_file", F.lit(None).cast("string"))
     total, rows = listed_rows(kept, "run_id", "strategy", "target_file", "score_mean", "decision", "new_commit", "summary")
     if total:
-        lines += [f"## Changes kept ({total})", ""]
+        lines += [f"## Changes kept ({of_pages(total)})", ""]
         for r in rows:
             lines += [f"- `{r['run_id']}`: {r['strategy']} on {r['target_file']}, score {r['score_mean']}, {r['decision']}, commit `{(r['new_commit'] or '')[:8]}`", *([f"      {line}" for line in r["summary"].splitlines()] if r["summary"] else [])]
         lines.append("")
     if dead is not None:
         total, rows = listed_rows(in_period(dead, since), "strategy", "target_file")
         if total:
-            lines += [f"## Given up ({total})", "", *[f"- {r['strategy']} on {r['target_file']}" for r in rows], ""]
+            lines += [f"## Given up ({of_pages(total)})", "", *[f"- {r['strategy']} on {r['target_file']}" for r in rows], ""]
     advice = with_untried(strategy_stats(log)).orderBy("strategy").collect()
     named = {k: ", ".join(r["strategy"] for r in advice if r["recommendation"] == k) for k in ("promising", "untried", "avoid")}
     said = [f"- {word}: {named[k]}" for k, word in (("promising", "Worth more tries"), ("untried", "Not tried yet"), ("avoid", "Better left alone")) if named[k]]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import config as C
 from ..functions import text as X
+from ..functions.staging import staged
 
 TEMPLATE = (
     "Rate the response to the prompt from 1 to 5 on: " + ", ".join(C.DIMENSIONS) + ".\n"
@@ -64,13 +66,8 @@ def judge_summary(judgments: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def ask(prompts: DataFrame, client: Callable[[str], tuple[str, float]], timeout_sec: float | None = None, budget: float | None = None, tasks: int = 8) -> DataFrame:
-    """prompts (benchmark_id, judge_prompt) through a client on the executors: result, cost_usd, error.
-
-    A call that raises or takes longer than timeout_sec has no result, and says why. With a budget
-    each of the tasks may spend its share: once that is reached its other prompts are not sent.
-    """
-    share = None if budget is None else budget / tasks
+def _sent(prompts: DataFrame, client: Callable, timeout_sec: float | None, share: float | None) -> DataFrame:
+    """One pass of prompts through the client; each task stops sending once it has spent share."""
 
     def call(batches):
         pool = ThreadPoolExecutor(1)
@@ -79,21 +76,53 @@ def ask(prompts: DataFrame, client: Callable[[str], tuple[str, float]], timeout_
             rows = []
             for text in batch["judge_prompt"]:
                 if share is not None and spent >= share:
-                    rows.append((None, 0.0, "budget spent"))
+                    rows.append((None, 0.0, UNSENT))
                     continue
                 try:
-                    result, cost = pool.submit(client, text).result(timeout_sec)
-                    rows.append((result, float(cost), None))
-                    spent += float(cost)
+                    answer = pool.submit(client, text).result(timeout_sec)
                 except TimeoutError:
                     rows.append((None, 0.0, "timed out"))
                     pool.shutdown(wait=False)
                     pool = ThreadPoolExecutor(1)  # the late call keeps its own thread
-                except Exception as error:  # a failed call is a failed judgment
+                    continue
+                except Exception as error:  # what the client raises is a failed call
                     rows.append((None, 0.0, f"{type(error).__name__}: {error}"))
+                    continue
+                result, cost = answer  # an answer of another shape is an error of the code, and ends the job
+                rows.append((result, float(cost), None))
+                spent += float(cost)
             yield batch[["benchmark_id"]].assign(result=[r[0] for r in rows], cost_usd=[r[1] for r in rows], error=[r[2] for r in rows])
         pool.shutdown(wait=False)
 
-    sent = prompts.select("benchmark_id", "judge_prompt")
-    sent = sent if budget is None else sent.repartition(tasks, "benchmark_id")
-    return sent.mapInPandas(call, "benchmark_id string, result string, cost_usd double, error string")
+    kind = prompts.schema["benchmark_id"].dataType.simpleString()
+    return prompts.mapInPandas(call, f"benchmark_id {kind}, result string, cost_usd double, error string")
+
+
+#: Why a prompt that the budget did not reach has no result.
+UNSENT = "budget spent"
+
+
+def ask(prompts: DataFrame, client: Callable[[str], tuple[str, float]], timeout_sec: float | None = None, budget: float | None = None, tasks: int = 8) -> DataFrame:
+    """prompts (benchmark_id, unique, and judge_prompt) through a client on the executors: result, cost_usd, error.
+
+    A call that raises or takes longer than timeout_sec has no result, and says why. With a budget
+    prompts go out in rounds: each task may spend its share of what is left, and what some do not
+    need is shared out anew, among fewer tasks as it runs out. So all of it is used where there is work for it, and it is
+    exceeded by one call a task of a round at most. Each round is written, so no call is made twice.
+    """
+    rows = prompts.select("benchmark_id", "judge_prompt")
+    if budget is None:
+        return _sent(rows, client, timeout_sec, None)
+    pending, left, n_calls, total = staged(rows), budget, 0, 0.0
+    whole, answered = pending, []
+    while True:
+        mean = total / n_calls if n_calls else 0.0
+        width = max(1, min(tasks, int(left / mean))) if mean > 0 else tasks
+        out = staged(_sent(pending.repartition(width, "benchmark_id"), client, timeout_sec, left / width))
+        told = out.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost"), F.count_if(F.col("error").isNull()).alias("calls"), F.count_if(F.col("error").eqNullSafe(UNSENT)).alias("unsent")).first()
+        left, total, n_calls = left - told["cost"], total + told["cost"], n_calls + told["calls"]
+        over = not told["unsent"] or left <= 1e-12 or not told["cost"]
+        answered.append(out if over else out.filter(~F.col("error").eqNullSafe(UNSENT)))
+        if over:
+            return reduce(DataFrame.unionByName, answered)
+        pending = staged(whole.join(out.filter(F.col("error").eqNullSafe(UNSENT)).select("benchmark_id"), "benchmark_id", "left_semi"))

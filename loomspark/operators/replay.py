@@ -62,7 +62,11 @@ def replay_summary(runs: DataFrame, *keys: str) -> DataFrame:
     ).withColumn("invalid", (F.col("attempted") > 0) & (F.col("completed") == 0))
 
 
-def replay(prompts: DataFrame, client: Callable[[str], tuple[str, float]], timeout_sec: float | None = None, budget: float | None = None, tasks: int = 8) -> DataFrame:
-    """prompts (benchmark_id, prompt) through a client on the executors: stdout, cost_usd, error, timed_out. Time and budget as in judge.ask."""
-    answers = _ask(prompts.select("benchmark_id", F.col("prompt").alias("judge_prompt")), client, timeout_sec, budget, tasks)
+def replay(prompts: DataFrame, client: Callable[..., tuple[str, float]], timeout_sec: float | None = None, budget: float | None = None, tasks: int = 8, max_turns: int | None = None) -> DataFrame:
+    """prompts (benchmark_id, prompt) through a client on the executors: stdout, cost_usd, error, timed_out. Time and budget as in judge.ask.
+
+    With max_turns the client is called with it as a second argument, and is to stop a task after so many turns.
+    """
+    limited = client if max_turns is None else (lambda prompt: client(prompt, max_turns))
+    answers = _ask(prompts.select("benchmark_id", F.col("prompt").alias("judge_prompt")), limited, timeout_sec, budget, tasks)
     return answers.withColumnRenamed("result", "stdout").withColumn("timed_out", F.col("error").eqNullSafe("timed out"))

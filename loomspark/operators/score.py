@@ -61,8 +61,10 @@ def run_summary(scores: DataFrame, *keys: str) -> DataFrame:
 def echoed(benchmark: DataFrame) -> DataFrame:
     """Responses that repeat the known outcome, for a first baseline.
 
-    benchmark has benchmark_id, gt_tool_calls, gt_output_tokens, outcome, correction_logged, calls.
+    benchmark has benchmark_id, gt_tool_calls, gt_output_tokens, outcome, correction_logged, calls, and perhaps
+    files_changed_count: then files_changed has as many nulls, for which files it were is not known.
     """
+    counted = [F.array_repeat(F.lit(None).cast("string"), F.coalesce("files_changed_count", F.lit(0)).cast("int")).alias("files_changed")] if "files_changed_count" in benchmark.columns else []
     return benchmark.select(
         "benchmark_id",
         F.lit("(ground truth)").alias("response_text"),
@@ -71,6 +73,7 @@ def echoed(benchmark: DataFrame) -> DataFrame:
         F.col("gt_output_tokens").alias("run_output_tokens"),
         F.col("outcome").isin("completed", "corrected").alias("completed_cleanly"),
         F.col("correction_logged").alias("correction_hook_fired"),
+        *counted,
     )
 
 

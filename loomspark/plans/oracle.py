@@ -384,4 +384,7 @@ ORACLE |= {
     # printf goes by the exact binary value, round does not
     "exact_rounding": """WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 4000 AS DOUBLE) / 800 + CAST(l_linenumber AS DOUBLE) / 1000 AS x FROM lineitem)
 SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', x) AS DOUBLE) AS two, CAST(printf('%.3f', x / 3) AS DOUBLE) AS three, CAST(printf('%.1f', x * -7) AS DOUBLE) AS one FROM v""",
+    "weekly_table": ORACLE["weekly_strategies"],
+    "strategy_table": f"""WITH {_LOG}, {_STATS}
+SELECT strategy, coalesce(tried, 0) AS tried, coalesce(kept, 0) AS kept, coalesce(lost, 0) AS lost, coalesce(success_rate, 0.0) AS success_rate, coalesce(recommendation, 'untried') AS recommendation FROM {_DECLARED} FULL JOIN u USING (strategy)""",
 }

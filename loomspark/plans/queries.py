@@ -362,6 +362,15 @@ def weekly_strategies(spark, sf_dir):
     return history.period_strategies(_week(spark, sf_dir))
 
 
+def strategy_table(spark, sf_dir):
+    """Statistics of strategies as they are shown, best first."""
+    return history.strategy_table(history.with_untried(history.strategy_stats(A.run_log(spark, sf_dir))))
+
+
+def weekly_table(spark, sf_dir):
+    return history.period_table(_week(spark, sf_dir))
+
+
 def deadletter_block(spark, sf_dir):
     log = A.run_log(spark, sf_dir)
     return history.blocked(log.select("run_id", "strategy", "target_file"), log.filter("decision = 'user-reverted' and ord % 5 = 0"))
@@ -519,7 +528,7 @@ QUERIES = {
         recency_age_days, stratified_suite, suite_breakdown, phrase_count, options_count, design_flag, prompt_flags, cost_and_alignment, sql_functions, phrase_count_listed, exact_rounding, score_tasks, score_run,
         missing_responses, unknown_responses, baseline_echo, prompt_normalize, keyword_extract, laplace_score, label_exact, label_contains, label_union,
         resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, decide_inputs, strategy_stats,
-        strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, deadletter_block, recent_runs, three_strikes, shared_root_cause,
+        strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, strategy_table, weekly_table, deadletter_block, recent_runs, three_strikes, shared_root_cause,
         top_improvements, top_regressions, guard_paths, guard_shrink, json_extract_props, parse_model_output, project_totals, find_run,
         run_ids, suite_readiness, proposals_listed, diffstat, weekly_kept, status_row, report_banner, guidance_row, feedback, feedback_refused, suite_entries,
     )

@@ -389,3 +389,52 @@ def test_a_run_that_all_texts_share_makes_no_pairs(spark, monkeypatch):
             want[b] = min(hits)
     assert got == want and len(want) > 150
     assert max(t.count() for t in made) < 300 * 20  # in proportion to the texts' words, not to their pairs
+
+
+def test_a_budget_is_used_whole_and_no_call_is_made_twice(spark, tmp_path):
+    """All the money goes to one uneven task's prompts, round after round; calls are counted outside."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def client(text):
+        import uuid
+
+        (calls / f"{text}-{uuid.uuid4().hex}").write_text("")
+        return text, 1.0 if text.startswith("dear") else 0.01
+
+    prompts = spark.createDataFrame([(i, f"dear{i}" if i % 8 == 0 else f"cheap{i}") for i in range(80)], "benchmark_id long, judge_prompt string")
+    out = judge.ask(prompts, client, budget=6.0, tasks=4)
+    rows = out.collect()
+    assert out.count() == 80 and len({r.benchmark_id for r in rows}) == 80
+    spent = sum(r.cost_usd for r in rows)
+    assert 6.0 <= spent + 1e-9 and spent <= 6.0 + 4 and len(list(calls.iterdir())) == sum(r.error is None for r in rows)
+    assert all(r.error in (None, judge.UNSENT) for r in rows)
+
+
+def test_an_error_of_the_code_is_no_failed_call(spark):
+    with pytest.raises(Exception, match="unpack"):
+        judge.ask(spark.createDataFrame([("a", "p")], "benchmark_id string, judge_prompt string"), lambda text: text).collect()
+
+
+def test_turns_reach_the_client(spark):
+    row = replay.replay(spark.createDataFrame([("a", "p")], "benchmark_id string, prompt string"), lambda prompt, turns: (f"{prompt}{turns}", 0.0), max_turns=12).first()
+    assert row.stdout == "p12"
+
+
+def test_nulls_for_unknown_files(spark):
+    b = spark.sql("select 'a' benchmark_id, 2L gt_tool_calls, 3L gt_output_tokens, 'completed' outcome, false correction_logged, array('Edit') calls, 2 files_changed_count")
+    assert score.echoed(b).first().files_changed == [None, None] and "files_changed" not in score.echoed(b.drop("files_changed_count")).columns
+
+
+def test_tables_in_the_order_that_is_shown(spark):
+    log = spark.sql("select * from values ('b', 'kept', 1L), ('a', 'kept', 2L), ('c', 'reverted', 0L), ('d', 'kept', 3L), ('d', 'reverted', 4L) t(strategy, decision, ord)").withColumn("ts", F.timestamp_seconds("ord"))
+    assert [r.strategy for r in history.period_table(log).collect()] == ["b", "a", "d", "c"]
+    assert [r.strategy for r in history.strategy_table(history.strategy_stats(log)).collect()] == ["a", "b", "d", "c"]
+
+
+def test_a_report_in_pages_lists_every_row(spark):
+    log = spark.range(25).select(F.concat(F.lit("r"), "id").alias("run_id"), F.timestamp_seconds(F.col("id") + 1_800_000_000).alias("ts"), F.col("id").alias("ord"), F.lit("memory-add").alias("strategy"), F.lit("kept").alias("decision"), F.lit(0.8).alias("score_mean"), F.lit("c").alias("new_commit"), F.lit("f.md").alias("target_file"))
+    since = F.lit("2020-01-01").cast("timestamp")
+    pages = [history.weekly_report(log, since, most=10, page=p) for p in range(3)]
+    listed = [x.split("`")[1] for text in pages for x in text.splitlines() if x.startswith("- `")]
+    assert sorted(listed) == sorted(f"r{i}" for i in range(25)) and "Changes kept (25, page 3 of 3)" in pages[2] and "25 runs in the period" in pages[1]
