@@ -105,6 +105,8 @@ class Segments(StatefulProcessor):
 
     def _settle(self, state: dict, watermark_us: int) -> None:
         """Sum up the lines that no line can come before any more, and drop tasks that none can change."""
+        if watermark_us <= 0:  # there is none yet
+            return
         for task in state["tasks"]:
             times = [i for i, line in enumerate(task["lines"]) if line[AT] is not None]
             done = [i for i in times if task["lines"][i][AT] <= watermark_us]
