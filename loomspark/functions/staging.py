@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later stages restart from these files.
 
@@ -39,8 +44,7 @@ def staged(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(name, before)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    deleted_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

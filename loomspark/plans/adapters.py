@@ -35,10 +35,15 @@ def pick(values: tuple[str, ...], number) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream of files; a pattern, for a stream reads a single file by no other name."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events: a sign-up is a prompt, an error a text reply, the rest are tool calls; a user is a session."""
     kind, n = F.col("event_type"), F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         F.col("user_id").cast("string").alias("session_id"),
         F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("project"),
         n.alias("ord"),
@@ -59,12 +64,12 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ts", project.alias("project"), F.col("event_id").alias("ord"), F.concat(F.lit("cause-"), (F.col("event_id") % 9).cast("string")).alias("root_cause"))
 
 
-def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events as runs: a strategy by user, a decision by event number, a score by value."""
     from ..functions.config import STRATEGIES
 
     n = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         n.alias("ord"),
         "ts",
         F.concat(F.lit("run-"), n.cast("string")).alias("run_id"),

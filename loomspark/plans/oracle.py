@@ -387,4 +387,7 @@ SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', x) AS DOUBLE) AS two, CAST(
     "weekly_table": ORACLE["weekly_strategies"],
     "strategy_table": f"""WITH {_LOG}, {_STATS}
 SELECT strategy, coalesce(tried, 0) AS tried, coalesce(kept, 0) AS kept, coalesce(lost, 0) AS lost, coalesce(success_rate, 0.0) AS success_rate, coalesce(recommendation, 'untried') AS recommendation FROM {_DECLARED} FULL JOIN u USING (strategy)""",
+    "stream_tasks": ORACLE["segment_tasks"],
+    "stream_strategies": ORACLE["strategy_stats"],
+    "stream_baseline": ORACLE["baseline_latest"],
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parameters
 from ..functions import text as X
 from ..functions.rounding import round_exact
-from ..functions.staging import staged
+from ..functions.staging import deleted_at_exit, shared_dir, staged
 from ..operators import diffstat as diff
 from ..operators import decide, guard, history, judge, labels, replay, score, segment, suite
 from . import adapters as A
@@ -35,6 +37,39 @@ def segment_tasks(spark, sf_dir):
     return t.select("task_id", "session_id", "project", F.col("seg").cast("long").alias("seg"), _us("start_ts").alias("start_us"), _us("end_ts").alias("end_us"), "duration_sec", "prompt", F.col("prompt_chars").cast("long").alias("prompt_chars"), F.col("tool_calls").alias("tool_calls"), "output_tokens")
 
 
+def _streamed(spark: SparkSession, changed: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """What a stream has made of all input, as its table stands; the table and the stream's state lie in the shared folder."""
+    from ..streaming import changes
+
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    changes.keep(changed, f"{root}/table", f"{root}/state").awaitTermination()
+    deleted_at_exit(spark, root)
+    return changes.current(spark, f"{root}/table", keys, order)
+
+
+def stream_tasks(spark, sf_dir):
+    """segment_tasks as a stream of the events keeps it."""
+    from ..streaming import segments
+
+    t = _streamed(spark, segments.task_stream(A.messages(spark, sf_dir, A.event_stream(spark, sf_dir)), "10000 days"), ["session_id", "start_ord"], "version")
+    us = lambda c: F.unix_micros(c)
+    return t.select("task_id", "session_id", "project", "seg", us("start_ts").alias("start_us"), us("end_ts").alias("end_us"), "duration_sec", "prompt", F.col("prompt_chars").cast("long").alias("prompt_chars"), "tool_calls", "output_tokens")
+
+
+def stream_strategies(spark, sf_dir):
+    """strategy_stats as a stream of the log keeps it."""
+    from ..streaming import changes
+
+    t = _streamed(spark, changes.strategy_changes(A.run_log(spark, sf_dir, A.event_stream(spark, sf_dir))), ["strategy"])
+    return t.select("strategy", "tried", "kept", "lost", _us("last_tried").alias("last_tried_us"), _us("last_kept").alias("last_kept_us"), "success_rate", "recommendation")
+
+
+def stream_baseline(spark, sf_dir):
+    from ..streaming import changes
+
+    return _streamed(spark, changes.baseline_changes(A.run_log(spark, sf_dir, A.event_stream(spark, sf_dir))), ["key"]).drop("key")
+
+
 def task_tool_histogram(spark, sf_dir):
     return _tasks(spark, sf_dir).select("session_id", F.col("seg").cast("long").alias("seg"), X.shown_counts(F.col("tools")).alias("tools"))
 
@@ -524,7 +559,7 @@ def weekly_kept(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        segment_tasks, task_tool_histogram, task_files_distinct, last_nonzero_text, segment_turns, classify_tasks, correction_interval_match, eligible_filter,
+        segment_tasks, stream_tasks, stream_strategies, stream_baseline, task_tool_histogram, task_files_distinct, last_nonzero_text, segment_turns, classify_tasks, correction_interval_match, eligible_filter,
         recency_age_days, stratified_suite, suite_breakdown, phrase_count, options_count, design_flag, prompt_flags, cost_and_alignment, sql_functions, phrase_count_listed, exact_rounding, score_tasks, score_run,
         missing_responses, unknown_responses, baseline_echo, prompt_normalize, keyword_extract, laplace_score, label_exact, label_contains, label_union,
         resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, decide_inputs, strategy_stats,
