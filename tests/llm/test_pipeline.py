@@ -60,12 +60,12 @@ def test_stages_on_nothing(spark, docs):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_returns_every_row(spark, name):
-    table, key = {"op3": ("pages", "page_id"), "op8": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
+    table, key = {"op3": ("pages", "page_id"), "op8": ("embeddings", "vec_id"), "op11": ("conversations", "conv_id"), "op13": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     out = queries.QUERIES[name](spark, SF)
     assert out.select(key).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct().count()
