@@ -91,6 +91,11 @@ def blocked(proposals: DataFrame, dead: DataFrame) -> DataFrame:
     return proposals.join(dead.select("strategy", "target_file").distinct(), ["strategy", "target_file"], "left_semi")
 
 
+def given_up(dead: DataFrame) -> DataFrame:
+    """The pairs (strategy, target_file) of the dead letters, null ones too: n_rows, for a pair may repeat, and last_run, of the last row by ord."""
+    return dead.groupBy("strategy", "target_file").agg(F.count(F.lit(1)).alias("n_rows"), F.max_by("run_id", "ord").alias("last_run"))
+
+
 def three_strikes(log: DataFrame, label: str = "sanity-floor-rejected", key: str = "stream") -> DataFrame:
     """Rows at which the last three decisions of a stream all carry the label."""
     w = Window.partitionBy(key).orderBy("ord")

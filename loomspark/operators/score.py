@@ -81,14 +81,12 @@ def echoed(benchmark: DataFrame) -> DataFrame:
 RANGE_DIGITS = 4
 
 
-def resampled(scores: DataFrame, replicates: int, fraction: float, seed: int, noise_factor: float = 1.5, key: str = "benchmark_id", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Spread of the mean score over subsamples without replacement, each drawn by hash order; one row, or one for each of keys.
+def _drawn(rows: DataFrame, replicates: int, fraction: float, seed: int, key: str, keys: tuple[str, ...]) -> DataFrame:
+    """rows of each replicate (rep): the first max(3, n * fraction) of its own hash order; none of fewer than five rows.
 
-    Tasks are scored once; a replicate takes the first max(3, n * fraction) of its own order.
-    Which range of hashes holds a replicate's last task follows from the counts of the ranges, so
-    only that range is sorted. No row for fewer than five tasks or three replicates with a score.
+    Which range of hashes holds a replicate's last row follows from the counts of the ranges, so
+    only that range is sorted. rows are read several times: stage them.
     """
-    rows = staged(scores.select(*keys, key, "score"))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select(*keys, F.greatest(F.lit(3), F.floor(F.col("n") * fraction)).alias("size"))
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"), F.lit("|"), F.col(key).cast("string")).cast("binary"))
     drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("order", order).withColumn("range", F.left("order", F.lit(RANGE_DIGITS)))
@@ -100,7 +98,16 @@ def resampled(scores: DataFrame, replicates: int, fraction: float, seed: int, no
     cut = placed.filter("before < size and before + n >= size").select(*keys, "rep", F.col("range").alias("cut"), (F.col("size") - F.col("before")).alias("left"))
     marked = drawn.join(cut, [*keys, "rep"]).filter("range <= cut")
     last = marked.filter("range = cut").withColumn("place", F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("order", key))).filter(F.col("place") <= F.col("left"))
-    taken = marked.filter("range < cut").select(*keys, "rep", "score").unionByName(last.select(*keys, "rep", "score"))
+    kept = [c for c in rows.columns if c not in (*keys, key)]
+    return marked.filter("range < cut").select(*keys, "rep", *kept).unionByName(last.select(*keys, "rep", *kept))
+
+
+def resampled(scores: DataFrame, replicates: int, fraction: float, seed: int, noise_factor: float = 1.5, key: str = "benchmark_id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Spread of the mean score over subsamples without replacement, each drawn by hash order; one row, or one for each of keys.
+
+    Tasks are scored once; replicates only draw from them. No row for fewer than five tasks or three replicates with a score.
+    """
+    taken = _drawn(staged(scores.select(*keys, key, "score")), replicates, fraction, seed, key, keys)
     means = taken.groupBy(*keys, "rep").agg(F.round(F.avg("score"), 4).alias("mean"))
     return means.groupBy(*keys).agg(
         F.count("mean").alias("n_valid"),
@@ -111,3 +118,19 @@ def resampled(scores: DataFrame, replicates: int, fraction: float, seed: int, no
         F.max("mean").alias("max"),
         F.round(F.stddev_samp("mean") * noise_factor, 4).alias("noise_threshold"),
     ).filter("n_valid >= 3")
+
+
+def replicate_means(scores: DataFrame, replicates: int, fraction: float, seed: int, key: str = "benchmark_id", keys: tuple[str, ...] = (), components: tuple[str, ...] = (*WEIGHTS, "cost")) -> DataFrame:
+    """One row per replicate that resampled draws: rep, n_tasks, mean (of the score) and mean_ of each component.
+
+    Components have three places, as scored gives them; their means are rounded half up to four places in
+    integers, so they do not depend on the order of the sums. Null components do not count; a component that is
+    null in all of a replicate has a null mean. No row for fewer than five tasks.
+    """
+    taken = _drawn(staged(scores.select(*keys, key, "score", *components)), replicates, fraction, seed, key, keys)
+
+    def mean(name: str):
+        thousandths, n = F.sum(F.round(F.col(name) * 1000).cast("long")), F.count(name)
+        return (F.floor((20 * thousandths + n) / F.nullif(2 * n, F.lit(0))) / 10000).alias(f"mean_{name}")
+
+    return taken.groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("n_tasks"), F.round(F.avg("score"), 4).alias("mean"), *[mean(c) for c in components])

@@ -273,6 +273,11 @@ y AS (SELECT start_ord AS benchmark_id, prompt, calls, tool_calls, output_tokens
 d AS (SELECT rep, score, row_number() OVER (PARTITION BY rep ORDER BY md5('42|' || rep || '|' || benchmark_id), benchmark_id) AS place FROM z, range(20) r(rep)),
 o AS (SELECT rep, round(avg(score), 4) AS mean FROM d, n2 WHERE place <= size AND n >= 5 GROUP BY rep)
 SELECT count(mean) AS n_valid, round(avg(mean), 4) AS mean, round(median(mean), 4) AS median, round(stddev_samp(mean), 4) AS stdev, min(mean) AS min, max(mean) AS max, round(stddev_samp(mean) * 1.5, 4) AS noise_threshold FROM o HAVING count(mean) >= 3""",
+    "resample_components": f"""WITH {_PAIRS}, n2 AS (SELECT count(*) AS n, greatest(3, floor(count(*) * 0.7)) AS size FROM z),
+d AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY md5('42|' || rep || '|' || benchmark_id), benchmark_id) AS place FROM z, range(20) r(rep))
+SELECT CAST(rep AS INT) AS rep, count(*) AS n_tasks, round(avg(score), 4) AS mean, """
+    + ", ".join(f"(CAST(sum(CAST(round({c} * 1000) AS BIGINT)) AS BIGINT) * 20 + count({c})) // nullif(2 * count({c}), 0) / CAST(10000 AS DOUBLE) AS mean_{c}" for c in _PARTS)
+    + " FROM d, n2 WHERE place <= size AND n >= 5 GROUP BY rep",
     "corrections_score": f"WITH {_PAIRS}, {_CORRECTED} SELECT * FROM q",
     "experiment": f"""WITH {_PAIRS}, {_CORRECTED}, {_JUDGED}, {_LOG},
 a1 AS (SELECT benchmark_id % 12 AS run, round(avg(score), 4) AS score_mean FROM z GROUP BY 1),
@@ -331,6 +336,7 @@ SELECT run, round(delta, 6) AS delta, failed, CASE WHEN sc IS NULL THEN 'error'
     "weekly_trend": f"WITH {_LOG}, k AS (SELECT arg_min(score_mean, (ts, ord)) AS a, arg_max(score_mean, (ts, ord)) AS b, median(score_mean) AS m, count(*) AS n FROM w WHERE score_mean IS NOT NULL) SELECT a AS first_score, b AS last_score, round(m, 4) AS median_score, n AS n_scored, round(b - a, 4) AS delta FROM k",
     "weekly_strategies": f"WITH {_LOG} SELECT strategy, count(*) AS tried, count(*) FILTER (WHERE decision IN {_in(C.KEPT)}) AS kept, round(count(*) FILTER (WHERE decision IN {_in(C.KEPT)}) / CAST(count(*) AS DOUBLE), 3) AS rate FROM w GROUP BY strategy",
     "deadletter_block": f"WITH {_LOG} SELECT run_id, strategy, target_file FROM l WHERE EXISTS (SELECT 1 FROM l k WHERE k.decision = 'user-reverted' AND k.ord % 5 = 0 AND k.strategy = l.strategy AND k.target_file = l.target_file)",
+    "deadletter_pairs": f"WITH {_LOG} SELECT strategy, target_file, count(*) AS n_rows, arg_max(run_id, ord) AS last_run FROM l WHERE decision = 'user-reverted' GROUP BY ALL",
     "recent_runs": f"WITH {_LOG} SELECT run_id, decision FROM l ORDER BY ord DESC LIMIT 5",
     "three_strikes": f"WITH {_LOG}, k AS (SELECT stream, run_id, CAST(coalesce(score_mean < 0.85, false) OR decision = 'sanity-floor-rejected' AS INT) AS bad, ord FROM l), o AS (SELECT *, min(bad) OVER (PARTITION BY stream ORDER BY ord ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS every, row_number() OVER (PARTITION BY stream ORDER BY ord) AS rn FROM k) SELECT stream, run_id FROM o WHERE every = 1 AND rn >= 3",
     "shared_root_cause": f"WITH {_CORRECTIONS}, k AS (SELECT root_cause FROM c ORDER BY ord DESC LIMIT 20) SELECT root_cause, count(*) AS n FROM k GROUP BY root_cause HAVING count(*) >= 2",

@@ -255,6 +255,16 @@ def resample_noise(spark, sf_dir):
     return score.resampled(s, 20, 0.7, 42)
 
 
+def resample_components(spark, sf_dir):
+    """The components of each replicate that resample_noise draws."""
+    return score.replicate_means(score.scored(_pairs(spark, sf_dir)), 20, 0.7, 42)
+
+
+def deadletter_pairs(spark, sf_dir):
+    """Every pair given up, how often and by which run last."""
+    return history.given_up(A.run_log(spark, sf_dir).filter("decision = 'user-reverted'"))
+
+
 def _correction_scores(spark, sf_dir, pairs):
     return labels.correction_scores(pairs.select("benchmark_id", "prompt", "replayable"), A.task_corrections(spark, sf_dir), pairs)
 
@@ -562,8 +572,8 @@ QUERIES = {
         segment_tasks, stream_tasks, stream_strategies, stream_baseline, task_tool_histogram, task_files_distinct, last_nonzero_text, segment_turns, classify_tasks, correction_interval_match, eligible_filter,
         recency_age_days, stratified_suite, suite_breakdown, phrase_count, options_count, design_flag, prompt_flags, cost_and_alignment, sql_functions, phrase_count_listed, exact_rounding, score_tasks, score_run,
         missing_responses, unknown_responses, baseline_echo, prompt_normalize, keyword_extract, laplace_score, label_exact, label_contains, label_union,
-        resample_noise, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, decide_inputs, strategy_stats,
-        strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, strategy_table, weekly_table, deadletter_block, recent_runs, three_strikes, shared_root_cause,
+        resample_noise, resample_components, corrections_score, experiment, baseline_seed, budget_prefix, budget_run, replay_counts, judge_normalize, judge_dims, judge_totals, judge_prompts, baseline_latest, decide_ladder, decide_inputs, strategy_stats,
+        strategy_fill, strategy_explore, weekly_decisions, weekly_trend, weekly_strategies, strategy_table, weekly_table, deadletter_block, deadletter_pairs, recent_runs, three_strikes, shared_root_cause,
         top_improvements, top_regressions, guard_paths, guard_shrink, json_extract_props, parse_model_output, project_totals, find_run,
         run_ids, suite_readiness, proposals_listed, diffstat, weekly_kept, status_row, report_banner, guidance_row, feedback, feedback_refused, suite_entries,
     )

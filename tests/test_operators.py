@@ -302,6 +302,31 @@ def test_resampling_takes_the_first_by_hash(spark):
     assert score.resampled(df.limit(4), 5, 0.7, 7).count() == 0
 
 
+def test_component_means_of_replicates(spark):
+    import hashlib
+    from fractions import Fraction
+
+    rows = [(i, round((i * 37 % 101) / 101, 4), round((i * 53 % 97) / 97, 3) if i % 7 else None, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "benchmark_id long, score double, completion double, cost double")
+    found = {r.rep: r for r in score.replicate_means(df, 4, 0.7, 7, components=("completion", "cost")).collect()}
+    assert set(found) == set(range(4))
+    for rep, r in found.items():
+        drawn = sorted(rows, key=lambda x: (hashlib.md5(f"7|{rep}|{x[0]}".encode()).hexdigest(), x[0]))[:28]
+        values = [Fraction(round(c * 1000), 1000) for _, _, c, _ in drawn if c is not None]
+        assert r.n_tasks == 28 and r.mean_cost is None
+        assert r.mean_completion == (sum(values) / len(values) * 10000 + Fraction(1, 2)) // 1 / 10000
+    noise = score.resampled(df, 4, 0.7, 7).first()
+    assert (noise["min"], noise["max"]) == (min(r["mean"] for r in found.values()), max(r["mean"] for r in found.values()))
+    assert score.replicate_means(df.limit(4), 4, 0.7, 7, components=("completion",)).count() == 0
+    assert score.replicate_means(df.limit(0), 4, 0.7, 7, components=("cost",)).count() == 0
+
+
+def test_pairs_given_up_repeat(spark):
+    dead = spark.createDataFrame([(1, "r1", "a", "f"), (3, "r3", "a", "f"), (2, "r2", "a", None), (4, "r4", None, None)], "ord long, run_id string, strategy string, target_file string")
+    assert {tuple(r) for r in history.given_up(dead).collect()} == {("a", "f", 2, "r3"), ("a", None, 1, "r2"), (None, None, 1, "r4")}
+    assert history.given_up(dead.limit(0)).count() == 0
+
+
 def test_a_baseline_without_a_score_fails_the_gates_on_it(spark):
     runs = spark.sql("select 0.9D score_mean, cast(null as double) baseline_score, true has_baseline, 0.9D judge_composite, 0 judge_failed, 0.01D noise_threshold, 0 n_matched, cast(null as double) corrections_composite, true auto, false skip_variance, false skip_judge")
     row = decide.decided(runs).first()
