@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.functions import config as C
 from loomspark.functions import text as X
 from loomspark.operators import decide, guard, history, judge, labels, replay, score, segment
 from loomspark.sources import logs
@@ -463,3 +464,16 @@ def test_a_report_in_pages_lists_every_row(spark):
     pages = [history.weekly_report(log, since, most=10, page=p) for p in range(3)]
     listed = [x.split("`")[1] for text in pages for x in text.splitlines() if x.startswith("- `")]
     assert sorted(listed) == sorted(f"r{i}" for i in range(25)) and "Changes kept (25, page 3 of 3)" in pages[2] and "25 runs in the period" in pages[1]
+
+
+def test_copies_for_replicates_are_not_broadcast(spark):
+    import re
+
+    rows = spark.range(20000).select(F.col("id").alias("benchmark_id"), (F.col("id") % 12).alias("run"), (F.col("id") % 101 / 100).alias("score"))
+    for keys in ((), ("run",)):
+        lines = score.resampled(rows, 20, 0.7, 42, keys=keys)._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [len(re.match(r"[\s:+-]*", line)[0]) for line in lines]
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+                assert not any("Generate" in x for x in lines[i:end]), "\n".join(lines[i:end])
