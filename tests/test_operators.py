@@ -477,3 +477,14 @@ def test_copies_for_replicates_are_not_broadcast(spark):
             if "BroadcastExchange" in line:
                 end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
                 assert not any("Generate" in x for x in lines[i:end]), "\n".join(lines[i:end])
+
+
+def test_texts_longer_than_all_others_are_not_looked_up(spark, monkeypatch):
+    asked = []
+    plain = labels._by_runs
+    monkeypatch.setattr(labels, "_by_runs", lambda short, s, long, t: asked.append({r[0] for r in short.select(s).collect()}) or plain(short, s, long, t))
+    b = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven twelve")], "benchmark_id long, prompt string")
+    c = spark.createDataFrame([(10, "two three four five six", "x"), (11, "and one two three four five six and " + "more " * 50, "x")], "ord long, prompt string, root_cause string")
+    assert {tuple(r) for r in labels.contained(b, c).select("benchmark_id", "key_ord").collect()} == {(1, 10)}
+    assert {tuple(r) for r in labels.contained(b, c.filter("ord = 11")).select("benchmark_id", "key_ord").collect()} == {(1, 11)}
+    assert asked == [{10}, {1, 2}, set(), {1, 2}]
