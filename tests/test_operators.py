@@ -479,6 +479,18 @@ def test_copies_for_replicates_are_not_broadcast(spark):
                 assert not any("Generate" in x for x in lines[i:end]), "\n".join(lines[i:end])
 
 
+def test_options_of_letters_like_ascii(spark):
+    texts = ["OPTION a", "optİon 1", "optıon b", "pathc", "choıce 2", "Here are two OPTİONS", "would you like it or not", "no word of it", "", None, "approäch a", "optionally a b", "there are 3 pathſ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = sum((F.col("t").rlike(f"(?idU){p}").cast("int") for p in C.OPTION_PATTERNS), F.lit(0))
+    assert all(r.a == r.b for r in df.select(X.options_count(F.col("t")).alias("a"), plain.alias("b")).collect())
+
+
+def test_phrases_of_texts_outside_ascii(spark):
+    df = spark.createDataFrame([("éé Feels Balanced ü feels balanced, TL;DR: 中",), ("中",), ("",), (None,)], "t string")
+    assert [r.n for r in df.select(X.phrase_count(F.col("t")).alias("n")).collect()] == [3, 0, 0, None]
+
+
 def test_texts_longer_than_all_others_are_not_looked_up(spark, monkeypatch):
     asked = []
     plain = labels._by_runs
