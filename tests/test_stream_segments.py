@@ -114,6 +114,39 @@ def test_settling_keeps_the_open_task_and_the_numbers():
     assert list(processor._changed("s", state)) == [] and before == [(1, 0, 2), (2, 3, 2), (3, 6, 2), (4, 9, 0)]
 
 
+def test_many_lines_of_a_session_read_its_tasks_once(monkeypatch):
+    draw = random.Random(3)
+    lines = [[draw.choice([None, *range(900)]), i, "go" if i % 3 == 0 else None, "p", None, None, 1, 5] for i in range(1500)]
+    one_by_one, together = [S._empty()], [S._empty()]
+    for x in lines:
+        S.put(one_by_one, x)
+    start, read = S._start, []
+    monkeypatch.setattr(S, "_start", lambda task: read.append(1) or start(task))
+    S.put_all(together, lines[:700])
+    S.put_all(together, lines[700:])
+    assert together == one_by_one and len(together) == 501
+    assert len(read) < 1000  # not each task for each line
+
+
+def test_a_line_goes_to_python_packed_and_whole(spark, tmp_path):
+    """Each column and row costs a worker time; texts, nulls and large numbers come through the packing as they are."""
+    odd = ' "do" \\ it\n\t\u0001 [1,null] {"a":"b"} \u00e9\u2028\U0001f600 null '
+    at = [DAY + timedelta(microseconds=i) for i in range(9)]
+    rows = [
+        ("a", None, 2**53 + 1, at[0], True, odd, None, None, None, None), ("a", odd, 2**53 + 2, at[1], False, None, odd, odd, 2**53 + 3, 7),
+        ("a", "p", 2**53 + 5, at[1], True, "go", None, None, 1, 0), ("a", "p", 2**53 + 6, at[3], False, None, "null", "", None, None),
+        (None, "p", 1, None, True, "no time", None, None, None, None), (None, "p", 2, at[2], False, None, "Bash", None, 4, None), ("", None, -5, DAY - timedelta(days=1), True, "", None, None, None, None),
+    ]
+    messages = spark.createDataFrame(rows, SHAPE)
+    root = feed(spark, tmp_path, [rows[::2], rows[1::2]])
+    got = changes.current(spark, root, ["session_id", "start_ord"], "version")
+    assert rows_of(got) == rows_of(segment.task_rows(messages)) and got.count() == 4
+    stream = spark.readStream.schema(SHAPE).parquet(str(tmp_path / "t-in" / "*"))
+    plan = S.task_stream(stream)._jdf.queryExecution().logical().toString()
+    sent = plan[plan.index("transformWithStateUDF(") :].split("(")[1].split(")")[0].split(", ")
+    assert [c.split("#")[0] for c in sent] == ["session_id", "time", "line"]
+
+
 def test_session_files_in_parts(spark, tmp_path):
     def write(folder, name, lines):
         (tmp_path / folder / "-home-me").mkdir(parents=True, exist_ok=True)
